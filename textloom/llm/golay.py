@@ -10,7 +10,7 @@ codeword when a bit flips, and one at distance 3 holds every codeword within 4.
 from __future__ import annotations
 
 from functools import cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 
@@ -59,24 +59,41 @@ def near(vectors: np.ndarray) -> np.ndarray:
 SEGMENTS = ((0, 22, 1), (22, 21, 2), (43, 21, 2))
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(values.astype(np.uint64)).astype(np.int64) & 1
+
+
 def pair_keys(fingerprints: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Keys of both sides of a join that brings together all fingerprints within 3 bits.
 
-    Three differing bits leave two of the three segments with at most one each. For
-    every pair of segments the left side takes the nearest codeword of the first with all
-    keys of the second, the right side all keys of the first with the nearest of the second.
-    Each side is (row number of the fingerprint, key).
+    Up to three differing bits over three segments leave either one segment equal and
+    another with one bit at most, or one bit in each. For the first case the key is a whole
+    segment and a codeword of another: the nearest on the left side, all on the right. For
+    the second it has codewords of the first two segments, one of them the nearest on each
+    side, the parities of all three, which differ, and a half of the third, which is equal
+    in one of its halves. Each side is (row number of the fingerprint, key).
     """
     f = fingerprints.astype(np.uint64)
-    keys = [near(((f >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) << pad) for at, width, pad in SEGMENTS]
+    parts = [((f >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width, _ in SEGMENTS]
+    keys = [near(part << pad) for part, (_, _, pad) in zip(parts, SEGMENTS)]
+    parity = sum(_parity(part) << k for k, part in enumerate(parts))
+    halves = parts[2] & 0x3FF, parts[2] >> 10
     sides = []
     for left in (True, False):
         rows, found = [], []
-        for number, (i, j) in enumerate(combinations(range(3), 2)):
-            many, one = (keys[j], keys[i][:, :1]) if left else (keys[i], keys[j][:, :1])
-            key = number << 24 | (one << 12 | many if left else many << 12 | one)
+
+        def add(kind: int, many: np.ndarray, fixed: np.ndarray, shift: int) -> None:
             row, column = np.nonzero(many >= 0)
             rows.append(row)
-            found.append(key[row, column])
+            found.append(kind << 52 | fixed[row] | many[row, column] << shift)
+
+        for kind, (i, j) in enumerate(permutations(range(3), 2)):
+            add(kind, keys[j][:, :1] if left else keys[j], parts[i] << 12, 0)
+        for kind, half in enumerate(halves, 6):
+            rest = half << 27 | (parity if left else parity ^ 7) << 24
+            if left:
+                add(kind, keys[1], rest | keys[0][:, 0] << 12, 0)
+            else:
+                add(kind, keys[0], rest | keys[1][:, 0], 12)
         sides.append((np.concatenate(rows), np.concatenate(found)))
     return sides[0], sides[1]

@@ -52,19 +52,26 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     All fingerprints within the radius meet under a key. Under each key those within the
     radius of its smallest node link to that one, so a tight group costs as many rows as
-    it has members; only the others are compared with all of the key. Every edge is
+    it has members; pairs of which at least one is outside it are compared. Every edge is
     verified, and whatever is linked directly stays connected.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the keys bring together fingerprints within 3 bits at most")
     keyed = _keyed(nodes)
-    hub = keyed.groupBy("key").agg(F.min_by("fp", "node").alias("hub_fp"), F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").drop("other")
-    rows = keyed.join(hub, "key").withColumn("off", _apart("fp", "hub_fp"))
-    star = rows.filter((F.col("off") <= radius) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    left = rows.filter((F.col("off") > radius) & (F.col("side") == 0)).select("key", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    right = rows.filter(F.col("side") == 1).select("key", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    rest = left.join(right, "key").filter((_apart("fa", "fb") <= radius) & (F.col("a") != F.col("b"))).select("a", "b")
-    return star.unionByName(rest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    hub = (
+        keyed.groupBy("key")
+        .agg(F.min_by("fp", "node").alias("hub_fp"), F.min("node").alias("hub"), F.max("node").alias("other"), F.min("side").alias("first"), F.max("side").alias("last"))
+        .filter("hub != other AND first = 0 AND last = 1")
+        .select("key", "hub", "hub_fp")
+    )
+    rows = keyed.join(hub, "key").withColumn("near", _apart("fp", "hub_fp") <= radius)
+    star = rows.filter(F.col("near") & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    left = rows.filter("side = 0").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), "near")
+    right = rows.filter("side = 1").select("key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("near").alias("near_b"))
+    close = (_apart("fa", "fb") <= radius) & (F.col("a") != F.col("b"))
+    far = left.filter("NOT near").join(right, "key").filter(close).select("a", "b")
+    mixed = left.filter("near").join(right.filter("NOT near_b"), "key").filter(close).select("a", "b")
+    return star.unionByName(far).unionByName(mixed).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
