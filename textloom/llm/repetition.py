@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import keep_rows, slices, split_words, table, text_array, word_codes
+from textloom.llm.common import keep_rows, slices, split_words, strings, table, text_array, word_codes
 
 #: Words of the shortest repeat that counts, the largest share of words in such repeats,
 #: and the words of the longest repeat that a kept text may hold.
@@ -104,7 +104,7 @@ def _measure(texts: pa.Array, min_words: int, max_fraction: float, max_longest:
         spans = covered(longest, min_words)
         most = np.zeros(len(n), np.int64)
         most[n > 0] = np.maximum.reduceat(longest, starts[:-1][n > 0]) if len(longest) else 0
-        raw = part.cast(pa.binary()).to_pylist()
+        raw = strings(part.cast(pa.binary()))
         short = _sums(covered(longest, 3), starts)
         fraction = _sums(spans, starts) / np.maximum(n, 1)
         failed = (n < 50) | (100 * short > 50 * n)

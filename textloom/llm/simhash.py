@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from textloom.llm.common import slices, split_words
+from textloom.llm.common import slices, split_words, strings
 
 SEED = 42
 #: Rows of bits that are summed at a time.
@@ -47,7 +47,7 @@ def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), " ")
-    data = b"".join(joined.cast(pa.binary()).to_pylist())
+    data = b"".join(strings(joined.cast(pa.binary())))
     n = np.diff(starts)
     full = n > 0
     length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
