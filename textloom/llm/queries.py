@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import near_dedup
+from textloom.llm import decontaminate, language_id, near_dedup, packing, repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_near_dedup": near_dedup.query}
+    return {
+        "op2_language_id": language_id.query,
+        "op3_packing": packing.query,
+        "op4_decontaminate": decontaminate.query,
+        "op8_repetition": repetition.query,
+        "op9_near_dedup": near_dedup.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_repetition": repetition.SQL}

@@ -6,6 +6,7 @@ space: equal pieces have equal ids. Pieces repeat a lot, so a worker keeps their
 
 from __future__ import annotations
 
+import hashlib
 import os
 from array import array
 
@@ -15,12 +16,13 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from textloom.llm.common import split_words
+from textloom.llm.common import split_words, strings
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces whose ids a worker keeps; beyond it starts anew.
 CACHE = 900_000
+BLOCK = 1 << 15
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -33,7 +35,8 @@ def public_path(name: str) -> str:
 def load(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer's file (a vocabulary, its size fixed), sent to the executors once."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        source = f.read()
+    return spark.sparkContext.broadcast((hashlib.sha1(source.encode()).hexdigest(), source))
 
 
 class Encoder:
@@ -52,25 +55,28 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, piece: str) -> list[str]:
+        """Pieces of letters, commas, full stops and line ends fall apart where pre-tokenizers cut as well."""
+        out = []
+        for k, line in enumerate(piece.split("\n")):
+            core, tail = (line[:-1], line[-1]) if line[-1:] in (",", ".") else (line, "")
+            if not (core.removeprefix(" ") if k == 0 else core).isalpha():
+                return [piece]
+            out += ["\n"] * (k > 0) + [core] + [tail] * bool(tail)
+        return out
+
     def _add(self, pieces: list[str]) -> None:
-        """Learn pieces; letters with one comma or full stop behind are two tokens' worth of text."""
         if len(self.known) > CACHE:
             self.known.clear()
-        known, parts, new = self.known, {}, {}
-        for p in pieces:
-            if p not in known:
-                core = p
-                if p[-1:] in (",", ".") and p[:-1].lstrip(" ").isalpha():
-                    core = p[:-1]
-                    parts[p] = (core, p[-1])
-                    if p[-1] not in known:
-                        new[p[-1]] = None
-                if core not in known:
-                    new[core] = None
+        known, new = self.known, {}
+        parts = {p: self._parts(p) for p in pieces if p not in known}
+        for p in parts.values():
+            new.update((x, None) for x in p if x not in known)
         todo = list(new)
         known.update(zip(todo, self._ids(todo)))
-        for p, (a, b) in parts.items():
-            known[p] = known[a] + known[b]
+        for p, own in parts.items():
+            if len(own) > 1:
+                known[p] = b"".join([known[x] for x in own])
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit), ``end`` behind each text's, and where each text's begin (one entry more)."""
@@ -78,7 +84,7 @@ class Encoder:
             words, starts = split_words(texts)
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            pieces = coded.dictionary.to_pylist()
+            pieces = strings(coded.dictionary)
             if self.lower:
                 pieces = [p.lower() if p.isascii() else p for p in pieces]
             whole: list[str] = []
@@ -93,14 +99,17 @@ class Encoder:
         at = np.cumsum(size) - size
         n = size[codes]
         to = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(at[codes] - to[:-1], n) + np.arange(to[-1])]
+        ids = np.empty(int(to[-1]), np.uint32)
+        for a in range(0, len(codes), BLOCK):  # in steps that stay in the processor's cache
+            b = min(a + BLOCK, len(codes))
+            ids[to[a] : to[b]] = flat[np.repeat(at[codes[a:b]] - (to[a:b] - to[a]), n[a:b]) + np.arange(to[b] - to[a])]
         return ids, to[starts]
 
     def _by_space(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str], np.ndarray]:
         lists = pc.split_pattern(texts, " ")
         coded = pc.list_flatten(lists).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
+        pieces = strings(coded.dictionary)
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
         owner = np.repeat(np.arange(len(texts)), np.diff(starts))
         # white space beside a space belongs to one piece with it: such texts are encoded whole
@@ -124,8 +133,9 @@ class Encoder:
 
 def encoder(source: Broadcast, boundary: str, lower: bool = False) -> Encoder:
     """This worker's encoder for a broadcast tokenizer."""
-    key = (source.id, boundary, lower)
+    digest, text = source.value
+    key = (digest, boundary, lower)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(source.value, boundary, lower)
+        _ENCODERS[key] = Encoder(text, boundary, lower)
     return _ENCODERS[key]
