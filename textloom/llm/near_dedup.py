@@ -40,7 +40,9 @@ def _keyed(nodes: DataFrame) -> DataFrame:
                 for side, (row, key) in enumerate(pair_keys(part.view(np.uint64))):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(row), side, np.int8)), pa.array(own[row]), pa.array(part[row])], ["key", "side", "node", "fp"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "key long, side byte, node long, fp long")
+    # some sixty rows come of each: more tasks than the few that so small an input gets
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.select("node", "fp").repartition(tasks, "node").mapInArrow(run, "key long, side byte, node long, fp long")
 
 
 def _apart(a: str, b: str) -> Column:
