@@ -6,20 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, language_id, near_dedup, packing, repetition
+import corpus_pipeline
+from textloom.llm import decontaminate, language_id, near_dedup, packing, quality, repetition, token_stream, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_stream": token_stream.query,
         "op2_language_id": language_id.query,
         "op3_packing": packing.query,
         "op4_decontaminate": decontaminate.query,
+        "op5_quality": quality.query,
+        "op6_url_filter": url_filter.query,
+        "op7_toxicity": toxicity.query,
         "op8_repetition": repetition.query,
         "op9_near_dedup": near_dedup.query,
+        "op10_warc": warc.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_repetition": repetition.SQL}
+    return {"op8_repetition": repetition.SQL, "op10_warc": warc.SQL}
