@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from textloom.plans import structure_plans, text_plans
+from textloom.plans.common import Plans, Query
+
+
+def plans() -> Plans:
+    found: Plans = {}
+    for part in (text_plans, structure_plans):
+        found |= part.PLANS
+    return found
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in plans().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in plans().items() if sql}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_plans.flagship(spark, sf_dir)
