@@ -105,7 +105,7 @@ def outlier_scores(rows: DataFrame, forest: DataFrame, features: list[str], key:
     cut = scored.agg(F.percentile_approx("score", contamination, 10_000).alias("cut"))
     out = scored.join(F.broadcast(cut)).withColumn("is_outlier", F.col("score") < F.col("cut"))
     inlier = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 0.1) / 0.4))
-    return out.withColumn("confidence", F.when(F.col("is_outlier"), F.greatest(F.lit(0.5), -F.col("score"))).otherwise(inlier)).drop("cut")
+    return out.withColumn("confidence", F.when(F.col("is_outlier"), F.greatest(F.lit(0.5), F.least(F.lit(1.0), (-F.col("score") - 0.1) / 0.4))).otherwise(inlier)).drop("cut")
 
 
 def calibration_knots(rows: DataFrame, predicted: str, actual: str) -> DataFrame:

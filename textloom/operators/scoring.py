@@ -110,8 +110,11 @@ def component_matches(found: DataFrame, matched: DataFrame, components: DataFram
 def compound_document_score(matched: DataFrame, key: str = "document_id") -> DataFrame:
     """Points of a document's compounds, 10 at most, their level and number."""
     score = F.least(F.sum(lookup("severity", fixed.COMPOUND_POINTS, 0.5)), F.lit(10.0))
-    own = matched.groupBy(key).agg(score.alias("compound_score"), F.count("*").alias("patterns"), F.array_join(F.array_sort(F.collect_list("pattern")), ",").alias("pattern_list"))
-    return own.withColumn("level", F.when(F.col("compound_score") >= 7, "CRITICAL").when(F.col("compound_score") >= 4, "HIGH").when(F.col("compound_score") >= 2, "MEDIUM").otherwise("LOW"))
+    n = lambda s: F.count_if(F.col("severity") == s)
+    own = matched.groupBy(key).agg(score.alias("compound_score"), n("CRITICAL").alias("critical"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.count("*").alias("patterns"), F.array_join(F.array_sort(F.collect_list("pattern")), ",").alias("pattern_list"))
+    total = F.col("compound_score")
+    level = F.when((total >= 7) | (F.col("critical") > 0), "Critical").when((total >= 5) | (F.col("high") >= 2), "High").when((total >= 3) | (F.col("high") >= 1), "Medium").when(total > 0, "Low").otherwise("None")
+    return own.withColumn("level", level)
 
 
 # --- alerts

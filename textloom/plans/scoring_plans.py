@@ -193,8 +193,8 @@ coalesce(days > 1825, false) AS very_old, CASE WHEN score * factor >= 8 THEN 'CR
     "g07_g08_component_matches": (g7, f"WITH {_MATCHED} SELECT few.document_id, pattern, anomaly_id, string_agg(DISTINCT few.indicator, ',' ORDER BY few.indicator) AS shared FROM few JOIN comp c ON c.indicator = few.indicator SEMI JOIN matched m ON m.document_id = few.document_id AND m.pattern = c.pattern GROUP BY ALL"),
     "h11_compound_document": (
         h11,
-        f"""WITH {_MATCHED}, s AS (SELECT document_id, least(sum(CASE severity WHEN 'CRITICAL' THEN 4.0 WHEN 'HIGH' THEN 3.0 WHEN 'MEDIUM' THEN 1.5 ELSE 0.5 END), 10.0)::DOUBLE AS compound_score, count(*) AS patterns, string_agg(pattern, ',' ORDER BY pattern) AS pattern_list FROM matched GROUP BY document_id)
-SELECT *, CASE WHEN compound_score >= 7 THEN 'CRITICAL' WHEN compound_score >= 4 THEN 'HIGH' WHEN compound_score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s""",
+        f"""WITH {_MATCHED}, s AS (SELECT document_id, least(sum(CASE severity WHEN 'CRITICAL' THEN 4.0 WHEN 'HIGH' THEN 3.0 WHEN 'MEDIUM' THEN 1.5 ELSE 0.5 END), 10.0)::DOUBLE AS compound_score, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) AS patterns, string_agg(pattern, ',' ORDER BY pattern) AS pattern_list FROM matched GROUP BY document_id)
+SELECT *, CASE WHEN compound_score >= 7 OR critical > 0 THEN 'Critical' WHEN compound_score >= 5 OR high >= 2 THEN 'High' WHEN compound_score >= 3 OR high >= 1 THEN 'Medium' WHEN compound_score > 0 THEN 'Low' ELSE 'None' END AS level FROM s""",
     ),
     "h12_h13_alert_score": (h12, f"WITH {_SCORED} SELECT anomaly_id, ranking_score, base, bonus FROM scored"),
     "h14_alert_budget": (h14, f"WITH {_RANKED} SELECT anomaly_id, document_id, confidence_tier, shown FROM ranked"),

@@ -126,7 +126,7 @@ PLANS: Plans = {
     "e05_template_matches": (e5, f"WITH {_TPL} SELECT vec_id, type, template, severity, round(similarity, 6) AS similarity FROM tm WHERE similarity >= 0.5"),
     "e06_augmented": (e6, f"WITH {_TPL} SELECT vec_id, type FROM tm WHERE similarity >= 0.5 UNION SELECT vec_id, label FROM embeddings WHERE vec_id % 3 = 0"),
     "e07_pattern_library": (e7, f"WITH {_TPL}, b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, template DESC) = 1) SELECT vec_id, template AS best, round(s, 6) AS similarity, s >= 0.5 AS is_anomaly, round(CASE WHEN s >= 0.5 THEN 0.5 + 0.5 * (s - 0.5) / 0.5 ELSE greatest(0.0, 0.5 * s / 0.5) END, 6) AS confidence, CASE WHEN s >= 0.5 THEN severity ELSE 'low' END AS severity FROM b"),
-    "e08_prevalence": (e8, f"WITH {_top(k=20)}, m AS (SELECT query_id, avg(score) AS m FROM t WHERE place <= 5 GROUP BY query_id) SELECT query_id, round(greatest(0.0, least(1.0, CASE WHEN m > 0.75 THEN 0.6 + (m - 0.75) * 1.6 WHEN m > 0.5 THEN 0.3 + (m - 0.5) * 1.2 ELSE m * 0.6 END)), 6) AS prevalence FROM m"),
+    "e08_prevalence": (e8, f"WITH {_top(k=20)}, m AS (SELECT query_id, avg(score) AS m FROM t WHERE place <= 5 GROUP BY query_id) SELECT query_id, round(greatest(0.0, least(1.0, CASE WHEN m > 0.75 THEN 0.6 + (m - 0.75) * 1.2 WHEN m > 0.5 THEN 0.3 + (m - 0.5) * 1.2 ELSE m * 0.6 END)), 6) AS prevalence FROM m"),
     "e09_industry_prevalence": (e9, f"WITH {_top(on='label = ql', k=100)}, g AS (SELECT query_id, count(DISTINCT vec_id % 40) FILTER (score >= 0.5) AS matched FROM t GROUP BY query_id), n AS (SELECT count(DISTINCT vec_id % 40) AS documents FROM embeddings) SELECT query_id, matched, round(matched / documents, 6) AS prevalence, matched / documents >= 0.30 AS common FROM g, n"),
     "e10_baseline_probe": (e10, f"WITH {_top(every=100)} SELECT query_id, place, vec_id, label FROM t WHERE place <= 3"),
     "e11_baseline_composition": (e11, "SELECT label, count(*) AS n, count(DISTINCT vec_id % 40) AS documents, count(*) >= 30 AS sufficient FROM embeddings GROUP BY label"),
