@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,3 +40,9 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
