@@ -99,16 +99,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_each: int = MAX_EACH, bits: int = BITS, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_each: int = MAX_EACH, bits: int = BITS, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit on at most about ``max_each`` documents of each class, drawn by a hash of their key.
 
-    Executors hash the texts; the drawn documents' distinct features come to the driver. Rows
+    The draw, a bounded table, is sent to where the documents are, so that no text is
+    shuffled; executors hash its texts, and their distinct features come to the driver. Rows
     without a 0/1 label are left out. With one class, or none, scores are that class's rate (a half if none).
     """
-    rows = labelled.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    sizes = dict(rows.groupBy("label").count().collect())
+    known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND key IS NOT NULL")
+    sizes = dict(known.groupBy("label").count().collect())
     share = F.when(F.col("label") == 1, min(1.0, max_each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_each / max(1, sizes.get(0, 0))))
-    drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+    picked = known.filter(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    drawn = own.join(F.broadcast(picked), "key").select("key", "text", "label")  # about 2 * max_each rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +158,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("doc_id", F.col("toxic").alias("label")).filter(remainder("doc_id", 5) != 0)
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = fit(docs, known)
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
