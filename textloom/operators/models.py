@@ -46,7 +46,10 @@ def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int
         raise ValueError("no rows to fit")
     size = min(sample, count)
     share = min(1.0, 3 * size / count)
-    drawn = own.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 30))).filter(F.col("_u") < share * (1 << 30))
+    pool = min(1.0, trees * share)  # only rows that some tree may take are repeated for all trees
+    u = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30))
+    some = own.filter(u(key, F.lit(seed)) < pool * (1 << 30))
+    drawn = some.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", u(key, "tree", F.lit(seed + 1))).filter(F.col("_u") < share / pool * (1 << 30))
     kept = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_u", key))).filter(F.col("_r") <= size)
     limit = int(np.ceil(np.log2(max(size, 2))))
 
@@ -177,10 +180,9 @@ def should_collect(confidence: Column, key: Column, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1e6 < chance
 
 
-def generations(rows: DataFrame, order: list[str], size: int = 100, by: str | None = None) -> DataFrame:
-    """Feedback in batches of ``size`` in order, with what a refit of each would meet: one class, dismissals."""
-    own = rows.withColumn("generation", F.floor((F.row_number().over(Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(*order)) - 1) / size))
-    keys = [by, "generation"] if by else ["generation"]
-    out = own.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("was_correct").alias("correct"), F.count_if(F.col("user_action") == "dismissed").alias("dismissed"))
+def generations(rows: DataFrame, order: list[str], by: str, size: int = 100) -> DataFrame:
+    """Feedback of each model (``by``) in batches of ``size`` in order, with what a refit of each would meet: one class, dismissals."""
+    own = rows.withColumn("generation", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size))
+    out = own.groupBy(by, "generation").agg(F.count("*").alias("n"), F.count_if("was_correct").alias("correct"), F.count_if(F.col("user_action") == "dismissed").alias("dismissed"))
     action = F.when(F.col("n") < size, "waiting").when((F.col("correct") == 0) | (F.col("correct") == F.col("n")), "one_class").when(F.col("dismissed") / F.col("n") > 0.20, "refit_with_warning").otherwise("refit")
     return out.withColumn("action", action)

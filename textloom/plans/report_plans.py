@@ -120,7 +120,7 @@ def f13(s, d):
 
 
 def f14(s, d):
-    return M.generations(feedback(s, d).filter("is_valid"), ["created_at", "anomaly_id"], 50, "document_id")
+    return M.generations(feedback(s, d).filter("is_valid"), ["created_at", "anomaly_id"], "document_id", 50)
 
 
 def h21(s, d):
