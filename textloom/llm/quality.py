@@ -18,6 +18,8 @@ from textloom.llm.language_id import remainder
 
 #: Bounds of the fit: labelled documents of each class; trees, their depth, and the rules tried.
 MAX_EACH, TREES, DEPTH, MAX_RULES = 4_000, 40, 3, 400
+#: Loss (nats a document) that fewer rules may cost.
+SLACK = 0.02
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -144,20 +146,19 @@ class Model:
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], rate: float) -> Model:
-    """Rules, and weights at the penalty that does best on a fifth set aside; ``rate`` is the share of 1 in all labels."""
+    """Rules, and weights at the greatest penalty whose loss on a fifth set aside is near the best; ``rate`` is the share of 1 in all labels."""
     if len(y) == 0 or y.min() == y.max():
         return Model(names, [], float(np.log(rate / (1 - rate))))
     rules = tree_rules(x, y)
     r = np.stack([rule.holds(x) for rule in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
     aside = np.arange(len(y)) % 5 == 0
-    best = None
-    for strength in (0.03, 0.01, 0.003, 0.001):
+    losses = {}
+    for strength in (0.1, 0.03, 0.01, 0.003, 0.001):
         b, w = lasso(r[~aside], y[~aside], strength)
         z = np.clip(r[aside] @ w + b, -35, 35)
-        loss = np.mean(np.log1p(np.exp(z)) - y[aside] * z)
-        if best is None or loss < best[0] * 0.98:
-            best = loss, strength
-    b, w = lasso(r, y, best[1])
+        losses[strength] = np.mean(np.log1p(np.exp(z)) - y[aside] * z)
+    chosen = max(s for s, loss in losses.items() if loss <= min(losses.values()) + SLACK)
+    b, w = lasso(r, y, chosen)
     drawn = min(max(y.mean(), 1e-3), 1 - 1e-3)
     b += float(np.log(rate / (1 - rate)) - np.log(drawn / (1 - drawn)))  # the draw's classes are not as frequent as all labels' are
     return Model(names, [(rule, float(k)) for rule, k in zip(rules, w) if abs(k) > 1e-6], b)
