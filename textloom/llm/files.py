@@ -18,7 +18,13 @@ def writer(uri: str) -> Iterator[pa.NativeFile]:
     partial = f"{path}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(partial) as out:
         yield out
-    store.move(partial, path)
+    try:
+        store.move(partial, path)
+    except OSError:  # some stores don't move over a file that an earlier attempt has left
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(path)
+        store.move(partial, path)
 
 
 def open_file(uri: str) -> pa.NativeFile:
