@@ -445,3 +445,17 @@ def test_queries_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_every_query_runs(spark, name):
     assert queries.queries()[name](spark, SF).count() >= 0
+
+
+def test_a_file_replaces_what_an_earlier_attempt_left(tmp_path):
+    from textloom.llm.files import open_file, writer
+
+    uri = f"file://{tmp_path}/deep/a.bin"
+    for data in (b"first", b"second"):
+        with writer(uri) as out:
+            out.write(data)
+    assert open_file(uri).read() == b"second" and [p.name for p in (tmp_path / "deep").iterdir()] == ["a.bin"]
+    with pytest.raises(ZeroDivisionError), writer(uri) as out:
+        out.write(b"third")
+        raise ZeroDivisionError
+    assert open_file(uri).read() == b"second"
