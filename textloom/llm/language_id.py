@@ -14,15 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import keep_rows, slices, strings, table, text_array
+from textloom.llm.common import held, keep_rows, slices, strings, table, text_array
 
 #: Bounds of the fit: labelled documents, languages, and words and n-grams of each length for each language.
 MAX_DOCS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 200, 20_000, 5_000, 4
 UNKNOWN = "und"
 #: Distinct pieces of text whose scores a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHES: dict[str, dict[str, np.ndarray]] = {}
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -71,21 +70,13 @@ class Model:
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The language number of each text (-1: none) and the posterior of it."""
-        if self.id not in _CACHES:
-            _CACHES.clear()
-        cache = _CACHES.setdefault(self.id, {})
+        cache = held(("language", self.id), lambda: Scores(self))
         lang, score = [np.zeros(0, np.int64)], [np.zeros(0)]
         for a, b in slices(texts):
             lists = pc.ascii_split_whitespace(texts[a:b])
             coded = pc.list_flatten(lists).dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False)
-            if len(cache) > CACHE:
-                cache.clear()
-            pieces = strings(coded.dictionary)
-            for p in pieces:
-                if p not in cache:
-                    cache[p] = self.piece(p)
-            values = np.array([cache[p] for p in pieces], np.float32).reshape(len(pieces), len(self.langs) + 1)
+            values = cache.of(strings(coded.dictionary))
             counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(b - a), counts)
             total = np.stack([np.bincount(owner, values[codes, k], b - a) for k in range(values.shape[1])], axis=1)
@@ -103,6 +94,36 @@ class Model:
         return np.concatenate(lang), np.concatenate(score)
 
 
+class Scores:
+    """Values of the pieces met so far, in one array; full, it starts anew."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.row: dict[str, int] = {}
+        self.values = np.zeros((CACHE, len(model.langs) + 1), np.float32)
+
+    def of(self, pieces: list[str]) -> np.ndarray:
+        row, out = self.row, np.empty((len(pieces), self.values.shape[1]), np.float32)
+        if len(row) + len(pieces) > len(self.values):
+            row.clear()
+        room = len(self.values)
+        at = np.empty(len(pieces), np.int64)
+        for k, p in enumerate(pieces):
+            r = row.get(p)
+            if r is None:
+                value = self.model.piece(p)
+                if len(row) < room:
+                    r = row[p] = len(row)
+                    self.values[r] = value
+                else:  # more pieces at once than are kept
+                    out[k] = value
+                    r = -1
+            at[k] = r
+        kept = at >= 0
+        out[kept] = self.values[at[kept]]
+        return out
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Count words and n-grams in a bounded sample of labelled documents.
 
