@@ -39,7 +39,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, each with its place in a sequence."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cache=400_000, slice_bytes=2 << 20)  # its workers hold memory of the stages before
 
 
 STAGES = [

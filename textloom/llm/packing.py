@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from textloom.llm.common import cut, slices, table, text_array
-from textloom.llm.tokens import encoder, load, public_path
+from textloom.llm.tokens import CACHE, SLICE, encoder, load, public_path
 
 #: Open bins of a packer, and pieces that it packs at least; their ratio bounds what bins left open waste.
 OPEN_BINS, PIECES = 512, 50_000
@@ -64,15 +64,15 @@ class OpenBins:
         return bin_id, self.capacity - space
 
 
-def pieces(docs: DataFrame, tokenizer: str, boundary: str, lower: bool, end: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, boundary: str, lower: bool, end: int, capacity: int, key: str = "doc_id", text: str = "text", cache: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
     """The pieces of each document's ids: all of them, or cuts of ``capacity`` of a longer document."""
     sent = load(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(sent, boundary, lower)
+        own = encoder(sent, boundary, lower, cache)
         for batch in batches:
             texts = text_array(batch.column(1))
-            for a, b in slices(texts, 32 << 20):
+            for a, b in slices(texts, slice_bytes):
                 ids, starts = own.encode(texts[a:b], end)
                 n = np.diff(starts)
                 count = -(-n // capacity)
@@ -117,15 +117,16 @@ def best_fit(sized: DataFrame, capacity: int, open_bins: int = OPEN_BINS, packer
     return ordered.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, boundary: str = "word", lower: bool = True, end: int = 1, capacity: int = 4096, key: str = "doc_id", text: str = "text", open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, boundary: str = "word", lower: bool = True, end: int = 1, capacity: int = 4096, key: str = "doc_id", text: str = "text", open_bins: int = OPEN_BINS, cache: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
     """Pieces of documents with the sequence of ``capacity`` ids that holds each, and their place in it.
 
     A document is its ids followed by ``end``; a null or empty text is ``end`` alone. Only
     longer documents are cut. Pieces with equal lengths or ids are packed apart, and
     sequences are gapless. Ids should be unique: rows that share one are packed each, and
     their pieces can't be told apart by number. No documents give no rows. Other columns are not read.
+    ``cache`` and ``slice_bytes`` bound a worker's memory.
     """
-    sized = pieces(docs, tokenizer or public_path("word_bpe_49k.json"), boundary, lower, end, capacity, key, text)
+    sized = pieces(docs, tokenizer or public_path("word_bpe_49k.json"), boundary, lower, end, capacity, key, text, cache, slice_bytes)
     return best_fit(cut(sized), capacity, open_bins)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, shared_dir, slices, table, text_array
 from textloom.llm.files import open_file, writer
-from textloom.llm.tokens import encoder, load, public_path
+from textloom.llm.tokens import SLICE, encoder, load, public_path
 
 SEQUENCE, ROWS = 2048, 32
 MANIFEST = "part int, path string, docs_path string, n_docs long, n_tokens long, n_sequences long"
@@ -111,7 +111,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, bou
         with writer(path) as out, writer(docs_path) as index, pa.ipc.new_stream(out, schema) as stream, pa.ipc.new_stream(index, DOCS) as listed:
             for batch in _chain(first, batches):
                 texts = text_array(batch.column(1))
-                for a, b in slices(texts, 16 << 20):
+                for a, b in slices(texts, SLICE):
                     ids, starts = own.encode(texts[a:b], end)
                     listed.write_batch(pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_tokens + starts[:-1]), pa.array(np.diff(starts))], schema=DOCS))
                     rest = np.concatenate([rest, ids.astype(rest.dtype)])
