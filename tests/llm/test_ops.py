@@ -265,6 +265,44 @@ def test_contaminations_against_brute_force(spark):
         decontaminate.contaminations(frame, bench, similarity=0.5)
 
 
+def weighted_brute_force(docs, items):
+    """Document and item: the best weighted share of item-sized windows, where it is 0.8 or more."""
+    weigh = lambda ws: Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+    df = Counter(h for x in items for h in weigh(x))
+    out = {}
+    for i, x in enumerate(items):
+        need = weigh(x)
+        weight = {h: 1 / (1 + np.log(df[h])) for h in need}
+        total = sum(c * weight[h] for h, c in need.items())
+        for k, own in docs:
+            for a in range(max(1, len(own) - len(x) + 1)):
+                value = sum(c * weight[h] for h, c in (weigh(own[a : a + len(x)]) & need).items()) / total
+                if value >= 0.8:
+                    out[k, i] = max(value, out.get((k, i), 0))
+    return out
+
+
+def test_templated_items_against_weighted_brute_force(spark):
+    items = []
+    for n, shared, sharing in ((17, 5, 2), (20, 5, 2), (17, 9, 40), (30, 21, 40), (9, 5, 12)):  # shingles, of which in the template, items that share it
+        template = [f"t{len(items)}x{k}" for k in range(shared + 4)]
+        at = (n - shared) // 2
+        for _ in range(sharing):
+            own = [f"o{len(items)}x{k}" for k in range(n - shared)]
+            items.append(own[:at] + template + own[at:])
+    docs = []
+    for i in (0, 2, 4, 44, 84):
+        x = items[i]
+        for place in range(len(x)):
+            for before in range(4):  # alignments with the windows of documents
+                docs.append((len(docs), [f"b{k}" for k in range(before)] + x[:place] + ["edited"] + x[place + 1 :] + ["end"]))
+    expected = weighted_brute_force(docs, items)
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminations(frame, bench).collect()}
+    assert got == {k: pytest.approx(v) for k, v in expected.items()}
+
+
 # --- classifiers
 def auc(rows):
     pos = [r["score"] for r in rows if r["y"] == 1]

@@ -27,7 +27,11 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
 #: Items that are broadcast at a time; more are taken in blocks of about this number.
 BLOCK_ITEMS = 20_000
 #: Shingles in a window, each twice the one before.
-WINDOWS = (2, 4, 8, 16)
+WINDOWS = (1, 2, 4, 8, 16)
+#: Items of fewer shingles match nothing.
+LEAST = 2
+#: Pairs of windows that are compared at a time.
+PAIRS = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -62,18 +66,33 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return _mix(total), out
 
 
-def window_of(n_shingles: int) -> int:
+def window_of(weights: np.ndarray, similarity: float = SIMILARITY) -> int:
     """The largest window of which one lies untouched inside every passage similar enough.
 
-    A replaced word spoils five shingles, so a fifth of them leaves room for ``edits``
-    words, and the longest untouched run has at least ``run`` shingles. A run of one and a
-    half windows holds a whole one, as they begin at every half window.
+    ``weights`` are those of an item's shingles in their places. A passage that reaches
+    ``similarity`` may lose shingles up to the rest of the weight, at most ``lost`` when the
+    cheapest go first. A replaced word between two untouched runs spoils five, so there are
+    at most ``edits`` + 1 runs and the longest has at least ``run`` shingles, wherever the
+    words are. A run of one and a half windows holds a whole one, as windows begin at every
+    half window (at every shingle for those of one or two). Some shingle is always left.
     """
-    edits = n_shingles // (5 * SHINGLE)
-    run = -(-(n_shingles - SHINGLE * edits) // (edits + 1)) if edits else int(SIMILARITY * n_shingles)
+    n = len(weights)
+    lost = int(np.searchsorted(np.cumsum(np.sort(weights)), (1 - similarity) * weights.sum() + 1e-9, "right"))
+    edits = lost // SHINGLE
+    run = -(-(n - lost) // (edits + 1))
     return max((w for w in WINDOWS if w + max(1, w // 2) - 1 <= run), default=WINDOWS[0])
 
 
+def _kept(item: np.ndarray, weights: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Places of the dearest shingles, of which a passage similar enough cannot lose all."""
+    own, first, at, counts = np.unique(item, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-weights[first], kind="stable")
+    mass = np.cumsum((weights[first] * counts)[order])
+    chosen = np.zeros(len(own), bool)
+    chosen[order[: np.searchsorted(mass, (1 - similarity) * weights.sum() + 1e-9, "right") + 1]] = True
+    return np.flatnonzero(chosen[at])
+
+
 def _windows(hashes: np.ndarray, starts: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints of windows of ``size`` hashes at every ``step`` inside each text: text, place, fingerprint."""
     n = np.maximum((np.diff(starts) - size) // step + 1, 0)
@@ -106,14 +125,19 @@ class Index:
         self.counts = [Counter(item.tolist()) for item in self.items]
         self.weights = [{h: 1 / (1 + math.log(df[h])) for h in own} for own in self.counts]
         self.totals = [sum(c * w[h] for h, c in own.items()) for own, w in zip(self.counts, self.weights)]
+        places = [np.array([w[h] for h in item.tolist()]) for w, item in zip(self.weights, self.items)]
+        window = np.array([window_of(w) if len(w) >= LEAST else 0 for w in places], np.int64)
         self.bits = 64 // (radius + 1)
         self.sizes = {}
         for size in WINDOWS:
-            chosen = np.array([k for k in range(len(n)) if n[k] >= WINDOWS[0] and window_of(n[k]) == size], np.int64)
+            chosen = np.flatnonzero(window == size)
             if not len(chosen):
                 continue
             own = np.concatenate([[0], np.cumsum(n[chosen])])
             text, place, prints = _windows(np.concatenate([self.items[k] for k in chosen]), own, size, 1)
+            if size == 1:  # one of the dearest is enough
+                kept = np.concatenate([a + _kept(self.items[k], places[k]) for a, k in zip(own, chosen)])
+                text, place, prints = text[kept], place[kept], prints[kept]
             tables = []
             for b in range(radius + 1):
                 key = self._block(prints, b)
@@ -127,18 +151,23 @@ class Index:
     def _near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (document window, item window) within the radius, all of them."""
         _, _, items, tables = self.sizes[size]
-        left, right = [], []
+        found = [np.zeros((0, 2), np.int64)]
         for b, (begins, order) in enumerate(tables):
             key = self._block(prints, b).astype(np.int64)
             lo = begins[key]
             n = begins[key + 1] - lo
-            row = np.repeat(np.arange(len(prints)), n)
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            col = order[at]
-            ok = np.bitwise_count(prints[row] ^ items[col]) <= self.radius
-            left.append(row[ok])
-            right.append(col[ok])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+            ends = np.cumsum(n)
+            start = 0
+            while start < len(n):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+                own = n[start:stop]
+                row = np.repeat(np.arange(start, stop), own)
+                at = np.repeat(lo[start:stop] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                col = order[at]
+                ok = np.bitwise_count(prints[row] ^ items[col]) <= self.radius
+                found.append(np.stack([row[ok], col[ok]], axis=1))
+                start = stop
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
     def search(self, texts: pa.Array, least: float) -> Iterator[tuple[int, int, int, int, float]]:
