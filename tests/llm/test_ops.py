@@ -303,6 +303,19 @@ def test_templated_items_against_weighted_brute_force(spark):
     assert got == {k: pytest.approx(v) for k, v in expected.items()}
 
 
+def test_blocks_of_items_give_the_same_similarities(spark):
+    template = [f"t{k}" for k in range(12)]
+    items = [[f"o{i}x{k}" for k in range(10)] + template + [f"p{i}x{k}" for k in range(6 + i)] for i in range(9)]
+    docs = [(10 * i + e, x[:e] + ["edited"] + x[e + 1 :]) for i, x in enumerate(items) for e in (0, 12, 16)]
+    expected = weighted_brute_force(docs, items)
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for block in (3, 5, 1000):
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminations(frame, bench, block=block).collect()}
+        assert got == {k: pytest.approx(v) for k, v in expected.items()}
+    assert decontaminate.keep_clean(frame, bench, block=3).count() == len(docs) - len({k for k, _ in expected})
+
+
 # --- classifiers
 def auc(rows):
     pos = [r["score"] for r in rows if r["y"] == 1]

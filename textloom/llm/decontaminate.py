@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import keep_rows, slices, strings, table, text_array
+from textloom.llm.common import cut, keep_rows, slices, strings, table, text_array
 from textloom.llm.simhash import BLOCK
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
@@ -112,18 +112,23 @@ def _windows(hashes: np.ndarray, starts: np.ndarray, size: int, step: int) -> tu
 
 
 class Index:
-    """Window fingerprints of a block of items, by Hamming blocks."""
+    """Window fingerprints of a block of items, by Hamming blocks.
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS):
+    ``df`` has the number of items that hold a shingle, over all blocks, at least where
+    it is above 1; without it the given items are all there are.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], df: dict[int, int] | None = None, radius: int = RADIUS):
         self.ids, self.radius = ids, radius
         hashes, starts = shingles(text_array(pa.array(texts, pa.string())))
         n = np.diff(starts)
         self.lengths = n
         self.items = [hashes[a:b] for a, b in zip(starts[:-1], starts[1:])]
-        df = Counter(h for item in self.items for h in set(item.tolist()))
+        if df is None:
+            df = Counter(h for item in self.items for h in set(item.tolist()))
         #: rarer shingles weigh more
         self.counts = [Counter(item.tolist()) for item in self.items]
-        self.weights = [{h: 1 / (1 + math.log(df[h])) for h in own} for own in self.counts]
+        self.weights = [{h: 1 / (1 + math.log(df.get(h, 1))) for h in own} for own in self.counts]
         self.totals = [sum(c * w[h] for h, c in own.items()) for own, w in zip(self.counts, self.weights)]
         places = [np.array([w[h] for h in item.tolist()]) for w, item in zip(self.weights, self.items)]
         window = np.array([window_of(w) if len(w) >= LEAST else 0 for w in places], np.int64)
@@ -192,14 +197,33 @@ class Index:
                 yield a + t, i, -first, int(self.lengths[i]), value
 
 
+def _held_shingles(rows: DataFrame) -> DataFrame:
+    """``h`` (signed long): each item's shingles, once an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_array(batch.column(0))
+            for a, b in slices(texts):
+                hashes, starts = shingles(texts[a:b])
+                own = [np.unique(hashes[x:y]) for x, y in zip(starts[:-1], starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["h"])
+
+    return rows.select("text").mapInArrow(run, "h long")
+
+
 def _blocks(items: DataFrame, item: str, text: str, size: int) -> Iterator[Index]:
-    """Indexes over all items, ``size`` at a time."""
+    """Indexes over all items, ``size`` at a time; shingles are counted over the whole table."""
     rows = items.select(F.col(item).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
     blocks = -(-rows.count() // size)
+    shared = cut(_held_shingles(rows).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")) if blocks > 1 else None
     for k in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
+        own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+        part = own.orderBy("id", "text").collect()
         if part:
-            yield Index([r["id"] for r in part], [r["text"] for r in part])
+            df = None
+            if shared is not None:  # of the block's shingles, those that several items hold
+                df = {h % (1 << 64): n for h, n in shared.join(_held_shingles(own).distinct(), "h", "left_semi").collect()}
+            yield Index([r["id"] for r in part], [r["text"] for r in part], df)
 
 
 def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK_ITEMS) -> DataFrame:
@@ -207,7 +231,8 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     ``similarity`` is the weighted share of the item's 5-word shingles in the best
     item-sized window, of at least the given value; ``start`` and ``words`` are the
-    window's place in words (runs of letters and digits, lower-cased). Items are a stated
+    window's place in words (runs of letters and digits, lower-cased). Shingles that more
+    items of the whole table hold weigh less, whatever ``block`` is. Items are a stated
     query set: each block of a bounded number is sent to all executors and held against
     all documents. Items of fewer than six words (two shingles) and null or empty texts match nothing.
     Repeated documents and items each give their rows. Other columns are not read.
