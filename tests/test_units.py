@@ -103,6 +103,30 @@ def test_similar_pairs_recall(spark):
     assert not true or len(pairs & true) / len(true) >= 0.9
 
 
+def test_groups_of_all_similar_pairs(spark, tmp_path):
+    import numpy as np
+
+    from textloom.plans import vector_plans
+
+    rng = np.random.default_rng(1)
+    a, b = np.linalg.qr(rng.standard_normal((300, 64, 2)))[0].transpose(2, 0, 1)
+    x = np.concatenate([a, 0.56 * a + np.sqrt(1 - 0.56**2) * b, a[:3], np.zeros((2, 64))]).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist(), k % 4) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    y = x[:-2].astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near, expected = y @ y.T >= 0.55, np.arange(len(x))
+    while True:  # the least place within reach
+        now = np.concatenate([np.where(near, expected[: len(y)], len(x)).min(axis=1), expected[len(y) :]])
+        if (now == expected).all():
+            break
+        expected = now
+    assert len(set(expected.tolist())) < 320
+    found = [vector_plans.e12(spark, str(tmp_path)), V.groups(rows, V.similar_links(rows, 0.55, block=150))]
+    for own in found:
+        assert {r["vec_id"]: r["group_id"] for r in own.collect()} == dict(enumerate(expected.tolist()))
+
+
 def test_isolation_forest_finds_the_odd_one(spark):
     rows = spark.createDataFrame([(k, float(k % 7), float(k % 5)) for k in range(200)] + [(999, 500.0, 500.0)], "doc_id long, a double, b double")
     forest = models.isolation_forest(rows, ["a", "b"], "doc_id", trees=40)

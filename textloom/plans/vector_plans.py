@@ -76,7 +76,7 @@ def e11(s, d):
 
 def _grouped(s, d):
     e = table(s, d, "embeddings")
-    return V.groups(e, V.similar_pairs(e, 0.55, bits=6, tables=24))
+    return V.groups(e, V.similar_links(e, 0.55))
 
 
 def e12(s, d):
