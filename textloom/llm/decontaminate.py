@@ -1,10 +1,12 @@
 """Benchmark decontamination by SimHash windows, Hamming blocks and exact verification.
 
-Items are cut into windows at every word; documents into windows of the same sizes at
-every half window. A passage of an item in a document holds whole document windows, so
-some item window has the same words. Fingerprints within ``radius`` bits agree in one of
-``radius`` + 1 blocks, so a lookup of every block finds all of them. Each hit aligns an
-item-sized window of the document with the item, whose weighted shingles are compared.
+Every item has fingerprints of windows nearly as large as itself, which meet passages of
+the same words in another order or with little changed, and of the largest windows of
+which one must lie untouched inside any passage similar enough. Documents have windows of
+the same sizes, at steps that make one lie inside such a passage. Fingerprints within
+``radius`` bits agree in one of ``radius`` + 1 blocks, so a lookup of every block finds
+all of them. Of each hit all item-sized windows of the document that hold it are compared
+with the item by their weighted shingles.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ from textloom.llm.common import cut, keep_rows, slices, strings, table, text_arr
 from textloom.llm.simhash import BLOCK
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
-#: Items that are broadcast at a time; more are taken in blocks of about this number.
-BLOCK_ITEMS = 20_000
-#: Shingles in a window, each twice the one before.
+#: Items, and bytes of their texts, that are broadcast at a time; more are taken in blocks of about that size.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 64 << 20
+#: Shingles in an untouched window, each twice the one before.
 WINDOWS = (1, 2, 4, 8, 16)
-#: Items of fewer shingles match nothing.
-LEAST = 2
+#: Shingles in an item-sized window: powers of two, and these by half more.
+SIZED = tuple(w for k in range(2, 15) for w in (1 << k, 3 << (k - 1)))
 #: Pairs of windows that are compared at a time.
 PAIRS = 1 << 20
+#: Pairs of a text and an item with hits that are gathered before they are verified.
+SEEN = 1 << 17
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -71,16 +75,27 @@ def window_of(weights: np.ndarray, similarity: float = SIMILARITY) -> int:
 
     ``weights`` are those of an item's shingles in their places. A passage that reaches
     ``similarity`` may lose shingles up to the rest of the weight, at most ``lost`` when the
-    cheapest go first. A replaced word between two untouched runs spoils five, so there are
-    at most ``edits`` + 1 runs and the longest has at least ``run`` shingles, wherever the
+    cheapest go first. Where one untouched run ends and another begins a word was put in
+    (four shingles are spoiled), left out or replaced (five), so there are at most
+    ``edits`` + 1 runs and the longest has at least ``run`` shingles, wherever the
     words are. A run of one and a half windows holds a whole one, as windows begin at every
     half window (at every shingle for those of one or two). Some shingle is always left.
     """
     n = len(weights)
     lost = int(np.searchsorted(np.cumsum(np.sort(weights)), (1 - similarity) * weights.sum() + 1e-9, "right"))
-    edits = lost // SHINGLE
+    edits = lost // (SHINGLE - 1)
     run = -(-(n - lost) // (edits + 1))
-    return max((w for w in WINDOWS if w + max(1, w // 2) - 1 <= run), default=WINDOWS[0])
+    return max((w for w in WINDOWS if w + step_of(w) - 1 <= run), default=WINDOWS[0])
+
+
+def step_of(size: int) -> int:
+    """Shingles from one document window to the next."""
+    return max(1, size // 2) if size in WINDOWS else size // 8 or 1
+
+
+def sized_window(n: int) -> int:
+    """The largest window of ``SIZED`` that lies whole inside every run of ``n`` shingles; 0 if there is none."""
+    return max((w for w in SIZED if w + step_of(w) - 1 <= n), default=0)
 
 
 def _kept(item: np.ndarray, weights: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -93,22 +108,46 @@ def _kept(item: np.ndarray, weights: np.ndarray, similarity: float = SIMILARITY)
     return np.flatnonzero(chosen[at])
 
 
-def _windows(hashes: np.ndarray, starts: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of windows of ``size`` hashes at every ``step`` inside each text: text, place, fingerprint."""
-    n = np.maximum((np.diff(starts) - size) // step + 1, 0)
-    n = np.where(np.diff(starts) < size, 0, n)
-    out = np.concatenate([[0], np.cumsum(n)])
-    text = np.repeat(np.arange(len(n)), n)
-    place = (np.arange(out[-1]) - out[text]) * step
-    at = starts[text] + place
-    prints = []
-    for a in range(0, len(at), BLOCK // size):
-        rows = at[a : a + BLOCK // size]
-        members = hashes[rows[:, None] + np.arange(size)].ravel()
-        bits = np.unpackbits(members.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
-        counts = bits.reshape(len(rows), size, 8).sum(axis=1).view(np.uint8)  # up to 255 a byte
-        prints.append(np.packbits(2 * counts.astype(np.int16) > size, axis=1, bitorder="little").view(np.uint64).ravel())
-    return text, place, np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+def _halves(size: int) -> tuple[int, int]:
+    """A window size as the sum of two powers of two, the second 0 for a power of two."""
+    high = 1 << (size.bit_length() - 1)
+    return high, size - high
+
+
+def windows(hashes: np.ndarray, starts: np.ndarray, steps: dict[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Fingerprints of windows inside each text, for each size at its step: size, text, place, fingerprint.
+
+    Counts of the 64 bits stand side by side in bytes (larger sizes: two bytes each). Those of
+    a window are the sum of its halves', so every doubling is one addition for all places.
+    ``BLOCK`` places are taken at a time.
+    """
+    most = max(steps, default=0)
+    places = {}
+    for size, step in steps.items():
+        n = np.where(np.diff(starts) < size, 0, np.maximum((np.diff(starts) - size) // step + 1, 0))
+        text = np.repeat(np.arange(len(n)), n)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
+        places[size] = text, place, starts[text] + place
+    for a in range(0, len(hashes), BLOCK):
+        part = hashes[a : a + BLOCK + most - 1]
+        sums = {1: np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)}
+        for size in sorted(steps):
+            text, place, at = places[size]
+            x, y = np.searchsorted(at, (a, a + BLOCK))
+            if x == y:
+                continue
+            high, low = _halves(size)
+            for w in [1 << k for k in range(1, high.bit_length()) if 1 << k not in sums]:
+                half = sums[w // 2]
+                if w == 256:  # no longer fits in a byte
+                    half = half.view(np.uint8).astype(np.uint16).view(np.uint64)
+                sums[w] = half[: -(w // 2)] + half[w // 2 :]
+            rows = at[x:y] - a
+            kind = np.uint8 if size < 256 else np.uint16
+            counts = sums[high][rows].view(np.uint8 if high < 256 else np.uint16).astype(kind)
+            if low:
+                counts = counts + sums[low][rows + high].view(np.uint8 if low < 256 else np.uint16)
+            yield size, text[x:y], place[x:y], np.packbits(counts > size // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 class Index:
@@ -120,7 +159,8 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str], df: dict[int, int] | None = None, radius: int = RADIUS):
         self.ids, self.radius = ids, radius
-        hashes, starts = shingles(text_array(pa.array(texts, pa.string())))
+        column = text_array(pa.array(texts, pa.string()))
+        hashes, starts = shingles(column)
         n = np.diff(starts)
         self.lengths = n
         self.items = [hashes[a:b] for a, b in zip(starts[:-1], starts[1:])]
@@ -131,15 +171,14 @@ class Index:
         self.weights = [{h: 1 / (1 + math.log(df.get(h, 1))) for h in own} for own in self.counts]
         self.totals = [sum(c * w[h] for h, c in own.items()) for own, w in zip(self.counts, self.weights)]
         places = [np.array([w[h] for h in item.tolist()]) for w, item in zip(self.weights, self.items)]
-        window = np.array([window_of(w) if len(w) >= LEAST else 0 for w in places], np.int64)
+        untouched = np.array([window_of(w) if len(w) else 0 for w in places], np.int64)
+        sized = np.array([sized_window(int(k)) for k in n], np.int64)
         self.bits = 64 // (radius + 1)
         self.sizes = {}
-        for size in WINDOWS:
-            chosen = np.flatnonzero(window == size)
-            if not len(chosen):
-                continue
+        for size in sorted({*untouched.tolist(), *sized.tolist()} - {0}):
+            chosen = np.flatnonzero((untouched == size) | (sized == size))
             own = np.concatenate([[0], np.cumsum(n[chosen])])
-            text, place, prints = _windows(np.concatenate([self.items[k] for k in chosen]), own, size, 1)
+            text, place, prints = (np.concatenate(x) for x in list(zip(*windows(np.concatenate([self.items[k] for k in chosen]), own, {size: 1})))[1:])
             if size == 1:  # one of the dearest is enough
                 kept = np.concatenate([a + _kept(self.items[k], places[k]) for a, k in zip(own, chosen)])
                 text, place, prints = text[kept], place[kept], prints[kept]
@@ -149,14 +188,40 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 tables.append((np.searchsorted(key[order], np.arange((1 << self.bits) + 1, dtype=np.uint64)), order))
             self.sizes[size] = chosen[text], place, prints, tables
+        self._short(column)
+
+    def _short(self, column: pa.Array) -> None:
+        """Items of too few words for a shingle, by their number of words: the hash of all of them, and the items."""
+        _, starts = clean_words(column)
+        words = np.diff(starts)
+        self.short = {}
+        for size in range(1, SHINGLE):
+            chosen = np.flatnonzero(words == size)
+            if len(chosen):
+                hashes, _ = shingles(column.take(pa.array(chosen)), size)
+                order = np.argsort(hashes, kind="stable")
+                self.short[size] = hashes[order], chosen[order]
+
+    def _whole(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, words) of items of too few words for a shingle that a text holds, at their first place."""
+        for size, (known, items) in self.short.items():
+            hashes, starts = shingles(texts, size)
+            lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+            at = np.flatnonzero(hi > lo)
+            n = (hi - lo)[at]
+            place = np.repeat(at, n)
+            item = items[np.repeat(lo[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            text = np.searchsorted(starts, place, "right") - 1
+            _, one = np.unique(text * len(self.ids) + item, return_index=True)
+            for k in one.tolist():
+                yield int(text[k]), int(item[k]), int(place[k] - starts[text[k]]), size
 
     def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
         return (prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)
 
-    def _near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _near(self, size: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (document window, item window) within the radius, all of them."""
         _, _, items, tables = self.sizes[size]
-        found = [np.zeros((0, 2), np.int64)]
         for b, (begins, order) in enumerate(tables):
             key = self._block(prints, b).astype(np.int64)
             lo = begins[key]
@@ -170,31 +235,66 @@ class Index:
                 at = np.repeat(lo[start:stop] - (np.cumsum(own) - own), own) + np.arange(own.sum())
                 col = order[at]
                 ok = np.bitwise_count(prints[row] ^ items[col]) <= self.radius
-                found.append(np.stack([row[ok], col[ok]], axis=1))
+                yield row[ok], col[ok]
                 start = stop
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pairs[:, 0], pairs[:, 1]
 
     def search(self, texts: pa.Array, least: float) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, item, first shingle, shingles, similarity): for each text and item the best window."""
+        """(text, item, first word, words, similarity): for each text and item the best window."""
+        steps = {size: step_of(size) for size in self.sizes}
         for a, b in slices(texts):
             hashes, starts = shingles(texts[a:b])
-            tried: set[tuple[int, int, int]] = set()
-            for size, (item_of, item_place, _, _) in self.sizes.items():
-                text, place, prints = _windows(hashes, starts, size, max(1, size // 2))
-                row, col = self._near(size, prints)
-                tried.update(zip(text[row].tolist(), item_of[col].tolist(), (place[row] - item_place[col]).tolist()))
+            hits: dict[tuple[int, int], set[tuple[int, int]]] = {}
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for t, i, at in tried:
-                first = max(0, at)
-                own = Counter(hashes[starts[t] + first : min(starts[t + 1], starts[t] + at + self.lengths[i])].tolist())
-                weights, counts = self.weights[i], self.counts[i]
-                shared = sum(weights[h] * min(c, counts[h]) for h, c in own.items() if h in counts)
-                value = shared / self.totals[i]
-                if value >= least and (value, -first) > best.get((t, i), (0.0, 0)):
-                    best[t, i] = value, -first
+            for size, text, place, prints in windows(hashes, starts, steps):
+                item_of = self.sizes[size][0]
+                for row, col in self._near(size, prints):
+                    for t, i, at in set(zip(text[row].tolist(), item_of[col].tolist(), place[row].tolist())):
+                        hits.setdefault((t, i), set()).add((at + size - int(self.lengths[i]), at))
+                if len(hits) > SEEN:
+                    self._verify(hits, hashes, starts, least, best)
+            self._verify(hits, hashes, starts, least, best)
             for (t, i), (value, first) in sorted(best.items()):
-                yield a + t, i, -first, int(self.lengths[i]), value
+                yield a + t, i, -first, int(self.lengths[i]) + SHINGLE - 1, value
+            if self.short:
+                for t, i, first, words in self._whole(texts[a:b]):
+                    yield a + t, i, first, words, 1.0
+
+    def _verify(self, hits: dict, hashes: np.ndarray, starts: np.ndarray, least: float, best: dict) -> None:
+        """Put the best window of each hit text and item into ``best`` if it is similar enough; empties ``hits``.
+
+        Of every hit all item-sized windows that hold it are compared, from its first place to its last.
+        """
+        for (t, i), places in hits.items():
+            own = hashes[starts[t] : starts[t + 1]].tolist()
+            last = max(0, len(own) - int(self.lengths[i]))
+            done = -1
+            for lo, hi in sorted(places):
+                lo, hi = max(done + 1, min(max(lo, 0), last)), min(max(hi, 0), last)
+                if lo <= hi:
+                    done = hi
+                    value, first = self._similarity(i, own, lo, hi)
+                    if value >= least and (value, -first) > best.get((t, i), (0.0, 0)):
+                        best[t, i] = value, -first
+        hits.clear()
+
+    def _similarity(self, i: int, own: list[int], lo: int, hi: int) -> tuple[float, int]:
+        """The greatest weighted share of item ``i``'s shingles in a window of its size that begins from ``lo`` to ``hi``, and the first such place."""
+        n, weights, counts = int(self.lengths[i]), self.weights[i], self.counts[i]
+        held = Counter(h for h in own[lo : lo + n] if h in counts)
+        shared = sum(weights[h] * min(c, counts[h]) for h, c in held.items())
+        top, first = shared, lo
+        for at in range(lo + 1, hi + 1):
+            gone, come = own[at - 1], own[at + n - 1]
+            if gone in counts:
+                shared -= weights[gone] * (held[gone] <= counts[gone])
+                held[gone] -= 1
+            if come in counts:
+                shared += weights[come] * (held[come] < counts[come])
+                held[come] += 1
+            if shared > top + 1e-9:
+                top, first = shared, at
+        whole = Counter(h for h in own[first : first + n] if h in counts)  # without the rounding of many steps
+        return sum(weights[h] * min(c, counts[h]) for h, c in whole.items()) / self.totals[i], first
 
 
 def _held_shingles(rows: DataFrame) -> DataFrame:
@@ -212,9 +312,10 @@ def _held_shingles(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(items: DataFrame, item: str, text: str, size: int) -> Iterator[Index]:
-    """Indexes over all items, ``size`` at a time; shingles are counted over the whole table."""
+    """Indexes over all items, about ``size`` or ``BLOCK_BYTES`` at a time; shingles are counted over the whole table."""
     rows = items.select(F.col(item).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
-    blocks = -(-rows.count() // size)
+    count, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-count // size), -(-held // BLOCK_BYTES))
     shared = cut(_held_shingles(rows).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")) if blocks > 1 else None
     for k in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
@@ -232,10 +333,13 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ``similarity`` is the weighted share of the item's 5-word shingles in the best
     item-sized window, of at least the given value; ``start`` and ``words`` are the
     window's place in words (runs of letters and digits, lower-cased). Shingles that more
-    items of the whole table hold weigh less, whatever ``block`` is. Items are a stated
-    query set: each block of a bounded number is sent to all executors and held against
-    all documents. Items of fewer than six words (two shingles) and null or empty texts match nothing.
-    Repeated documents and items each give their rows. Other columns are not read.
+    items of the whole table hold weigh less, whatever ``block`` is. An item of fewer than
+    five words has no shingle: it is found where all its words stand in a row, with
+    similarity 1, at the first place. Null and wordless texts match nothing. Items are a
+    stated query set: each block of a bounded number and size is sent to all executors and
+    held against all documents in a pass of its own. Texts are read whole; one longer than
+    a slice is a slice of its own. Repeated documents and items each give their rows. Other
+    columns are not read.
     """
     if similarity < 0.8:
         raise ValueError("the windows find similarities of 0.8 or more")
@@ -250,7 +354,7 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             for batch in batches:
                 found = list(sent.value.search(text_array(batch.column(1)), similarity))
                 rows, own, first, n, value = zip(*found) if found else ((),) * 5
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "item_id": pa.array([sent.value.ids[k] for k in own], pa.int64()), "similarity": pa.array(value, pa.float64()), "start": pa.array(first, pa.int64()), "words": pa.array([k + SHINGLE - 1 for k in n], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "item_id": pa.array([sent.value.ids[k] for k in own], pa.int64()), "similarity": pa.array(value, pa.float64()), "start": pa.array(first, pa.int64()), "words": pa.array(n, pa.int64())})
 
         part = read.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
