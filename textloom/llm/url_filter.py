@@ -15,7 +15,9 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-DAMPING, ROUNDS, RATIO = 0.85, 10, 1.0
+DAMPING, RATIO = 0.85, 1.0
+#: Share of the seeds' mass that may still be on its way when scores count as settled, rounds until that is an error, and rounds in one job.
+TOLERANCE, MOST_ROUNDS, STEP = 1e-6, 10_000, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links to other hosts in a page.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -31,7 +33,9 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``ruling``: the longest rule that fits, null if none.
 
-    ``rules`` is a parameter of bounded length and becomes one expression.
+    ``rules`` is a parameter of bounded length and becomes one expression. Of rules of equal
+    length, which can only both fit if they are the same host and path or split them
+    differently, the last in order of host, path and verdict wins: block before allow.
     """
     host, path = split_url(F.col("_url"))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
@@ -42,67 +46,108 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, ke
     return rows.withColumn("_r", chain).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.ruling").alias("ruling"))
 
 
-def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``src``, ``dst``, ``weight``: pages of a host that link to another host."""
+def host_edges(pages: DataFrame, url: str = "url", html: str = "html", domains: bool = False) -> DataFrame:
+    """``src``, ``dst``, ``weight``: pages of a host that link to another host.
+
+    With ``domains`` a host of three labels or more also has an edge of weight 1 to the
+    domain above it and one back, for collections whose links stay within hosts.
+    """
     host, _ = split_url(F.coalesce(F.col(url).cast("string"), F.lit("")))
     linked = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(html).cast("string"), F.lit("")), F.lit(LINK), 1), lambda x: F.translate(x, UPPER, LOWER)))
     pairs = pages.select(host.alias("src"), F.explode(linked).alias("dst")).filter("src != '' AND src != dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    edges = pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    if not domains:
+        return edges
+    labels = F.split("host", r"\.")
+    levels = F.sequence(F.lit(1), F.size(labels) - 2)
+    chain = F.transform(levels, lambda k: F.struct(F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("low"), F.array_join(F.slice(labels, k + 1, F.size(labels)), ".").alias("high")))
+    hosts = pages.select(host.alias("host")).distinct().filter(F.size(labels) > 2)
+    steps = hosts.select(F.inline(chain)).distinct()
+    both = steps.select(F.explode(F.array(F.struct(F.col("low").alias("src"), F.col("high").alias("dst")), F.struct(F.col("high").alias("src"), F.col("low").alias("dst")))).alias("e"))
+    return edges.unionByName(both.select("e.src", "e.dst", F.lit(1.0).alias("weight"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Personalised PageRank: ``host``, ``score``, with the total mass of ``seeds`` (``host``, ``mass``).
 
     A host passes on ``damping`` of its score over its edges by weight and the rest flows
-    from the seeds; what hosts without edges would pass on goes back to the seeds.
-    Every round is a join and a sum by host over pre-aggregated edges, cut by a checkpoint.
+    from the seeds; what hosts without edges would pass on goes back to the seeds. So the
+    scores are in proportion to the sum of all walks from the seeds, damped at each step:
+    every round adds the walks one edge longer. Rounds go on until the walks still to come
+    hold less than ``tolerance`` of the mass and no new host was reached; over
+    ``most_rounds`` of them are an error. A round is a join and a sum by host over
+    pre-aggregated edges; a checkpoint cuts the plan every few rounds.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = cut(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    share = cut(edges.join(total, "src").select("src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
     mass = seeds.agg(F.sum("mass")).first()[0] or 0.0
-    scores = seeds.select("host", F.col("mass").alias("score"))
     if mass == 0 or share.isEmpty():
-        return scores
-    for _ in range(rounds):
-        passed = share.join(scores, share["src"] == scores["host"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
-        moved = cut(passed)
-        back = mass - (moved.agg(F.sum("score")).first()[0] or 0.0)
-        fresh = seeds.select("host", (F.col("mass") * F.lit(back / mass)).alias("score"))
-        scores = moved.unionByName(fresh).groupBy("host").agg(F.sum("score").alias("score"))
-    return scores
-
-
-def host_verdicts(rows: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:
+        return seeds.select("host", F.col("mass").alias("score"))
+    # an edge from each host to itself carries the sum so far, so that a round reads the state once
+    ends = share.select(F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select(F.col("host").alias("src"))).distinct()
+    moves = cut(share.withColumn("keep", F.lit(False)).unionByName(ends.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("keep"))))
+    state = seeds.groupBy("host").agg(F.sum("mass").alias("walk")).select("host", "walk", F.col("walk").alias("sum"))
+    reached = 0
+    for _ in range(0, most_rounds, STEP):
+        for _ in range(STEP):
+            sent = state.join(moves, state["host"] == moves["src"]).filter("keep OR walk > 0")
+            walk, kept = F.when(F.col("keep"), 0.0).otherwise(F.col("walk") * F.col("share")), F.when(F.col("keep"), F.col("sum")).otherwise(0.0)
+            new = sent.groupBy(F.col("dst").alias("host")).agg(F.sum(walk).alias("walk"), F.sum(kept).alias("before"))
+            state = new.select("host", "walk", (F.col("before") + F.col("walk")).alias("sum"))
+        state = cut(state)
+        hosts, left, whole = state.agg(F.count("*"), F.sum("walk"), F.sum("sum")).first()
+        if hosts == reached and left * damping <= tolerance * (1 - damping) * whole:
+            return state.select("host", (F.col("sum") * F.lit(mass / whole)).alias("score"))
+        reached = hosts
+    raise RuntimeError(f"trust has not settled after {most_rounds} rounds")
+
+
+def host_verdicts(rows: DataFrame, edges: DataFrame, damping: float = DAMPING, ratio: float = RATIO, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """``host``, ``trust``, ``distrust``, ``host_verdict`` for all hosts that either reaches.
 
     Seeds are hosts of pages that rules allow or block, by their number. Trust follows
-    links; distrust goes from a blocked host to those that link to it. A host is blocked
-    where distrust is above ``ratio`` times trust.
+    links; distrust goes from a blocked host to those that link to it, however far. A host
+    is blocked where distrust is above ``ratio`` times trust.
     """
     seeds = cut(rows.filter("ruling IS NOT NULL").groupBy("host").agg(F.count_if(F.col("ruling") == "allow").cast("double").alias("good"), F.count_if(F.col("ruling") == "block").cast("double").alias("bad")))
-    trust = propagate(edges, seeds.filter("good > 0").select("host", F.col("good").alias("mass")), damping, rounds)
+    trust = propagate(edges, seeds.filter("good > 0").select("host", F.col("good").alias("mass")), damping, tolerance, most_rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, seeds.filter("bad > 0").select("host", F.col("bad").alias("mass")), damping, rounds)
+    distrust = propagate(back, seeds.filter("bad > 0").select("host", F.col("bad").alias("mass")), damping, tolerance, most_rounds)
     parts = trust.select("host", F.col("score").alias("t"), F.lit(0.0).alias("d")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("score").alias("d")))
     both = parts.groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
     return both.withColumn("host_verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
 
 
-def verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO, key: str = "page_id", url: str = "url", html: str = "html", salts: int = 16) -> DataFrame:
+def verdicts(
+    pages: DataFrame,
+    rules: tuple[tuple[str, str, str], ...] = RULES,
+    damping: float = DAMPING,
+    ratio: float = RATIO,
+    tolerance: float = TOLERANCE,
+    most_rounds: int = MOST_ROUNDS,
+    domains: bool = False,
+    key: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    salts: int = 16,
+) -> DataFrame:
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``trust``, ``distrust``.
 
     A rule's verdict stands; pages without one get their host's, and allow where neither
     trust nor distrust reaches the host. Null urls and ones without ``://`` have an empty
-    host and path, and fit no rule. Null pages have no links. Rows with the same id are
-    judged each. A host may hold a third of all pages: the join with hosts is salted.
+    host and path, and fit no rule. Null pages have no links. Urls and pages are read
+    whole, however long. Rows with the same id are judged each, null ids too; columns
+    other than key, url and page are not read. A host may hold a third of all pages: the
+    join with hosts is salted.
     """
     rows = judged(pages, rules, key, url)
-    edges = cut(host_edges(pages, url, html))
-    known = host_verdicts(rows, edges, damping, rounds, ratio)
+    edges = cut(host_edges(pages, url, html, domains))
+    known = host_verdicts(rows, edges, damping, ratio, tolerance, most_rounds)
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)))
     found = salted.join(spread, ["host", "salt"], "left")
-    return found.select("page_id", "host", "path", "rule", F.coalesce("ruling", "host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    verdict = F.coalesce("ruling", "host_verdict", F.lit("allow")).alias("verdict")
+    return found.select("page_id", "host", "path", "rule", verdict, F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
