@@ -57,6 +57,9 @@ def near(vectors: np.ndarray) -> np.ndarray:
 
 #: Lowest bit, width, and zero bits put below each segment of a 64-bit fingerprint.
 SEGMENTS = ((0, 22, 1), (22, 21, 2), (43, 21, 2))
+#: Bit from which a key holds its kind, and for each kind a segment of which the key says nothing (for the last two: little).
+KIND_BIT = 52
+OPEN_SEGMENTS = (*(3 - i - j for i, j in permutations(range(3), 2)), 0, 0)
 
 
 def _parity(values: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ def pair_keys(fingerprints: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray],
         def add(kind: int, many: np.ndarray, fixed: np.ndarray, shift: int) -> None:
             row, column = np.nonzero(many >= 0)
             rows.append(row)
-            found.append(kind << 52 | fixed[row] | many[row, column] << shift)
+            found.append(kind << KIND_BIT | fixed[row] | many[row, column] << shift)
 
         for kind, (i, j) in enumerate(permutations(range(3), 2)):
             add(kind, keys[j][:, :1] if left else keys[j], parts[i] << 12, 0)
