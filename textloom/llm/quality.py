@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 from textloom.llm.language_id import remainder
 
-#: Bounds of the fit: labelled documents of each class; trees, their depth, and the rules tried.
-MAX_EACH, TREES, DEPTH, MAX_RULES = 4_000, 40, 3, 400
+#: Bounds of the fit: labelled documents of each class; trees and their depth, and so the rules: 14 a tree at most.
+MAX_EACH, TREES, DEPTH = 4_000, 40, 3
 #: Loss (nats a document) that fewer rules may cost.
 SLACK = 0.02
 SPACE = r"[\x20\x09-\x0D]+"
@@ -100,7 +100,7 @@ def _grow(x: np.ndarray, y: np.ndarray, columns: np.ndarray, depth: int, path: t
         _grow(x[side], y[side], columns, depth - 1, (*path, (int(k), above, t)), out, least)
 
 
-def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, most: int = MAX_RULES, seed: int = 5) -> list[Rule]:
+def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> list[Rule]:
     """Distinct rules of trees that each see a part of the rows and of the features."""
     rng = np.random.default_rng(seed)
     found: dict[Rule, None] = {}
@@ -111,7 +111,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
         own: list[Rule] = []
         _grow(x[rows], y[rows], np.sort(columns), depth, (), own, 5)
         found.update(dict.fromkeys(own))
-    return list(found)[:most]
+    return list(found)
 
 
 def lasso(r: np.ndarray, y: np.ndarray, strength: float, rounds: int = 400) -> tuple[float, np.ndarray]:
@@ -164,13 +164,20 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], rate: float) -> Mo
     return Model(names, [(rule, float(k)) for rule, k in zip(rules, w) if abs(k) > 1e-6], b)
 
 
+def one_label(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``key``, ``label``: a row for each key with labels of 0 and 1, the greatest of them."""
+    known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label"))
+    return known.filter("label IN (0, 1) AND key IS NOT NULL").groupBy("key").agg(F.max("label").alias("label"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_each: int = MAX_EACH, seed: int = 11) -> Model:
     """Fit on about ``max_each`` labelled documents of each class at most, drawn by a hash of their key.
 
-    Their statistics, a bounded table, come to the driver. Labels other than 0 and 1 are left out; one
-    class, or none, gives that class's rate (a half if none) for every text.
+    Their statistics, a bounded table, come to the driver. Labels other than 0 and 1 are left
+    out, and a key that has several counts once, as 1 if any of them is; one class, or none,
+    gives that class's rate (a half if none) for every text.
     """
-    known = labels.select(F.col(key).cast("long").alias("_key"), F.col(label).cast("int").alias("_label")).filter("_label IN (0, 1) AND _key IS NOT NULL")
+    known = one_label(labels, key, label).toDF("_key", "_label")
     sizes = dict(known.groupBy("_label").count().collect())
     rate = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
     share = F.when(F.col("_label") == 1, min(1.0, max_each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_each / max(1, sizes.get(0, 0))))
@@ -186,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``score``: every whole text, by built-in functions only; null texts are empty, and empty ones have a score.
 
-    Rows stay apart, whatever their id; other columns are not read.
+    Rows stay apart, whatever their id, null ones too; texts are read whole, however long; other columns are not read.
     """
     rows, _ = with_statistics(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text")
     return rows.select("doc_id", model.score().alias("score"))

@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, strings, table, text_array
+from textloom.llm.common import cut, slices, strings, table, text_array
 from textloom.llm.language_id import remainder
+from textloom.llm.quality import one_label
 
 #: Bounds of the fit: labelled documents of each class, and the hashed features.
 MAX_EACH, BITS, EPOCHS = 4_000, 20, 3
@@ -103,10 +104,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     """Fit on at most about ``max_each`` documents of each class, drawn by a hash of their key.
 
     The draw, a bounded table, is sent to where the documents are, so that no text is
-    shuffled; executors hash its texts, and their distinct features come to the driver. Rows
-    without a 0/1 label are left out. With one class, or none, scores are that class's rate (a half if none).
+    shuffled; executors hash its texts. A feature moves its weight by less than 1 for each
+    document and epoch, so that one held by L1 / ``epochs`` documents or fewer keeps a weight
+    of exactly 0: Spark counts them, and only the others come to the driver, with the same
+    weights as all would give. Rows without a 0/1 label are left out, and a key that has
+    several labels counts once, as 1 if any is. With one class, or none, scores are that
+    class's rate (a half if none).
     """
-    known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND key IS NOT NULL")
+    known = one_label(labels, key, label)
     sizes = dict(known.groupBy("label").count().collect())
     share = F.when(F.col("label") == 1, min(1.0, max_each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_each / max(1, sizes.get(0, 0))))
     picked = known.filter(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
@@ -126,7 +131,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     rate = (sizes.get(1, 0) + 0.5) / (total + 1)
     if len(sizes) < 2:
         return Model(weights, bits, math.log(rate / (1 - rate)))
-    got = drawn.mapInArrow(run, "key long, label int, found array<int>").toArrow()
+    hashed = cut(drawn.mapInArrow(run, "key long, label int, found array<int>"))
+    common = hashed.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") > L1 / epochs).select("f").toArrow()
+    useful = np.zeros(1 << bits, bool)  # a bit for each of at most 2^bits features
+    useful[common.column("f").to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(useful))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            lists = batch.column(2)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ok = known[values]
+            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[ok], minlength=len(n)))
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[ok], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["key", "label", "found"])
+
+    got = hashed.mapInArrow(keep, hashed.schema).toArrow()
     labels, keys = got.column("label").to_numpy(), got.column("key").fill_null(0).to_numpy()
     lists = got.column("found").combine_chunks()
     values, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -145,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``score`` of each whole text. A null or empty text, having no features, gets the bias alone.
 
-    Rows stay apart, whatever their id; other columns are not read.
+    Rows stay apart, whatever their id, null ones too; texts are read whole, in slices of
+    about a megabyte or one text; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits weights at most
 
