@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,14 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A temporary folder of this machine; an error on a cluster, whose executors wouldn't see it."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="textloom-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir.
 
-    Only where that is unset (local sessions, tests) it is a temporary folder.
+    Only where that is unset and the master is local (tests) it is a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="textloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -35,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
+        spark.sparkContext.setCheckpointDir(_own_folder(spark))
     return df.checkpoint()
 
 

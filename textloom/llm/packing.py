@@ -100,7 +100,7 @@ def best_fit(sized: DataFrame, capacity: int, open_bins: int = OPEN_BINS, packer
     columns = sized.columns
     schema = StructType([*sized.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     dealt = sized.withColumn("_packer", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)))
-    ordered = dealt.repartition(packers, "_packer").sortWithinPartitions("_packer", F.xxhash64("piece", "doc_id"), "doc_id", "piece", "start", "length")
+    ordered = dealt.repartitionById(packers, F.col("_packer").cast("int")).sortWithinPartitions("_packer", F.xxhash64("piece", "doc_id"), "doc_id", "piece", "start", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, bins = None, OpenBins(capacity, open_bins)

@@ -31,20 +31,24 @@ class TokenFile:
     """Random access to one file's sequences, masks and ids; values are views where the file is mapped."""
 
     def __init__(self, uri: str):
-        file = open_file(uri)
-        self.data = file.read_buffer()
-        source = pa.BufferReader(self.data)
-        self.schema = pa.ipc.read_schema(source)
-        self.first = source.tell()
-        message = pa.ipc.read_message(source)
-        self.stride = source.tell() - self.first
+        self.file = open_file(uri)
+        self.schema = pa.ipc.read_schema(self.file)
+        self.first = self.file.tell()
+        message = pa.ipc.read_message(self.file)
+        self.stride = self.file.tell() - self.first
         batch = pa.ipc.read_record_batch(message, self.schema)
         self.rows, self.length = batch.num_rows, batch.schema.field("input_ids").type.list_size
-        self.batches = (self.data.size - self.first) // self.stride
+        self.batches = (self.file.size() - self.first) // self.stride
+        #: a mapped file as one buffer; of any other only the batches asked for are read
+        self.data = None
+        if isinstance(self.file, pa.MemoryMappedFile):
+            self.file.seek(0)
+            self.data = self.file.read_buffer()
 
     def batch(self, k: int) -> pa.RecordBatch:
-        message = pa.ipc.read_message(self.data.slice(self.first + k * self.stride, self.stride))
-        return pa.ipc.read_record_batch(message, self.schema)
+        at = self.first + k * self.stride
+        part = self.data.slice(at, self.stride) if self.data is not None else pa.py_buffer(self.file.read_at(self.stride, at))
+        return pa.ipc.read_record_batch(pa.ipc.read_message(part), self.schema)
 
     def __len__(self) -> int:
         return self.batches * self.rows
@@ -141,7 +145,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
     One task reads one file. The checksum is over the ids as little-endian unsigned 32-bit integers.
     """
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = files.select("part", "path", "docs_path", before.alias("base"))  # a row for each file
+    number = (F.row_number().over(Window.orderBy("part")) - 1).alias("number")
+    listed = files.select("part", "path", "docs_path", before.alias("base"), number)  # a row for each file
     tasks = max(1, files.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +156,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 found = [(i, row["base"] + s, len(ids), zlib.crc32(ids.astype("<u4"))) for i, s, ids in TokenFile(row["path"]).documents(docs)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.repartition(tasks, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartitionById(tasks, "number").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, shared_dir, table
@@ -124,6 +124,12 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     return cut(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, n long"))
 
 
+def _a_task_each(files: DataFrame) -> DataFrame:
+    """A table of files with every row in a partition of its own."""
+    number = (F.row_number().over(Window.orderBy("path")) - 1).alias("number")
+    return files.select("*", number).repartitionById(max(1, files.count()), "number").drop("number")
+
+
 def normalise(archives: DataFrame, level: int = LEVEL) -> DataFrame:
     """Rewrite archives (``path``) with a gzip member for each record; returns ``path``, ``index_path``, ``n``.
 
@@ -150,7 +156,7 @@ def normalise(archives: DataFrame, level: int = LEVEL) -> DataFrame:
                         index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), INDEX.types)], schema=INDEX))
                 yield pa.RecordBatch.from_pydict({"path": pa.array([target]), "index_path": pa.array([index_path]), "n": pa.array([n])})
 
-    return cut(archives.repartition(max(1, archives.count()), "path").mapInArrow(run, "path string, index_path string, n long"))
+    return cut(_a_task_each(archives).mapInArrow(run, "path string, index_path string, n long"))
 
 
 def read_member(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -187,7 +193,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                         rows.append((_number(fields["warc-record-id"]), size, digest, fields["warc-type"], None if refers is None else _number(refers)))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return files.repartition(max(1, files.count()), "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _a_task_each(files).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
