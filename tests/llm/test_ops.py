@@ -1,11 +1,16 @@
 """The ten operators and the pipeline against brute force, round trips, and odd inputs."""
 
+import functools
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -109,14 +114,47 @@ def test_links_of_dense_groups_and_chains(spark):
         prints.add(chain)
     own = list(enumerate(sorted(prints)))
     nodes = spark.createDataFrame([(i, f - (1 << 64) * (f >> 63)) for i, f in own], "node long, fp long")
-    got = dict.fromkeys(range(len(own)))
-    got.update((i, i) for i in got)
-    got.update((r["node"], r["component"]) for r in components.components(near_dedup.links(nodes)).collect())
-    assert got == brute_components(own)
+    for hot in (2, near_dedup.HOT):  # the finer keys for every group, and for none here
+        got = {i: i for i in range(len(own))}
+        got.update((r["node"], r["component"]) for r in components.components(near_dedup.links(nodes, hot=hot)).collect())
+        assert got == brute_components(own)
     with pytest.raises(ValueError):
         near_dedup.links(nodes, 4)
 
 
+@pytest.mark.parametrize("at", [0, 22, 43])
+def test_links_under_a_crowded_key(spark, at):
+    rng = np.random.default_rng(at)
+    free = rng.choice(1 << 21, 3000, replace=False).astype(np.uint64)
+    prints = np.uint64(rng.integers(0, 1 << 62)) & ~np.uint64(((1 << 21) - 1) << at) | free << np.uint64(at)
+    nodes = spark.createDataFrame([(k, int(f)) for k, f in enumerate(prints.view(np.int64))], "node long, fp long")
+    got = {(r["a"], r["b"]) for r in near_dedup.links(nodes, hot=1000).collect()}
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    expected = {(int(a), int(b)) for a, b in np.argwhere(apart <= 3) if a > b}
+    assert got <= expected and len(got) > 1000
+    parent = {}  # what is linked is connected, through a group's smallest member at least
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert all(root(a) == root(b) for a, b in expected)
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    a, b = "one two three four five six", "another text of quite other words"
+    rows = spark.createDataFrame([(5, a), (5, a), (3, a), (None, a), (None, "lonely words without any id here"), (9, b), (7, None), (8, "")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(rows).collect())
+    assert got == Counter([(5, 3), (5, 3), (3, 3), (None, 3), (None, None), (9, 9), (7, 7), (8, 7)])
+    for most in (0, 100):
+        kept = Counter(r["doc_id"] for r in near_dedup.keep_one(rows, most_ids=most).collect())
+        assert kept == Counter([3, None, None, 9, 7])
+
+
 def test_components_of_no_edges(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -149,12 +187,85 @@ def test_language_held_out_accuracy(docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def lowered(text):
+    return pc.utf8_lower(pa.array([text or ""])).to_pylist()[0]
+
+
+def grams_of(word, n):
+    padded = f" {word} "
+    return [padded[k : k + n] for k in range(len(padded) - n + 1)]
+
+
+def brute_language(labelled, texts):
+    """Plain counts over all labelled texts, and for each text the costs of its words by language."""
+    counts = {}
+    for text, lang in labelled:
+        own = counts.setdefault(lang, [Counter() for _ in range(5)])
+        for w in regex.findall(r"\p{L}+", lowered(text)):
+            own[0][w] += 1
+            for n in range(1, 5):
+                own[n].update(grams_of(w, n))
+    langs = sorted(counts)
+    totals = {(lang, n): sum(c.values()) for lang, own in counts.items() for n, c in enumerate(own)}
+    penalty = max(math.log(t) for t in totals.values() if t) + 1
+    cost = lambda g, n: [math.log(totals[x, n] / counts[x][n][g]) if counts[x][n][g] else penalty for x in langs]
+    known = [set().union(*(counts[x][n] for x in langs)) for n in range(5)]
+
+    @functools.cache
+    def word(w):
+        if w in known[0]:
+            return cost(w, 0)
+        for n in range(4, 0, -1):
+            values = [cost(g, n) for g in grams_of(w, n) if g in known[n]]
+            if values:
+                return [sum(v) / len(values) for v in zip(*values)]
+        return [penalty] * len(langs)
+
+    out = []
+    for text in texts:
+        found = [word(w) for w in regex.findall(r"\p{L}+", lowered(text))]
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(v) for v in zip(*found)]
+        best = min(range(len(langs)), key=total.__getitem__)
+        out.append((langs[best], 1 / sum(math.exp(max(total[best] - v, -700)) for v in total)))
+    return out
+
+
+def test_language_against_brute_force(docs):
+    rows = docs.select("doc_id", "text", "lang").collect()
+    fitted = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    model = language_id.fit(docs.filter(language_id.remainder("doc_id", 4) != 2), max_words=None, max_grams=None)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    expected = brute_language([(r["text"], r["lang"]) for r in fitted if r["text"] is not None and r["lang"] is not None], [r["text"] for r in rows])
+    for r, (lang, score) in zip(rows, expected):
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-3)
+
+
 def test_words_come_before_shorter_and_shorter_grams():
     model = language_id.Model([("a", 0, "hello", 5), ("b", 0, "hallo", 5), ("a", 2, "zz", 3), ("b", 1, "q", 3)])
-    assert model.word("hello")[0] < model.word("hello")[1]
-    assert model.word("zzz")[0] < model.word("zzz")[1]
-    assert model.word("q")[1] < model.word("q")[0]
-    assert model.word("x")[0] == model.word("x")[1] == np.float32(model.penalty)
+    hello, zzz, q, x = model.values(pa.array(["hello", "zzz", "q", "x"]))
+    assert hello[0] < hello[1] and zzz[0] < zzz[1] and q[1] < q[0]
+    assert x[0] == x[1] == np.float32(model.penalty)
+
+
+def test_only_letters_have_a_language(spark):
+    model = language_id.Model([("a", 0, "hello", 5), ("a", 1, "\u00bd", 5)])
+    texts = ["\u00bd \u00b2", "\u2460", "\u2167", "\u0663", "123", "!!", "_", "\u0301", "", None]
+    rows = spark.createDataFrame(list(enumerate([*texts, "\u00bd hello"])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(rows, model).collect()}
+    assert got == {k: ("und", 0.0) for k in range(len(texts))} | {len(texts): ("a", 1.0)}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"word{chr(0x4E00 + k)}x", f"l{k:03d}") for k in range(201)], "doc_id long, text string, lang string")
+    model = language_id.fit(rows)
+    assert len(model.langs) == 201
+    assert all(r["lang_pred"] == r["lang"] for r in language_id.identify(rows, model).join(rows, "doc_id").collect())
+    monkeypatch.setattr(language_id, "MOST_LANGS", 200)
+    with pytest.raises(ValueError):
+        language_id.fit(rows)
 
 
 # --- packing and token files
@@ -208,6 +319,37 @@ def test_open_bins_close_the_fullest_first():
     assert bins.put(2) == (3, 7)
 
 
+def test_two_packers_waste_little_more_than_one(spark):
+    rng = random.Random(7)
+    sized = spark.createDataFrame([(k, 0, 0, rng.randrange(1, 900)) for k in range(6000)], "doc_id long, piece int, start long, length long")
+    total = sized.agg(F.sum("length")).first()[0]
+    for pieces, packers in ((6000, 1), (3000, 2), (1000, 6)):
+        rows = packing.best_fit(sized, 4096, packer_pieces=pieces).collect()
+        bins = Counter()
+        for r in rows:
+            bins[r["sequence_id"]] += r["length"]
+        assert len(rows) == 6000 and max(bins.values()) <= 4096 and len({s >> packing.BIN_BITS for s in bins}) == packers
+        assert len(bins) <= 1.01 * total / 4096 + packers
+
+
+def test_token_files_that_are_not_mapped(spark, docs, monkeypatch):
+    files = token_stream.write_tokens(docs, shared_dir(spark, "tokens"), length=64, rows=2)
+    path = files.orderBy("part").first()["path"]
+    mapped = token_stream.TokenFile(path)
+    read = []
+
+    class Remote(pa.PythonFile):
+        def read_at(self, n, at):
+            read.append(n)
+            return super().read_at(n, at)
+
+    monkeypatch.setattr(token_stream, "open_file", lambda uri: Remote(open(uri.removeprefix("file://"), "rb"), "r"))
+    other = token_stream.TokenFile(path)
+    for k in (0, len(mapped) - 1, len(mapped) // 2):
+        assert other.sequence(k).tolist() == mapped.sequence(k).tolist() and other.mask(k).equals(mapped.mask(k))
+    assert set(read) == {mapped.stride}
+
+
 def test_token_files(spark, docs, odd):
     for own in (docs, odd):
         rows = sorted(own.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
@@ -250,8 +392,6 @@ def test_contaminations_against_brute_force(spark):
         own = text.lower().replace(",", "").split()
         for i, x in enumerate(items):
             need = weigh(x)
-            if len(need) < 2:
-                continue
             if max((sum((weigh(own[a : a + len(x)]) & need).values()) for a in range(max(1, len(own) - len(x) + 1))), default=0) / sum(need.values()) >= 0.8:
                 expected.add((k, i))
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None), (91, ""), (92, "too short")], "item_id long, text string")
@@ -303,6 +443,40 @@ def test_templated_items_against_weighted_brute_force(spark):
     assert got == {k: pytest.approx(v) for k, v in expected.items()}
 
 
+def test_items_too_short_for_shingles_and_other_edits(spark, monkeypatch):
+    base = [f"b{k}" for k in range(40)]
+    items = [["p1", "p2", "p3", "p4", "p5"], ["q1", "q2", "q3"], ["alone"], [f"i{k}" for k in range(60)], [f"s{k}" for k in range(60)]]
+    put_in = items[3][:14] + ["new"] + items[3][14:30] + ["new"] + items[3][30:]  # two insertions spoil eight shingles
+    turned = items[4][30:] + items[4][:30]  # halves in the other order
+    docs = [base + items[0] + base, base[:7] + items[0][:4], base + items[1] + base + items[1], items[1][:2] + base, base[:3] + items[2], put_in, base[:5] + turned + base, base]
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(7, "alone")], "item_id long, text string")
+    expected = {(0, 0): (40, 5), (2, 1): (40, 3), (4, 2): (3, 1), (4, 7): (3, 1)}
+    best = weighted_brute_force(list(enumerate(docs)), [items[3], items[4]])
+    for size in (decontaminate.BLOCK_BYTES, 64):  # blocks by bytes
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminations(frame, bench).collect()}
+        assert {k: (got[k]["start"], got[k]["words"]) for k in expected} == expected and all(got[k]["similarity"] == 1 for k in expected)
+        assert {k: got[k]["similarity"] for k in got if k not in expected} == {(k, i + 3): pytest.approx(v) for (k, i), v in best.items()} and (5, 3) in got
+        assert decontaminate.keep_clean(frame, bench).count() == len(docs) - len({k for k, _ in got})
+
+
+def test_windows_are_simhashes_of_their_shingles():
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 64, 900, dtype=np.uint64)
+    starts = np.array([0, 0, 3, 700, 900])
+    steps = {w: decontaminate.step_of(w) for w in (*decontaminate.WINDOWS, 12, 48, 192, 256, 384)}
+    found = list(decontaminate.windows(hashes, starts, steps))
+    for size, step in steps.items():
+        own = {(int(t), int(p)): int(f) for w, *x in found if w == size for t, p, f in zip(*x)}
+        expected = {}
+        for t, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+            for p in range(0, b - a - size + 1, step):
+                bits = np.unpackbits(hashes[a + p : a + p + size].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+                expected[t, p] = sum(1 << k for k in range(64) if 2 * int(bits[k]) > size)
+        assert own == expected
+
+
 def test_blocks_of_items_give_the_same_similarities(spark):
     template = [f"t{k}" for k in range(12)]
     items = [[f"o{i}x{k}" for k in range(10)] + template + [f"p{i}x{k}" for k in range(6 + i)] for i in range(9)]
@@ -344,6 +518,96 @@ def test_toxicity_held_out(spark):
     assert auc(got) >= 0.99 and sum(r["predicted"] != r["y"] for r in got) <= 3
 
 
+def test_toxicity_against_a_plain_learner(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        text = [rng.choice("abcdefghij") + rng.choice("klmnop") + rng.choice("qrstuv") for _ in range(30)]
+        if k % 3 == 0:
+            text[rng.randrange(30)] = rng.choice(["vilest", "rotter"])
+        rows.append((k, " ".join(text), int(k % 3 == 0)))
+    own = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(own.select("doc_id", "text"), own.select("doc_id", "label"))
+    examples = []
+    for k, text, y in rows:
+        found = set()
+        for _, _, f, _ in toxicity.features(pa.array([text])):
+            found |= set(f.tolist())
+        examples.append((int(toxicity._mix(np.array([k], np.uint64) * np.uint64(toxicity._ODD))[0]), k, found, y))
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        if abs(z[f]) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for _, _, found, y in sorted(examples, key=lambda e: e[:2]):
+            w = {f: weight(f) for f in [*found, "bias"]}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for f, v in w.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * v
+                n[f] += g * g
+    expected = {f: weight(f) for f in z if f != "bias" and weight(f)}
+    assert dict(zip(model.at.tolist(), model.values.tolist())) == {f: pytest.approx(v) for f, v in expected.items()} and len(expected) > 2
+    rate, drawn = 100.5 / 301, 100 / 300
+    bias = weight("bias") + math.log(rate / (1 - rate)) - math.log(drawn / (1 - drawn))
+    assert model.bias == pytest.approx(bias)
+    for r, (_, _, found, _) in zip(toxicity.score(own, model).orderBy("doc_id").collect(), examples):
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-bias - sum(expected.get(f, 0) for f in found))), abs=1e-5)
+
+
+def test_labels_of_a_key_count_once(spark):
+    own = spark.createDataFrame([(k, f"word{k} text") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(40) for _ in range(3)] + [(0, 1), (1, None), (2, 7), (None, 1)], "doc_id long, label int")
+    once = spark.createDataFrame([(k, int(k % 2 or k == 0)) for k in range(40)], "doc_id long, label int")
+    assert {tuple(r) for r in quality.one_label(labels, "doc_id", "label").collect()} == {tuple(r) for r in once.collect()}
+    for one, other in ((quality.fit(own, labels), quality.fit(own, once)), (toxicity.fit(own, labels), toxicity.fit(own, once))):
+        assert vars(one).keys() == vars(other).keys() and all(np.array_equal(v, vars(other)[k]) if isinstance(v, np.ndarray) else v == vars(other)[k] for k, v in vars(one).items())
+
+
+def test_quality_against_rules_by_hand(spark):
+    sf = SF.replace("0.001", "0.01")
+    own, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(own, labels.withColumnRenamed("quality", "label"))
+    rows, names = quality.with_statistics(own)
+    table = rows.select("doc_id", *names).orderBy("doc_id").toPandas()
+    x = table[names].to_numpy(float)
+    total = np.full(len(x), model.intercept)
+    for rule, weight in model.rules:
+        ok = np.ones(len(x), bool)
+        for k, above, t in rule.tests:
+            ok &= x[:, k] > t if above else x[:, k] <= t
+        total += weight * ok
+    got = quality.score(own, model).orderBy("doc_id").toPandas()
+    assert len(model.rules) > 2 and np.allclose(got["score"], 1 / (1 + np.exp(-total)))
+    texts = {r["doc_id"]: r["text"] or "" for r in own.select("doc_id", "text").collect()}
+    for k, i in enumerate(table["doc_id"]):  # some statistics by hand
+        own_words = regex.findall(r"[^\x20\x09-\x0D]+", texts[i])
+        assert x[k, names.index("_n_words")] == len(own_words)
+        assert x[k, names.index("_distinct_words")] == pytest.approx(len(set(own_words)) / len(own_words) if own_words else 0)
+        assert x[k, names.index("_digits")] == pytest.approx(len(regex.findall("[0-9]", texts[i])) / len(texts[i]) if texts[i] else 0)
+
+
+def test_lasso_reaches_its_optimum():
+    rng = np.random.default_rng(3)
+    r = (rng.random((500, 30)) < 0.3).astype(float)
+    y = (rng.random(500) < 1 / (1 + np.exp(1 - 3 * r[:, 0] + 2 * r[:, 1]))).astype(float)
+    strength = 0.01
+    b, w = quality.lasso(r, y, strength, rounds=5000)
+    gradient = r.T @ (1 / (1 + np.exp(-(r @ w + b))) - y) / len(y)
+    assert abs(np.mean(1 / (1 + np.exp(-(r @ w + b))) - y)) < 1e-6  # the intercept is free
+    assert np.all(np.abs(gradient[w == 0]) <= strength + 1e-6) and np.allclose(gradient[w != 0], -strength * np.sign(w[w != 0]), atol=1e-6)
+    assert 2 <= np.count_nonzero(w) < 30
+
+
+def test_all_rules_of_the_trees_are_tried():
+    rng = np.random.default_rng(4)
+    x = rng.random((3000, 12))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0.7).astype(float)
+    assert len(quality.tree_rules(x, y)) > 400
+
+
 def test_ftrl_leaves_useless_features_out():
     model = toxicity.Ftrl(10, l1=1.0)
     for k in range(400):
@@ -370,22 +634,78 @@ def test_url_rules(spark):
     }
 
 
+def power_iteration(edges, seeds, rounds=400):
+    """Personalised PageRank by dense steps; what hosts without edges hold goes back to the seeds."""
+    hosts = sorted({h for e in edges for h in e[:2]} | set(seeds))
+    at = {h: k for k, h in enumerate(hosts)}
+    matrix = np.zeros((len(hosts), len(hosts)))
+    for a, b, weight in edges:
+        matrix[at[b], at[a]] += weight
+    out = matrix.sum(axis=0)
+    matrix = np.divide(matrix, out, out=np.zeros_like(matrix), where=out > 0)
+    seed = np.array([seeds.get(h, 0.0) for h in hosts])
+    score = seed.copy()
+    for _ in range(rounds):
+        moved = url_filter.DAMPING * matrix @ score
+        score = moved + (seed.sum() - moved.sum()) * seed / seed.sum()
+    return dict(zip(hosts, score))
+
+
 def test_distrust_flows_back_over_links(spark):
     link = lambda h: f'<a href="https://{h}/x">x</a>'
     rows = [("http://bad.com/de/1", ""), ("http://spam.net/1", link("bad.com") * 2), ("http://ring.net/1", link("spam.net")), ("http://good.org/1", link("friend.net")), ("http://friend.net/1", ""), ("http://alone.net/1", None)]
     pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in url_filter.verdicts(pages).collect()}
     assert [got[k]["verdict"] for k in range(6)] == ["block", "block", "block", "allow", "allow", "allow"]
-    # power iteration by hand
-    edges = {("bad.com", "spam.net"): 1.0, ("spam.net", "ring.net"): 1.0}
-    seed, score = {"bad.com": 1.0}, {"bad.com": 1.0}
-    for _ in range(url_filter.ROUNDS):
-        moved = {}
-        for (a, b), share in edges.items():
-            moved[b] = moved.get(b, 0) + url_filter.DAMPING * share * score.get(a, 0)
-        back = 1.0 - sum(moved.values())
-        score = {h: moved.get(h, 0) + back * seed.get(h, 0) for h in {*moved, *seed}}
-    assert {h: pytest.approx(v) for h, v in score.items()} == {r["host"]: r["distrust"] for r in got.values() if r["distrust"]}
+    expected = power_iteration([("bad.com", "spam.net", 1.0), ("spam.net", "ring.net", 1.0)], {"bad.com": 1.0})
+    assert {r["host"]: r["distrust"] for r in got.values() if r["distrust"]} == {h: pytest.approx(v) for h, v in expected.items()}
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [(0, "http://h0.com/de/1", "")] + [(k, f"http://h{k}.com/x", f'<a href=//h{k - 1}.com/>') for k in range(1, 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    rows = url_filter.judged(pages)
+    got = {r["host"]: r["host_verdict"] for r in url_filter.host_verdicts(rows, url_filter.host_edges(pages)).collect()}
+    assert got == {f"h{k}.com": "block" for k in range(50)}
+    with pytest.raises(RuntimeError):
+        url_filter.host_verdicts(rows, url_filter.host_edges(pages), most_rounds=8)
+
+
+def test_trust_on_a_graph_of_some_hundred_hosts(spark):
+    rng = random.Random(9)
+    hosts = [f"h{k}.{'net' if k % 3 else 'org'}" for k in range(300)]
+    edges = {}
+    for a in hosts[:280]:  # the rest link to nothing
+        for b in rng.sample(hosts, rng.randrange(1, 6)):
+            if a != b:
+                edges[a, b] = edges.get((a, b), 0) + float(rng.randrange(1, 5))
+    rows = [(a, b, w) for (a, b), w in edges.items()]
+    seeds = {h: float(1 + k % 4) for k, h in enumerate(hosts) if k % 17 == 0}
+    frame = spark.createDataFrame(rows, "src string, dst string, weight double").coalesce(1)
+    got = url_filter.propagate(frame, spark.createDataFrame(list(seeds.items()), "host string, mass double").coalesce(1)).collect()
+    expected = {h: v for h, v in power_iteration(rows, seeds).items() if v}
+    assert {r["host"]: r["score"] for r in got if r["score"]} == {h: pytest.approx(v, rel=1e-4, abs=1e-7) for h, v in expected.items()}
+
+
+def test_edges_between_hosts_and_their_domains(spark):
+    rows = [(1, "http://a.b.x.net/1", '<a href="//q.net/">'), (2, "http://b.x.net/", None), (3, "http://x.net/", ""), (4, None, "<a href=//z.net>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {tuple(r) for r in url_filter.host_edges(pages, domains=True).collect()}
+    assert got == {("a.b.x.net", "q.net", 1.0)} | {x for a, b in (("a.b.x.net", "b.x.net"), ("b.x.net", "x.net")) for x in ((a, b, 1.0), (b, a, 1.0))}
+
+
+def test_pages_with_clashing_columns_and_odd_rows(spark, tmp_path):
+    long_url, long_html = "http://long.org/es/" + "x" * 200_000, "<p>" + "y " * 400_000
+    rows = [(1, long_url, long_html), (1, long_url, long_html), (None, "http://a.com/fr/", None), (4, None, "")]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = {c: F.lit("z") for c in ("host", "path", "rule", "verdict", "trust", "salt", "score", "payload", "digest", "refers_to", "_url", "src", "_id", "_digest", "bytes", "other", "number")}
+    extra = plain.withColumns(clash)
+    bag = lambda df: Counter(tuple(r) for r in df.collect())
+    assert bag(url_filter.verdicts(extra)) == bag(url_filter.verdicts(plain)) and url_filter.verdicts(extra).count() == 4
+    one, other = (bag(warc.read_archives(warc.archive(p.filter("page_id IS NOT NULL"), shared_dir(spark, "warc")))) for p in (extra, plain))
+    assert one == other and sum(one.values()) == 3
+    same = [("a.org", "/x", "allow"), ("a.org", "/x", "block")]
+    assert [r["ruling"] for r in url_filter.judged(spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string"), tuple(same)).collect()] == ["block"]
 
 
 def test_warc_round_trip(spark):
@@ -467,15 +787,39 @@ def test_empty_tables(spark, odd):
 def test_pipeline_stages_against_brute_force(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     good = {r["doc_id"] for r in repetition.repetition(docs).filter("kept").collect()}
-    rows = docs.select("doc_id", "text").collect()
-    prints = [(r["doc_id"], brute_fingerprint(r["text"])) for r in rows if r["doc_id"] in good]
+    rows = [r for r in docs.collect() if r["doc_id"] in good]
+    fitted = [(r["text"], r["lang"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] is not None and r["lang"] is not None]
+    known = {r["doc_id"] for r, (lang, score) in zip(rows, brute_language(fitted, [r["text"] for r in rows])) if lang != "und" and score >= 0.5}
+    prints = [(r["doc_id"], brute_fingerprint(r["text"])) for r in rows if r["doc_id"] in known]
     groups = brute_components(prints)
-    single = {i for i, c in groups.items() if i == c}
-    leaks = {r["doc_id"] for r in decontaminate.contaminations(docs, bench).collect()}
-    left = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] in single - leaks]
+    single = [r for r in rows if r["doc_id"] in known and groups[r["doc_id"]] == r["doc_id"]]
+    clean = lambda t: regex.findall(r"[\p{L}\p{N}]+", lowered(t))
+    items = [clean(r["text"]) for r in bench.collect()]
+    held = {tuple(x[k : k + 5]) for x in items for k in range(len(x) - 4)}
+    own = [(r["doc_id"], clean(r["text"])) for r in single]
+    near = [(i, x) for i, x in own if any(tuple(x[k : k + 5]) in held for k in range(len(x) - 4))]
+    leaks = {k for k, _ in weighted_brute_force(near, items)}
+    left = [(r["doc_id"], r["text"]) for r in single if r["doc_id"] not in leaks]
     got = corpus_pipeline.run(spark, SF).collect()
     check_packed(got, list(zip([i for i, _ in left], ids_of("word_bpe_49k.json", [t for _, t in left], 1))))
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language", "near_dedup", "decontaminate", "pack"]
+    assert leaks and [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language", "near_dedup", "decontaminate", "pack"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    texts = [None, "", "same words " * 5, LONG, LONG, " ".join(f"plain{k}" for k in range(80))]
+    rows = [(k, t, "en", "s", 1, 1.0, "x", True) for k, t in enumerate(texts)] + [(5, texts[5], "en", "s", 1, 1.0, "x", True), (None, texts[5] + " more", None, None, None, None, None, None)]
+    odd_docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, kept boolean")
+    bench = spark.createDataFrame([(1, " ".join(f"plain{k}" for k in range(10, 30))), (2, None)], "item_id long, text string")
+    bench.write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for start in (odd_docs, odd_docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, start, f"file://{tmp_path}")
+            assert after.columns == odd_docs.columns and after.count() <= start.count()
+        assert corpus_pipeline.packed(spark, start, f"file://{tmp_path}").filter("piece = 0").count() == start.count()
+    kept = lambda stage: Counter(r["doc_id"] for r in stage(spark, odd_docs, f"file://{tmp_path}").collect())
+    assert kept(corpus_pipeline.quality_rules) == Counter([3, 4, 5, 5, None])
+    assert kept(corpus_pipeline.one_of_each_group) == Counter([0, 2, 3, 5, 5, None])
+    assert kept(corpus_pipeline.without_benchmark) == Counter([0, 1, 2, 3, 4])
 
 
 @pytest.mark.parametrize("name", ["op8_repetition", "op10_warc"])
