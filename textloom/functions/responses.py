@@ -12,9 +12,9 @@ def parse_response(raw: Column, least: float = 0.0) -> Column:
     """``confidence`` (``least`` to 1), ``overall_risk``, ``summary``, ``recovered``: from JSON, or by patterns from broken JSON, or defaults."""
     own = F.from_json(raw, "confidence double, overall_risk string, summary string")
     whole = own["confidence"].isNotNull() & own["overall_risk"].isNotNull() & own["summary"].isNotNull()
-    number = F.expr("try_cast(nullif(regexp_extract({0}, '\"confidence\"\\\\s*:\\\\s*([0-9.eE+-]+)', 1), '') AS double)".replace("{0}", "_raw"))
-    risk = F.nullif(F.regexp_extract("_raw", '"overall_risk"\\s*:\\s*"([a-z]+)"', 1), F.lit(""))
-    said = F.nullif(F.regexp_extract("_raw", '"summary"\\s*:\\s*"([^"]*)"', 1), F.lit(""))
+    number = F.nullif(F.regexp_extract(raw, '"confidence"\\s*:\\s*([0-9.eE+-]+)', 1), F.lit("")).try_cast("double")
+    risk = F.nullif(F.regexp_extract(raw, '"overall_risk"\\s*:\\s*"([a-z]+)"', 1), F.lit(""))
+    said = F.nullif(F.regexp_extract(raw, '"summary"\\s*:\\s*"([^"]*)"', 1), F.lit(""))
     confidence = F.greatest(F.lit(least), F.least(F.lit(1.0), F.when(whole, own["confidence"]).otherwise(F.coalesce(number, F.lit(0.5)))))
     level = F.lower(F.when(whole, own["overall_risk"]).otherwise(F.coalesce(risk, F.lit("medium"))))
     return F.struct(confidence.alias("confidence"), F.when(level.isin(*LEVELS), level).otherwise("medium").alias("overall_risk"), F.when(whole, own["summary"]).otherwise(F.coalesce(said, F.lit("Analysis unavailable"))).alias("summary"), (~whole).alias("recovered"))

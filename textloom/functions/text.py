@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.rules import fixed
@@ -42,6 +42,43 @@ def file_name(path: Column | str, max_length: int = 100, default: str = "documen
     return F.when(F.length(cut) > 0, cut).otherwise(default)
 
 
+def file_name_plain(name: Column | str, default: str = "document.pdf") -> Column:
+    """The other form of a safe name: the last part of a path, of it letters, digits, blanks and ``._-`` only, trimmed."""
+    base = F.element_at(F.split(_c(name), "/"), -1)
+    safe = F.trim(F.regexp_replace(base, "[^\\p{L}\\p{N}._\\- ]", ""))
+    return F.when(F.length(safe) > 0, safe).otherwise(default)
+
+
+def file_size(size: Column | str) -> Column:
+    """A size in whole Bytes, KB, MB or GB."""
+    n = _c(size).cast("double")
+    power = F.when(n >= 1 << 30, 3).when(n >= 1 << 20, 2).when(n >= 1 << 10, 1).otherwise(0)
+    shown = F.floor(n / F.pow(F.lit(1024.0), power) + 0.5).cast("string")
+    return F.when(n == 0, "0 Bytes").otherwise(F.concat(shown, F.lit(" "), F.element_at(F.array(*map(F.lit, ("Bytes", "KB", "MB", "GB"))), power + 1)))
+
+
+def percentage(value: Column | str) -> Column:
+    """A share as percent with one place."""
+    return F.concat(F.format_string("%.1f", F.round(_c(value) * 100, 1)), F.lit("%"))
+
+
+def count_level(high: Column, medium: Column) -> Column:
+    """A level from counts: High with any high one, Medium with more than two medium ones, else Low."""
+    return F.when(high > 0, "High").when(medium > 2, "Medium").otherwise("Low")
+
+
+def default_metadata(rows: DataFrame, failed: str, defaults: dict[str, str | None]) -> DataFrame:
+    """``rows`` with each column of ``defaults`` at its default where extraction ``failed``, and ``extraction_failed`` in place of that flag."""
+    bad = F.coalesce(F.col(failed), F.lit(True))
+    kept = [c for c in rows.columns if c != failed]
+    return rows.select(*[F.when(bad, F.lit(defaults[c])).otherwise(F.col(c)).alias(c) if c in defaults else F.col(c) for c in kept], bad.alias("extraction_failed"))
+
+
+def vague_only(text: Column | str, suspicious: Column, words: Iterable[str], least: int = 500) -> Column:
+    """A long text with vague wording that nothing else has flagged."""
+    return (F.length(_c(text)) > least) & any_contained(text, words) & ~suspicious
+
+
 def canonical_hash(text: Column | str) -> Column:
     """SHA-256 of the lower-cased text with white space collapsed."""
     return F.sha2(F.trim(F.regexp_replace(F.lower(_c(text)), "[ \\t\\n\\r\\f\\x0B]+", " ")), 256)
@@ -84,9 +121,13 @@ def word_pattern(words: Iterable[str]) -> list[str]:
 
 
 def count_patterns(text: Column | str, patterns: Iterable[str]) -> Column:
-    """Matches of all patterns in the lower-cased text; overlapping patterns count each."""
-    own = F.lower(_c(text))
-    return sum((F.regexp_count(own, F.lit(p)) for p in patterns), F.lit(0)).cast("long")
+    """Matches of all patterns in the lower-cased text; overlapping patterns count each.
+
+    The sum stands in a lambda: as compiled code that of a long list would be too large.
+    """
+    listed = list(patterns)
+    counts = F.transform(F.array(F.lower(_c(text))), lambda t: sum((F.regexp_count(t, F.lit(p)) for p in listed), F.lit(0)))
+    return F.get(counts, F.lit(0)).cast("long")
 
 
 def words(text: Column | str) -> Column:
@@ -106,13 +147,23 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(own) <= 3, 1).otherwise(F.greatest(n, F.lit(1)))
 
 
+def flesch_of(words: Column, sentences: Column, syllable_count: Column) -> Column:
+    """Reading ease from 0 to 100 of counts; 0 without words."""
+    score = 206.835 - 1.015 * (words / sentences) - 84.6 * (syllable_count / words)
+    return F.when(words > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
+
+
 def flesch(text: Column | str) -> Column:
-    """Reading ease from 0 to 100; 0 without words."""
+    """Reading ease from 0 to 100; 0 without words. Several measures of a text: ``readability``."""
     own = words(text)
-    n = F.size(own)
-    total = F.aggregate(own, F.lit(0), lambda a, w: a + syllables(w))
-    score = 206.835 - 1.015 * (n / sentence_count(text)) - 84.6 * (total / n)
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
+    return flesch_of(F.size(own), sentence_count(text), F.aggregate(own, F.lit(0), lambda a, w: a + syllables(w)))
+
+
+def readability(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with ``sentences``, ``words``, ``syllables`` and ``flesch``, each found once."""
+    out = rows.withColumn("_words", words(text)).withColumn("sentences", sentence_count(text).cast("long"))
+    out = out.withColumn("syllables", F.aggregate("_words", F.lit(0), lambda a, w: a + syllables(w)).cast("long")).withColumn("words", F.size("_words").cast("long"))
+    return out.drop("_words").withColumn("flesch", flesch_of(F.col("words"), F.col("sentences"), F.col("syllables")))
 
 
 def density(text: Column | str, patterns: Iterable[str]) -> Column:

@@ -54,17 +54,19 @@ def indicator_score(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Da
     return found.groupBy(*keys).agg(F.least(F.sum(points), F.lit(10.0)).alias("indicator_score"))
 
 
-def document_types(docs: DataFrame, rules: DataFrame, heads: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def document_types(docs: DataFrame, rules: DataFrame, heads: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = None, head: int = 500) -> DataFrame:
     """The type of each document: ``rules`` are ``type_no``, ``type``, ``part`` (title, content, section), ``keyword``, ``weight``.
 
-    A title keyword counts in the first 500 characters, a content keyword anywhere, a
+    A title keyword counts in the ``title`` column, or without one (or where it is empty) in
+    the first ``head`` characters, a content keyword anywhere, a
     section keyword where a heading holds all or 60 percent of its words. Ties go to the first type.
     """
     words = heads.groupBy(key).agg(F.collect_set(F.split("heading", "[ \\t]+")).alias("_heads"))
-    rows = docs.select(key, F.lower(text).alias("_t")).join(words, key, "left")
+    front = F.left(F.col(text), F.lit(head)) if title is None else F.coalesce(F.nullif(F.col(title), F.lit("")), F.left(F.col(text), F.lit(head)))
+    rows = docs.select(key, F.lower(text).alias("_t"), F.lower(front).alias("_front")).join(words, key, "left")
     need = F.array_distinct(F.split("keyword", " +"))
     close = F.exists(F.coalesce("_heads", F.array().cast("array<array<string>>")), lambda h: F.size(F.array_intersect(need, h)) / F.size(need) >= 0.6)
-    hit = F.when(F.col("part") == "title", F.contains(F.left("_t", F.lit(500)), F.col("keyword"))).when(F.col("part") == "content", F.contains("_t", F.col("keyword"))).otherwise(close)
+    hit = F.when(F.col("part") == "title", F.contains("_front", F.col("keyword"))).when(F.col("part") == "content", F.contains("_t", F.col("keyword"))).otherwise(close)
     scores = rows.join(rule_table(rules), hit).groupBy(key, "type_no", "type").agg(F.sum("weight").alias("score"), F.slice(F.array_sort(F.collect_set(F.concat_ws(": ", "part", "keyword"))), 1, 10).alias("matched"))
     ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "type_no")))
     sure = F.least(F.col("score") / 15.0, F.lit(1.0))

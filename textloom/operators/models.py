@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.rules import fixed
@@ -120,24 +118,68 @@ def calibration_knots(rows: DataFrame, predicted: str, actual: str) -> DataFrame
     return rows.sparkSession.createDataFrame(list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist())), "x double, y double")
 
 
+#: Knots of a calibration that are sent to all executors.
+MAX_KNOTS = 1_000_000
+
+
 def tier(confidence: Column) -> Column:
     return F.when(confidence >= 0.85, "HIGH").when(confidence >= 0.60, "MODERATE").otherwise("LOW")
 
 
+def tier_explanation(confidence: Column) -> Column:
+    """How a calibrated confidence is put into words."""
+    own = tier(confidence)
+    whole = F.floor(confidence * 100).cast("int")
+    texts = [F.when(own == name, F.format_string(text, whole)) for name, text in fixed.TIER_TEXTS.items()]
+    return F.coalesce(*texts)
+
+
 def calibrate(rows: DataFrame, knots: DataFrame | None, confidence: str = "confidence") -> DataFrame:
-    """``calibrated_confidence`` by interpolation between knots, and its ``confidence_tier``; without knots the value itself."""
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(confidence)))
-    if knots is None:
-        value = c
-        out = rows.withColumn("calibrated_confidence", value)
-    else:
-        points = [(k["x"], k["y"]) for k in knots.orderBy("x", "y").collect()]  # knots of a step function on 0 to 1
-        value = F.when(c <= points[0][0], points[0][1])
-        for (x0, y0), (x1, y1) in zip(points, points[1:]):
-            if x1 > x0:
-                value = value.when(c <= x1, y0 + (y1 - y0) * (c - x0) / (x1 - x0))
-        out = rows.withColumn("calibrated_confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.otherwise(points[-1][1]))))
-    return out.withColumn("confidence_tier", tier(F.col("calibrated_confidence")))
+    """``calibrated_confidence`` by interpolation between knots, its ``confidence_tier``, ``tier_label`` and ``explanation``; ``is_calibrated``.
+
+    Without knots the value stays itself. Values beyond 0 to 1 are clipped, a null stays null.
+    The knots, a table of distinct ``x`` whose number is checked, are sent to all executors.
+    """
+    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(confidence).cast("double")))
+    value = F.when(F.col(confidence).isNotNull(), c)
+    if knots is not None:
+        found = knots.select("x", "y").limit(MAX_KNOTS + 1).toPandas().sort_values(["x", "y"])
+        if not 0 < len(found) <= MAX_KNOTS:
+            raise ValueError(f"a calibration has 1 to {MAX_KNOTS} knots")
+        sent = rows.sparkSession.sparkContext.broadcast((found["x"].to_numpy(float), found["y"].to_numpy(float)))
+
+        @F.pandas_udf("double")
+        def between(values: pd.Series) -> pd.Series:
+            return pd.Series(np.interp(values.to_numpy(float), *sent.value)).where(values.notna())
+
+        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), between(value)))
+    out = rows.withColumn("calibrated_confidence", value)
+    own = F.col("calibrated_confidence")
+    label = F.coalesce(*[F.when(tier(own) == name, text) for name, text in fixed.TIER_LABELS.items()])
+    return out.withColumns({"confidence_tier": tier(own), "tier_label": label, "explanation": tier_explanation(own), "is_calibrated": F.lit(knots is not None)})
+
+
+def calibration_summary(rows: DataFrame, key: str, raw: str = "confidence") -> DataFrame:
+    """For each ``key`` of calibrated rows: mean, deviation, least and greatest adjustment (calibrated less raw) and rows by tier."""
+    own = F.col("calibrated_confidence")
+    change = own - F.col(raw)
+    tiers = [F.count_if(F.col("confidence_tier") == t).alias(t.lower()) for t in fixed.TIER_LABELS]
+    return rows.groupBy(key).agg(F.avg(own).alias("mean"), F.stddev_pop(own).alias("std"), F.avg(change).alias("mean_adjustment"), F.min(change).alias("least"), F.max(change).alias("most"), *tiers)
+
+
+def fit_report(rows: DataFrame, predicted: str, actual: str, knots: DataFrame | None = None) -> DataFrame:
+    """One row: ``calibration_quality`` of raw confidences, the Brier score after calibration and how many percent better that is."""
+    raw = rows.select(F.col(predicted).cast("double").alias("p"), F.col(actual).cast("double").alias("y"))
+    knots = calibration_knots(raw, "p", "y") if knots is None else knots
+    after = calibrate(raw, knots, "p").agg(F.avg(F.pow(F.col("calibrated_confidence") - F.col("y"), 2)).alias("brier_after"))
+    out = calibration_quality(raw, "p", "y").join(F.broadcast(after))  # one row each
+    better = F.when(F.col("brier") > 0, (F.col("brier") - F.col("brier_after")) / F.col("brier") * 100).otherwise(0.0)
+    return out.withColumn("improvement", better)
+
+
+def quality_with_feedback(quality: DataFrame, statistics: DataFrame) -> DataFrame:
+    """The quality of a calibration beside the statistics of its feedback; one row."""
+    return quality.join(F.broadcast(statistics))
 
 
 def reliability(rows: DataFrame, predicted: str, actual: str, bins: int = 10) -> DataFrame:
@@ -161,6 +203,12 @@ def uncertain(rows: DataFrame, n: int, key: str, calibrated: str, second: str, f
     return rows.withColumn("used", value).withColumn("uncertainty", F.abs(F.col("used") - 0.5)).orderBy("uncertainty", key).limit(n)
 
 
+def inside_action(action: Column, names: dict[str, str] = fixed.OUTSIDE_ACTIONS) -> Column:
+    """The inside name of an outside action, null for one that is not known."""
+    pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.try_element_at(pairs, action)
+
+
 def labelled_feedback(rows: DataFrame, action: str = "user_action", confidence: str = "confidence") -> DataFrame:
     """``was_correct`` and ``is_valid``: a known action and a confidence from 0 to 1."""
     pairs = F.create_map(*[F.lit(x) for kv in fixed.FEEDBACK_ACTIONS.items() for x in kv])
@@ -186,3 +234,68 @@ def generations(rows: DataFrame, order: list[str], by: str, size: int = 100) ->
     out = own.groupBy(by, "generation").agg(F.count("*").alias("n"), F.count_if("was_correct").alias("correct"), F.count_if(F.col("user_action") == "dismissed").alias("dismissed"))
     action = F.when(F.col("n") < size, "waiting").when((F.col("correct") == 0) | (F.col("correct") == F.col("n")), "one_class").when(F.col("dismissed") / F.col("n") > 0.20, "refit_with_warning").otherwise("refit")
     return out.withColumn("action", action)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``x`` in order and the non-decreasing values nearest to the ``y``: neighbours are pooled while they fall."""
+    at, inverse, counts = np.unique(x, return_inverse=True, return_counts=True)
+    means = np.bincount(inverse, y) / np.maximum(counts, 1)
+    pools: list[list[float]] = []  # value, weight, points
+    for mean, weight in zip(means, counts):
+        pools.append([mean, weight, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (a, n, k), (b, m, j) = pools[-2:]
+            pools[-2:] = [[(a * n + b * m) / (n + m), n + m, k + j]]
+    return at, np.concatenate([np.full(int(k), v) for v, _, k in pools]) if pools else at
+
+
+def refits(rows: DataFrame, order: list[str], by: str, size: int = 100, confidence: str = "confidence", force: bool = False) -> DataFrame:
+    """What refitting after every ``size`` valid feedbacks gives: for each ``by`` and generation its ``action``, and the Brier score before and after.
+
+    The buffer is cleared after every generation. One of fewer than ``size`` waits, unless
+    ``force``; one with a single class is not fitted; a share of dismissals over 0.20 is
+    marked. Each generation, ``size`` rows at most, is fitted in a task of its own.
+    """
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    own = rows.select(by, F.floor(place / size).alias("generation"), F.col(confidence).cast("double").alias("p"), F.col("was_correct").cast("double").alias("y"), (F.col("user_action") == "dismissed").alias("d"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        n, good = len(part), int(part["y"].sum())
+        if n < size and not force:
+            action = "waiting"
+        elif good in (0, n):
+            action = "one_class"
+        else:
+            action = "refit_with_warning" if part["d"].mean() > 0.20 else "refit"
+        before = after = None
+        if action.startswith("refit"):
+            x, y = isotonic(part["p"].to_numpy(), part["y"].to_numpy())
+            before, after = (float(np.mean((v - part["y"]) ** 2)) for v in (part["p"], np.interp(part["p"], x, y)))
+        return pd.DataFrame({by: [part[by].iloc[0]], "generation": [part["generation"].iloc[0]], "n": [n], "correct": [good], "dismissed": [int(part["d"].sum())], "action": [action], "brier_before": [before], "brier_after": [after]})
+
+    kind = rows.schema[by].dataType.simpleString()
+    return own.groupBy(by, "generation").applyInPandas(fit, f"{by} {kind}, generation long, n long, correct long, dismissed long, action string, brier_before double, brier_after double")
+
+
+def export_feedback(rows: DataFrame, path: str) -> None:
+    """Feedback as JSON lines; timestamps in ISO form."""
+    rows.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+
+
+def import_feedback(spark: SparkSession, path: str, schema: str = "user_action string, confidence double, was_correct boolean, feedback_date timestamp") -> DataFrame:
+    """Feedback that ``export_feedback`` or another writer has left."""
+    return spark.read.schema(schema).json(path)
+
+
+def train_calibrator(spark: SparkSession, path: str, least: int = 50, most_ece: float = 0.05) -> tuple[DataFrame | None, DataFrame]:
+    """Knots from a feedback file, and one row: ``samples``, ``fitted``, ``ece``, ``brier``, ``brier_after``, ``ece_alert``.
+
+    With fewer than ``least`` usable samples, or a single class, there are no knots and the defaults (identity) stay.
+    """
+    rows = import_feedback(spark, path).filter("confidence BETWEEN 0 AND 1 AND was_correct IS NOT NULL").select("confidence", F.col("was_correct").cast("double").alias("actual"))
+    n, good = rows.agg(F.count("*"), F.coalesce(F.sum("actual"), F.lit(0.0))).first()
+    if n < least or good in (0, n):
+        return None, spark.range(1).select(F.lit(n).cast("long").alias("samples"), F.lit(False).alias("fitted"), *[F.lit(None).cast("double").alias(c) for c in ("ece", "brier", "brier_after")], F.lit(False).alias("ece_alert"))
+    knots = calibration_knots(rows, "confidence", "actual")
+    report = fit_report(rows, "confidence", "actual", knots)
+    return knots, report.select(F.col("total").alias("samples"), F.lit(True).alias("fitted"), "ece", "brier", "brier_after", (F.col("ece") > most_ece).alias("ece_alert"))

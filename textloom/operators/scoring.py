@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import lookup
+from textloom.functions.text import lookup, risk_level
 from textloom.operators.matching import fuzzy_member, rule_table
 from textloom.rules import fixed
 
@@ -91,7 +91,7 @@ def compounds(found: DataFrame, components: DataFrame, key: str = "document_id")
         F.array_join(F.array_sort(F.collect_list(F.when(~F.col("required"), F.col("indicator")))), ",").alias("optional_found"),
         F.count_if(~F.col("required")).alias("optional"),
     )
-    full = own.join(F.broadcast(need), "pattern").filter("_have = _need")
+    full = own.join(rule_table(need), "pattern").filter("_have = _need")
     confidence = 0.70 + F.least(0.05 * F.col("optional"), F.lit(0.30))
     score = F.round(F.least(lookup("severity", fixed.COMPOUND_BASE, 5.0) * F.col("multiplier") + 0.5 * F.col("optional"), F.lit(10.0)), 1)
     return full.withColumn("confidence", confidence).withColumn("combined_score", score).drop("_have", "_need")
@@ -193,6 +193,27 @@ def document_risk(anomalies: DataFrame, key: str = "document_id", severity: str
     return parts.withColumn("risk_score", F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.col("by_count") + F.col("by_severity") + F.col("by_variety"))))
 
 
+def document_risk_report(documents: DataFrame, anomalies: DataFrame, key: str = "document_id") -> DataFrame:
+    """``document_risk`` of every document, those without anomalies at 1, with ``risk_level`` and ``risk_label``."""
+    own = documents.select(key).join(document_risk(anomalies, key), key, "left")
+    counts = ["n", "high", "medium", "low", "categories", "by_count", "by_severity", "by_variety"]
+    out = own.fillna(0, counts).fillna(1.0, ["risk_score"])
+    score = F.col("risk_score")
+    label = F.when(F.col("n") == 0, "Low Risk").when(score >= 7, "High Risk").when(score >= 4, "Medium Risk").otherwise("Low to Medium Risk")
+    return out.withColumn("risk_level", risk_level(score)).withColumn("risk_label", label)
+
+
+def document_report(anomalies: DataFrame, key: str = "document_id", item: str = "anomaly_id", category: str = "category") -> DataFrame:
+    """Per document: ids of high and medium anomalies, the number of low ones, anomalies by category, and the top three concerns."""
+    listed = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.col(item)))).cast("array<string>"), ",")
+    own = anomalies.groupBy(key).agg(F.count("*").alias("total"), listed("high").alias("high_ids"), listed("medium").alias("medium_ids"), F.count_if(F.col("severity") == "low").alias("low"))
+    counts = anomalies.groupBy(key, category).agg(F.count("*").alias("n"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct(category, "n"))), lambda x: F.concat(x[category].cast("string"), F.lit(": "), x["n"].cast("string")))
+    split = counts.groupBy(key).agg(F.array_join(named, ", ").alias("by_category"))
+    top = top_concerns(anomalies, key, item).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", item))), lambda x: x[item].cast("string")), ",").alias("top_concerns"))
+    return own.join(split, key).join(top, key, "left").withColumn("top_concerns", F.coalesce("top_concerns", F.lit("")))
+
+
 def top_concerns(anomalies: DataFrame, key: str = "document_id", item: str = "anomaly_id", n: int = 3) -> DataFrame:
     """The first concerns of each document: its high ones, or else its medium ones."""
     has_high = F.max((F.col("severity") == "high").cast("int")).over(Window.partitionBy(key))

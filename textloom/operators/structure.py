@@ -8,27 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import normalize_newlines
+from textloom.operators.matching import rule_table
 from textloom.rules import fixed
 
 SPACE = "[ \\t\\n\\r\\f\\x0B]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
-def _hits(lines: Column, patterns: Sequence[str]) -> Column:
-    """For each pattern the numbers (from 0) of the lines that begin with it."""
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), strip(x).alias("x")))
+def _with_hits(rows: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_hits``: for each pattern the numbers (from 0) of the ``_lines`` that begin with it.
+
+    Lines are stripped once, and those that no pattern fits, most of them, are left out in one pass.
+    """
+    any_of = "|".join(f"(?:{p})" for p in patterns)
+    numbered = F.transform("_lines", lambda x, i: F.struct(i.alias("i"), strip(x).alias("x")))
+    out = rows.withColumn("_some", F.filter(numbered, lambda r: r["x"].rlike(any_of)))
 
     def matching(pattern: str) -> Column:
-        return F.transform(F.filter(numbered, lambda r: r["x"].rlike(pattern)), lambda r: r["i"])
+        return F.transform(F.filter("_some", lambda r: r["x"].rlike(pattern)), lambda r: r["i"])
 
-    return F.array(*map(matching, patterns))
+    return out.withColumn("_hits", F.array(*map(matching, patterns))).drop("_some")
 
 
 def _segments(lines: Column, starts: Column, pattern: Column, fields) -> Column:
@@ -48,7 +54,7 @@ def _group(line: Column, pattern: Column, n: int) -> Column:
 
 def pattern_hits(docs: DataFrame, patterns: Sequence[str] = fixed.SECTION_PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines that begin with each pattern, and the pattern chosen (from 1): the first with three or the last."""
-    rows = docs.select(key, F.split(normalize_newlines(text), "\n", -1).alias("_lines")).withColumn("_hits", _hits(F.col("_lines"), patterns))
+    rows = _with_hits(docs.select(key, F.split(normalize_newlines(text), "\n", -1).alias("_lines")), patterns)
     chosen = F.array_position(F.transform("_hits", lambda h: F.size(h) >= 3), F.lit(True)).cast("int")
     return rows.select(key, "_lines", "_hits", F.when(chosen > 0, chosen).otherwise(len(patterns)).alias("chosen"))
 
@@ -78,7 +84,7 @@ def sections(docs: DataFrame, patterns: Sequence[str] = fixed.SECTION_PATTERNS,
 def clauses(found: DataFrame, patterns: Sequence[str] = fixed.CLAUSE_PATTERNS, bullets: Sequence[str] = fixed.BULLET_PATTERNS, keys: Sequence[str] = ("doc_id", "section_no"), text: str = "content") -> DataFrame:
     """The clauses of each section: by the first numbering with two, then bullets by number, else all as one."""
     both = [*patterns, *bullets]
-    rows = found.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_hits", _hits(F.col("_lines"), both))
+    rows = _with_hits(found.withColumn("_lines", F.split(text, "\n", -1)), both)
     rows = rows.withColumn("_p", F.array_position(F.transform("_hits", lambda h: F.size(h) >= 2), F.lit(True)).cast("int"))
     rows = rows.withColumn("_starts", F.when(F.col("_p") > 0, F.element_at("_hits", F.greatest(F.col("_p"), F.lit(1))))).withColumn("_pattern", F.element_at(F.array(*map(F.lit, both)), F.greatest(F.col("_p"), F.lit(1))))
 
@@ -100,14 +106,12 @@ def structure_statistics(docs: DataFrame, found: DataFrame, key: str = "doc_id",
     return size.join(own, key, "left").fillna(0)
 
 
-def pattern_report(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", most: int = 10) -> DataFrame:
-    """The first ``most`` lines of each document that each pattern (``pattern_no``, ``pattern``; a small table) matches."""
-    from pyspark.sql import Window
-
+def pattern_report(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", most: int = 10, groups: int = 2) -> DataFrame:
+    """The first ``most`` lines of each document that each pattern (``pattern_no``, ``pattern``; a rule table) matches, with its first ``groups`` groups."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    hit = lines.join(F.broadcast(patterns.limit(1000)), F.expr("line rlike pattern"))
+    hit = lines.join(rule_table(patterns), F.expr("line rlike pattern"))
     place = F.row_number().over(Window.partitionBy(key, "pattern_no").orderBy("line_no"))
-    return hit.withColumn("place", place).filter(F.col("place") <= most).select(key, "pattern_no", "place", (F.col("line_no") + 1).alias("line_no"), "line")
+    return hit.withColumn("place", place).filter(F.col("place") <= most).select(key, "pattern_no", "place", (F.col("line_no") + 1).alias("line_no"), "line", *[_group(F.col("line"), F.col("pattern"), k).alias(f"group_{k}") for k in range(1, groups + 1)])
 
 
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,8 +11,6 @@ from textloom.plans.common import Plans, table
 from textloom.plans.scoring_plans import ANOMALIES, anomalies
 from textloom.plans.text_plans import COMMON_WORDS
 
-FEATURES = ["chars", "lines", "commas"]
-
 
 def docs(s, d):
     return table(s, d, "documents")
@@ -30,10 +28,6 @@ def outcomes(s, d):
     return own.select("doc_id", F.col("quality").cast("double").alias("actual"), (F.pmod(F.length("text"), F.lit(101)) / 100.0).alias("predicted"))
 
 
-def features(s, d):
-    return docs(s, d).select("doc_id", F.length("text").cast("double").alias("chars"), F.size(F.split("text", "\n", -1)).cast("double").alias("lines"), F.regexp_count("text", F.lit(",")).cast("double").alias("commas"))
-
-
 def a4(s, d):
     o = table(s, d, "orders")
     rules = {"status": F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice").between(1000, 450000), "priority": F.length("o_orderpriority") <= 10}
@@ -67,40 +61,10 @@ def a12(s, d):
     return n.agg(F.count("*").alias("processed"), F.count_if(ok).alias("successful"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum(F.when(ok, chunks)).alias("chunks"), F.round(F.avg(F.when(ok, chunks)), 6).alias("mean_chunks"), F.round(F.sum(F.when(ok, chunks)) / 1000 * 0.02, 6).alias("embedding_cost"))
 
 
-def f4(s, d):
-    return M.importance(features(s, d), FEATURES, "doc_id").select("doc_id", "feature", F.round("importance", 6).alias("importance"))
-
-
-def d12(s, d):
-    return M.profile(features(s, d), FEATURES).select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max")
-
-
-def f2(s, d):
-    own = features(s, d)
-    forest = M.isolation_forest(own, FEATURES, "doc_id", trees=30)
-    return M.outlier_scores(own, forest, FEATURES, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "is_outlier", F.round("confidence", 6).alias("confidence"))
-
-
-def f5(s, d):
-    own = outcomes(s, d)
-    out = M.calibrate(own.select("doc_id", F.col("predicted").alias("confidence")), M.calibration_knots(own, "predicted", "actual"))
-    return out.select("doc_id", F.round("calibrated_confidence", 6).alias("calibrated_confidence"), "confidence_tier")
-
-
 def f7(s, d):
     return M.reliability(outcomes(s, d), "predicted", "actual").select("bin", "n", F.round("mean_predicted", 6).alias("mean_predicted"), F.round("mean_actual", 6).alias("mean_actual"))
 
 
-def f8(s, d):
-    return M.calibration_quality(outcomes(s, d), "predicted", "actual").select("total", F.round("brier", 6).alias("brier"), F.round("ece", 6).alias("ece"), "quality", "status")
-
-
-def f9(s, d):
-    a = anomalies(s, d)
-    own = M.calibrate(a, None).withColumn("adjustment", F.col("calibrated_confidence") - F.lit(0.5))
-    return own.groupBy("document_id").agg(F.round(F.avg("calibrated_confidence"), 6).alias("mean"), F.round(F.stddev_pop("calibrated_confidence"), 6).alias("std"), F.round(F.min("adjustment"), 6).alias("least"), F.round(F.max("adjustment"), 6).alias("most"), *[F.count_if(F.col("confidence_tier") == t).alias(t.lower()) for t in ("HIGH", "MODERATE", "LOW")])
-
-
 def f10(s, d):
     a = anomalies(s, d).select("anomaly_id", F.when(F.col("anomaly_id") % 3 == 0, 0.0).otherwise(F.col("confidence")).alias("calibrated"), F.when(F.col("anomaly_id") % 2 == 0, F.col("confidence") / 2).alias("second"), F.lit(0.9).alias("first"))
     return M.uncertain(a, 25, "anomaly_id", "calibrated", "second", "first").select("anomaly_id", F.round("uncertainty", 6).alias("uncertainty"))
@@ -219,8 +183,6 @@ fb AS (SELECT *, ['helpful', 'acted_on', 'dismissed', 'false_positive', 'unknown
 fl AS (SELECT *, CASE WHEN user_action IN ('helpful', 'acted_on') THEN true WHEN user_action IN ('dismissed', 'false_positive') THEN false END AS was_correct, user_action <> 'unknown' AND c2 BETWEEN 0 AND 1 AS is_valid FROM fb)"""
 _OUT = "oc AS (SELECT doc_id, CAST(quality AS DOUBLE) AS actual, (length(text) % 101) / 100.0 AS predicted FROM labels JOIN documents USING (doc_id))"
 _REL = f"{_OUT}, rel AS (SELECT CAST(ceil(predicted * 10) AS INT) AS bin, count(*) AS n, avg(predicted) AS mp, avg(actual) AS ma FROM oc WHERE predicted > 0 GROUP BY 1)"
-_FEAT = "ft AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines, CAST(length(text) - length(replace(text, ',', '')) AS DOUBLE) AS commas FROM documents)"
-_LONG = f"{_FEAT}, lg AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS feature, {c} AS value FROM ft" for c in FEATURES) + ")"
 _WEEK = f"""{ANOMALIES}, cal AS (SELECT CAST(w AS INT) AS week, DATE '{AS_OF}' - CAST((6 - w) * 7 + 7 AS INT) AS s, DATE '{AS_OF}' - CAST((6 - w) * 7 AS INT) AS e FROM range(1, 7) t(w)),
 wk AS (SELECT week, any_value(s) AS start, any_value(e) AS "end", count(anomaly_id) AS detections, count(DISTINCT document_id) AS documents FROM cal LEFT JOIN a ON CAST(created_at AS DATE) >= s AND CAST(created_at AS DATE) < e GROUP BY week),
 wt AS (SELECT *, CASE WHEN documents > 0 THEN detections / documents ELSE 0.0 END AS alerts_per_document FROM wk)"""
@@ -241,13 +203,7 @@ UNION ALL SELECT o_orderkey, 'customer' FROM orders ANTI JOIN (SELECT * FROM cus
     "a09_index_statistics": (a9, "SELECT coalesce(CAST(vec_id % 3 AS VARCHAR), 'total') AS namespace, count(*) AS vectors, count(DISTINCT label) AS documents FROM embeddings GROUP BY ROLLUP (CAST(vec_id % 3 AS VARCHAR))"),
     "a11_incremental_status": (a11, f"WITH {_A11} SELECT doc_id, status, CASE WHEN status = 'failed' THEN 'text_too_short' END AS reason, chars FROM ix"),
     "a12_run_summary": (a12, f"WITH {_A11} SELECT count(*) AS processed, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed, CAST(sum(ceil(chars / 2000)) FILTER (status = 'success') AS BIGINT) AS chunks, round(avg(ceil(chars / 2000)) FILTER (status = 'success'), 6) AS mean_chunks, round(sum(ceil(chars / 2000)) FILTER (status = 'success') / 1000 * 0.02, 6) AS embedding_cost FROM ix"),
-    "d11_d12_feature_profile": (d12, f"WITH {_LONG} SELECT feature, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, min(value) AS min, max(value) AS max FROM lg GROUP BY feature"),
-    "f01_f04_importance": (f4, f"WITH {_LONG}, st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM lg GROUP BY feature) SELECT doc_id, feature, round(abs((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 6) AS importance FROM lg JOIN st USING (feature)"),
-    "f02_f03_outliers": (f2, None),
-    "f05_f06_calibrated": (f5, None),
     "f07_reliability": (f7, f"WITH {_REL} SELECT bin, n, round(mp, 6)::DOUBLE AS mean_predicted, round(ma, 6) AS mean_actual FROM rel"),
-    "f08_f16_calibration_quality": (f8, f"WITH {_REL}, g AS (SELECT count(*) AS total, avg(pow(predicted - actual, 2)) AS brier FROM oc), e AS (SELECT sum(n * abs(mp - ma)) AS gap FROM rel) SELECT total, round(brier, 6) AS brier, round(gap / total, 6) AS ece, CASE WHEN gap / total < 0.05 THEN 'excellent' WHEN gap / total < 0.10 THEN 'good' WHEN gap / total < 0.15 THEN 'fair' ELSE 'poor' END AS quality, CASE WHEN gap / total < 0.05 THEN 'GOOD' ELSE 'NEEDS_ATTENTION' END AS status FROM g, e"),
-    "f09_calibration_summary": (f9, f"WITH {ANOMALIES} SELECT document_id, round(avg(confidence), 6) AS mean, round(stddev_pop(confidence), 6) AS std, round(min(confidence) - 0.5, 6) AS least, round(max(confidence) - 0.5, 6) AS most, count(*) FILTER (confidence >= 0.85) AS high, count(*) FILTER (confidence >= 0.60 AND confidence < 0.85) AS moderate, count(*) FILTER (confidence < 0.60) AS low FROM a GROUP BY document_id"),
     "f10_uncertainty": (f10, f"WITH {ANOMALIES}, u AS (SELECT anomaly_id, abs(coalesce(nullif(CASE WHEN anomaly_id % 3 = 0 THEN 0.0 ELSE confidence END, 0), nullif(CASE WHEN anomaly_id % 2 = 0 THEN confidence / 2 END, 0), 0.9) - 0.5) AS u FROM a) SELECT anomaly_id, round(u, 6) AS uncertainty FROM u ORDER BY u, anomaly_id LIMIT 25"),
     "f11_feedback": (f11, f"WITH {_FB} SELECT anomaly_id, user_action, was_correct, is_valid FROM fl"),
     "f12_feedback_statistics": (f12, f"WITH {_FB} SELECT count(*) AS size, least(count(*) / 100, 1.0)::DOUBLE AS progress, round(count(*) FILTER (user_action = 'dismissed') / count(*), 6) AS dismissal_rate, round(count(*) FILTER (was_correct) / count(*), 6) AS accuracy FROM fl WHERE is_valid"),

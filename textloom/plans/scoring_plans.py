@@ -65,7 +65,7 @@ def h5(s, d):
 
 
 def h6(s, d):
-    days = table(s, d, "lineitem").select(F.datediff(F.lit("1998-06-01").cast("date"), F.col("l_shipdate").cast("date")).alias("days")).filter("days BETWEEN 0 AND 200").distinct()
+    days = table(s, d, "lineitem").select(F.datediff(F.lit("1998-06-01").cast("date"), F.col("l_shipdate").cast("date")).alias("days")).distinct()
     return S.with_tier(days, rows(s, TIER_SCHEMA, list(fixed.DECAY_TIERS))).select(F.col("days").cast("long").alias("days"), "modifier", "label", (F.col("modifier") * 2.0).alias("expected"))
 
 
@@ -75,23 +75,24 @@ def h8(s, d):
     return a.select("anomaly_id", own.alias("x")).select("anomaly_id", F.round("x.stage2_confidence", 6).alias("stage2_confidence"), F.col("x.kept").alias("kept"))
 
 
-def _few(s, d):
-    """A share of the indicators, so that not every document has all."""
-    return anomalies(s, d).filter("anomaly_id % 17 < document_id % 5")
+def _daily(s, d):
+    """Anomalies of a document and day as those of one document, so that not every one has all indicators."""
+    own = anomalies(s, d)
+    return own.withColumn("document_id", F.col("document_id") * 100_000 + F.datediff(F.to_date("created_at"), F.lit("2020-01-01").cast("date")))
 
 
 def g6(s, d):
-    own = S.compounds(_few(s, d), rows(s, COMPONENT_SCHEMA, COMPONENTS))
+    own = S.compounds(_daily(s, d), rows(s, COMPONENT_SCHEMA, COMPONENTS))
     return own.withColumn("confidence", F.round("confidence", 6))
 
 
 def g7(s, d):
     c = rows(s, COMPONENT_SCHEMA, COMPONENTS)
-    return S.component_matches(_few(s, d), S.compounds(_few(s, d), c), c)
+    return S.component_matches(_daily(s, d), S.compounds(_daily(s, d), c), c)
 
 
 def h11(s, d):
-    return S.compound_document_score(S.compounds(_few(s, d), rows(s, COMPONENT_SCHEMA, COMPONENTS)))
+    return S.compound_document_score(S.compounds(_daily(s, d), rows(s, COMPONENT_SCHEMA, COMPONENTS)))
 
 
 def _scored(s, d):
@@ -126,20 +127,29 @@ def h15b(s, d):
 def h16(s, d):
     a = anomalies(s, d)
     n = lambda x: F.count_if(F.col("severity") == x)
-    own = a.filter("anomaly_id % 40 = 0").groupBy("document_id").agg(F.round(S.overall_risk(n("high"), n("medium"), n("low"), F.count_if(F.col("indicator") == "i1"), F.avg("confidence")), 6).alias("overall_risk"))
+    own = a.groupBy("document_id", F.to_date("created_at").alias("day")).agg(F.round(S.overall_risk(n("high"), n("medium"), n("low"), F.count_if(F.col("indicator") == "i1"), F.avg("confidence")), 6).alias("overall_risk"))
     return own
 
 
 def h17(s, d):
-    own = S.document_risk(anomalies(s, d).filter("anomaly_id % 20 = 0"))
-    return own.withColumns({c: F.round(c, 6) for c in ("by_count", "by_severity", "by_variety", "risk_score")})
+    """Risk of every customer as a document and month, with those that have no anomaly."""
+    month = F.date_format("created_at", "yyyy-MM-dd")
+    own = anomalies(s, d).withColumn("document_id", F.concat_ws(" ", F.col("document_id").cast("string"), month))
+    docs = own.select("document_id").unionByName(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("document_id"))).distinct()
+    out = S.document_risk_report(docs, own)
+    return out.withColumns({c: F.round(c, 6) for c in ("by_count", "by_severity", "by_variety", "risk_score")})
 
 
 def h18(s, d):
     return S.top_concerns(anomalies(s, d)).select("document_id", "place", "anomaly_id", "severity")
 
 
-_FEW = f"{ANOMALIES}, few AS (SELECT * FROM a WHERE anomaly_id % 17 < document_id % 5), comp AS (SELECT * FROM (VALUES {', '.join(str(c) for c in COMPONENTS)}) t(pattern, indicator, required, severity, multiplier))"
+def h18b(s, d):
+    """The report of each document and day: anomalies by severity and category, the top concerns."""
+    return S.document_report(_daily(s, d))
+
+
+_FEW = f"{ANOMALIES}, few AS (SELECT * REPLACE (document_id * 100000 + date_diff('day', DATE '2020-01-01', CAST(created_at AS DATE)) AS document_id) FROM a), comp AS (SELECT * FROM (VALUES {', '.join(str(c) for c in COMPONENTS)}) t(pattern, indicator, required, severity, multiplier))"
 _MATCHED = f"""{_FEW},
 hit AS (SELECT DISTINCT document_id, pattern, c.indicator, required, c.severity, multiplier FROM few JOIN comp c USING (indicator)),
 m AS (SELECT document_id, pattern, any_value(severity) AS severity, CAST(any_value(multiplier) AS DOUBLE) AS multiplier, coalesce(string_agg(indicator, ',' ORDER BY indicator) FILTER (required), '') AS required_found, coalesce(string_agg(indicator, ',' ORDER BY indicator) FILTER (NOT required), '') AS optional_found, count(*) FILTER (NOT required) AS optional
@@ -187,7 +197,7 @@ f AS (SELECT *, CASE WHEN days IS NULL OR days < 0 OR NOT ch THEN 1.0::DOUBLE EL
 SELECT o_orderkey, days, factor, round(score * factor, 8) AS adjusted, CASE WHEN days IS NULL THEN 'unknown date' WHEN days < 0 THEN 'future date' WHEN days < 14 THEN days || ' days ago' WHEN days < 60 THEN days // 7 || ' weeks ago' WHEN days < 730 THEN days // 30 || ' months ago' ELSE days // 365 || ' years ago' END AS age,
 coalesce(days > 1825, false) AS very_old, CASE WHEN score * factor >= 8 THEN 'CRITICAL' WHEN score * factor >= 6 THEN 'HIGH' WHEN score * factor >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS priority, {_LABEL.format('days')} AS tier FROM f""",
     ),
-    "h06_decay_curve": (h6, f"WITH d AS (SELECT DISTINCT date_diff('day', CAST(l_shipdate AS DATE), DATE '1998-06-01') AS days FROM lineitem) SELECT days, {_TIER.format('days')} AS modifier, {_LABEL.format('days')} AS label, 2.0 * {_TIER.format('days')} AS expected FROM d WHERE days BETWEEN 0 AND 200"),
+    "h06_decay_curve": (h6, f"WITH d AS (SELECT DISTINCT date_diff('day', CAST(l_shipdate AS DATE), DATE '1998-06-01') AS days FROM lineitem) SELECT days, {_TIER.format('days')} AS modifier, {_LABEL.format('days')} AS label, 2.0 * {_TIER.format('days')} AS expected FROM d"),
     "h08_stage_two": (h8, f"WITH {ANOMALIES}, c AS (SELECT *, 0.7 * confidence + 0.3 * (1 - CASE WHEN category < 3 THEN 0.1 ELSE 0.9 END) AS s2 FROM a) SELECT anomaly_id, round(s2::DOUBLE, 6) AS stage2_confidence, indicator <> 'i0' AND (category + 2.0 >= 5 OR s2 >= 0.60) AS kept FROM c"),
     "g06_h10_compounds": (g6, f"WITH {_MATCHED} SELECT * FROM matched"),
     "g07_g08_component_matches": (g7, f"WITH {_MATCHED} SELECT few.document_id, pattern, anomaly_id, string_agg(DISTINCT few.indicator, ',' ORDER BY few.indicator) AS shared FROM few JOIN comp c ON c.indicator = few.indicator SEMI JOIN matched m ON m.document_id = few.document_id AND m.pattern = c.pattern GROUP BY ALL"),
@@ -200,12 +210,24 @@ SELECT *, CASE WHEN compound_score >= 7 OR critical > 0 THEN 'Critical' WHEN com
     "h14_alert_budget": (h14, f"WITH {_RANKED} SELECT anomaly_id, document_id, confidence_tier, shown FROM ranked"),
     "h15_ranking_summary": (h15, f"WITH {_RANKED} SELECT document_id, count(*) AS total, count(*) FILTER (shown <> 'suppressed') AS shown, round(count(*) FILTER (shown = 'suppressed') / count(*), 6) AS suppression_rate, round(avg(ranking_score), 6) AS mean_score, max(ranking_score) AS top_score FROM ranked GROUP BY document_id"),
     "h15_top_categories": (h15b, f"WITH {_RANKED}, c AS (SELECT document_id, category, count(*) AS n FROM ranked WHERE shown <> 'suppressed' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, category) AS place FROM c) SELECT * FROM p WHERE place <= 5"),
-    "h16_overall_risk": (h16, f"WITH {ANOMALIES} SELECT document_id, round(CAST(greatest(1.0, least(10.0, least(3 * count(*) FILTER (severity = 'high') + 2 * count(*) FILTER (severity = 'medium') + count(*) FILTER (severity = 'low') + 2.5 * count(*) FILTER (indicator = 'i1'), 30.0) / 3 + (avg(confidence) - 0.5) * 2)) AS DOUBLE), 6) AS overall_risk FROM a WHERE anomaly_id % 40 = 0 GROUP BY document_id"),
+    "h16_overall_risk": (h16, f"WITH {ANOMALIES} SELECT document_id, CAST(created_at AS DATE) AS day, round(CAST(greatest(1.0, least(10.0, least(3 * count(*) FILTER (severity = 'high') + 2 * count(*) FILTER (severity = 'medium') + count(*) FILTER (severity = 'low') + 2.5 * count(*) FILTER (indicator = 'i1'), 30.0) / 3 + (avg(confidence) - 0.5) * 2)) AS DOUBLE), 6) AS overall_risk FROM a GROUP BY ALL"),
     "h17_document_risk": (
         h17,
-        f"""WITH {ANOMALIES}, g AS (SELECT document_id, count(*) AS n, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(DISTINCT category) AS categories FROM a WHERE anomaly_id % 20 = 0 GROUP BY document_id),
-p AS (SELECT *, least(n / 2, 4.0)::DOUBLE AS by_count, round(least(0.75 * high + 0.35 * medium + 0.15 * low, 4.0)::DOUBLE, 6) AS by_severity, least(0.5 * categories, 2.0)::DOUBLE AS by_variety FROM g)
-SELECT *, round(greatest(1.0, least(10.0, by_count + by_severity + by_variety))::DOUBLE, 6) AS risk_score FROM p""",
+        f"""WITH {ANOMALIES}, k AS (SELECT document_id || ' ' || strftime(created_at, '%Y-%m-%d') AS document_id, severity, category FROM a),
+ds AS (SELECT document_id FROM k UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer),
+g AS (SELECT document_id, count(*) AS n, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(DISTINCT category) AS categories FROM k GROUP BY document_id),
+p AS (SELECT document_id, coalesce(n, 0) AS n, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(categories, 0) AS categories, round(least(coalesce(n, 0) / 2, 4.0), 6)::DOUBLE AS by_count, round(least(0.75 * coalesce(high, 0) + 0.35 * coalesce(medium, 0) + 0.15 * coalesce(low, 0), 4.0)::DOUBLE, 6) AS by_severity, least(0.5 * coalesce(categories, 0), 2.0)::DOUBLE AS by_variety FROM ds LEFT JOIN g USING (document_id)),
+q AS (SELECT *, round(greatest(1.0, least(10.0, by_count + by_severity + by_variety))::DOUBLE, 6) AS risk_score FROM p)
+SELECT *, CASE WHEN risk_score >= 7 THEN 'High' WHEN risk_score >= 4 THEN 'Medium' ELSE 'Low' END AS risk_level, CASE WHEN n = 0 THEN 'Low Risk' WHEN risk_score >= 7 THEN 'High Risk' WHEN risk_score >= 4 THEN 'Medium Risk' ELSE 'Low to Medium Risk' END AS risk_label FROM q""",
     ),
     "h18_top_concerns": (h18, f"WITH {ANOMALIES}, w AS (SELECT *, bool_or(severity = 'high') OVER (PARTITION BY document_id) AS has FROM a), r AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, anomaly_id) AS place, anomaly_id, severity FROM w WHERE severity = 'high' OR (NOT has AND severity = 'medium')) SELECT * FROM r WHERE place <= 3"),
+    "h18_document_report": (
+        h18b,
+        f"""WITH {_FEW}, w AS (SELECT *, bool_or(severity = 'high') OVER (PARTITION BY document_id) AS has FROM few),
+t AS (SELECT document_id, anomaly_id, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, anomaly_id) AS place FROM w WHERE severity = 'high' OR (NOT has AND severity = 'medium')),
+tc AS (SELECT document_id, string_agg(anomaly_id, ',' ORDER BY place) AS top FROM t WHERE place <= 3 GROUP BY document_id),
+c AS (SELECT document_id, category, count(*) AS n FROM few GROUP BY ALL), cs AS (SELECT document_id, string_agg(category || ': ' || n, ', ' ORDER BY category) AS by_category FROM c GROUP BY document_id),
+g AS (SELECT document_id, count(*) AS total, coalesce(string_agg(anomaly_id, ',' ORDER BY anomaly_id) FILTER (severity = 'high'), '') AS high_ids, coalesce(string_agg(anomaly_id, ',' ORDER BY anomaly_id) FILTER (severity = 'medium'), '') AS medium_ids, count(*) FILTER (severity = 'low') AS low FROM few GROUP BY document_id)
+SELECT g.*, by_category, coalesce(top, '') AS top_concerns FROM g JOIN cs USING (document_id) LEFT JOIN tc USING (document_id)""",
+    ),
 }

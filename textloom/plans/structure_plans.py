@@ -191,7 +191,7 @@ FROM documents d LEFT JOIN g USING (doc_id)""",
         c7,
         f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
 p AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{p}')" for k, p in enumerate(HEADS, 1))}) t(pattern_no, pattern)),
-h AS (SELECT doc_id, pattern_no, row_number() OVER (PARTITION BY doc_id, pattern_no ORDER BY line_no) AS place, line_no, line FROM l, p WHERE regexp_matches(line, pattern))
+h AS (SELECT doc_id, pattern_no, row_number() OVER (PARTITION BY doc_id, pattern_no ORDER BY line_no) AS place, line_no, line, {_case(HEADS, "line", 1).replace("CASE p", "CASE pattern_no")} AS group_1, {_case(HEADS, "line", 2).replace("CASE p", "CASE pattern_no")} AS group_2 FROM l, p WHERE regexp_matches(line, pattern))
 SELECT * FROM h WHERE place <= 3""",
     ),
     "c08_headings": (c8, f"WITH {_HEADING} SELECT * FROM hd"),

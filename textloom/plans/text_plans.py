@@ -125,15 +125,8 @@ def d6(s, d):
 
 
 def d8(s, d):
-    t = docs(s, d)
-    w = X.words("text")
-    return t.select(
-        "doc_id",
-        X.sentence_count("text").cast("long").alias("sentences"),
-        F.size(w).cast("long").alias("words"),
-        F.aggregate(w, F.lit(0), lambda a, x: a + X.syllables(x)).cast("long").alias("syllables"),
-        F.round(X.flesch("text"), 6).alias("flesch"),
-    )
+    own = X.readability(docs(s, d).select("doc_id", "text"))
+    return own.select("doc_id", "sentences", "words", "syllables", F.round("flesch", 6).alias("flesch"))
 
 
 def d13(s, d):

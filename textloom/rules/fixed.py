@@ -34,6 +34,22 @@ CONDITIONALS = (
     "if", "unless", "except", "provided", "provided that", "in the event", "should", "when", "where", "wherever",
     "whenever", "in case", "as long as", "so long as",
 )
+LEGAL_JARGON = (
+    "thereof", "therein", "thereby", "whereof", "wherein", "whereby", "heretofore", "hereinafter",
+    "hereby", "herein", "hereto", "hereof", "aforesaid", "forthwith", "notwithstanding",
+    "pursuant to", "in accordance with", "subject to", "with respect to", "in respect of", "in relation to",
+    "to the extent", "to the effect that", "insofar as", "inasmuch as", "viz", r"i\.e\.", r"e\.g\.",
+    "indemnify", "indemnification", "liability", "liable", "waive", "waiver", "governing law",
+    "jurisdiction", "arbitration", "force majeure", "terminate", "termination", "breach",
+    "representation", "warranty", "warranties",
+)
+RISK_KEYWORDS = (
+    "terminate", "suspend", "cancel", "delete", "remove", "liability", "liable", "indemnify",
+    "waive", "forfeit", "no refund", "non-refundable", "change.*price", "increase.*fee", "auto.*renew",
+    "automatically", "share.*data", "sell.*information", "third.*part", "monitor", "track", "collect",
+    "discretion", "at any time", "without notice", "without.*cause", "for any reason", "as-is",
+    "no warranty", "disclaim", "at.*risk",
+)
 # --- fixed values: plain-language check and vague wording
 UNCLEAR = ("hereby", "whereas", "hereinafter", "aforesaid", "notwithstanding", "pursuant to", "in the event that", "provided that", "to the extent that")
 VAGUE = ("may", "might", "could", "reasonable", "appropriate", "at our discretion", "from time to time", "as needed", "as necessary")
@@ -54,4 +70,14 @@ BONUSES = {"compound": 5.0, "change": 2.0, "industry": 1.5, "regulatory": 3.0}
 # --- fixed values: weights of the three detection methods
 METHOD_WEIGHTS = (0.40, 0.35, 0.25)
 # --- fixed values: labels of feedback
+OUTSIDE_ACTIONS = {"helpful": "helpful", "dismiss": "dismissed", "not_applicable": "false_positive", "acted_on": "acted_on"}
 FEEDBACK_ACTIONS = {"helpful": True, "acted_on": True, "dismissed": False, "false_positive": False}
+# --- fixed values: tiers of a calibrated confidence, and how each is explained
+TIER_LABELS = {"HIGH": "High Confidence", "MODERATE": "Moderate Confidence", "LOW": "Low Confidence"}
+TIER_TEXTS = {
+    "HIGH": "We are %d%% confident this is a genuine concern based on our analysis of 100+ similar documents.",
+    "MODERATE": "This appears concerning (%d%% confidence), but review the specifics for your situation.",
+    "LOW": "This might be an issue (%d%% confidence). Check if it applies to your use case.",
+}
+# --- fixed values: classifications of stored responses that are kept as findings
+PROBLEMS = ("ANOMALY", "FLAGGED", "PROBLEMATIC", "UNUSUAL")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -42,7 +43,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder of this machine; an error on a cluster, whose executors wouldn't see it."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="textloom-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset and the master local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint, so that a plan that uses it several times computes it once."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(own_folder(spark))
+    return df.checkpoint()

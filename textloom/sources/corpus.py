@@ -54,9 +54,47 @@ def admit_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return rows.select("path", file_name("path").alias("safe_name"), "length", reason.alias("reason"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` over ``old`` by key, the last write winning."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``new`` over ``old`` by key, the last write winning: of repeated keys in ``new`` the row with the greatest ``order``, or without one any single row."""
+    if order is None:
+        last = new.dropDuplicates([key])
+    else:
+        last = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("_r")).select("_r.*")
+    return old.join(last.select(key), key, "left_anti").unionByName(last.select(*old.columns))
+
+
+def index_statistics(rows: DataFrame, namespace: str, document: str, per_document: int = 50) -> DataFrame:
+    """Vectors and documents of each namespace and of all (``total``), vectors for a document, and coverage against ``per_document``."""
+    own = rows.select(F.col(namespace).cast("string").alias("namespace"), F.col(document).alias("_d"))
+    out = own.rollup("namespace").agg(F.count("*").alias("vectors"), F.count_distinct("_d").alias("documents"))
+    n = F.greatest(F.col("documents"), F.lit(1))
+    return out.select(F.coalesce("namespace", F.lit("total")).alias("namespace"), "vectors", "documents", (F.col("vectors") / n).alias("average_vectors"), (F.col("vectors") / (n * per_document)).alias("coverage"))
+
+
+def index_status(docs: DataFrame, done: DataFrame, key: str, text: str = "text", force: bool = False, least: int = 500) -> DataFrame:
+    """``key``, ``status``, ``reason``, ``chars``: documents of ``done`` are skipped unless ``force``; short texts fail."""
+    own = docs.join(done.select(key, F.lit(True).alias("_done")).distinct(), key, "left")
+    n = F.coalesce(F.length(text), F.lit(0))
+    status = F.when(F.col("_done") & F.lit(not force), "skipped").when(n < least, "failed").otherwise("success")
+    reason = F.when(status == "skipped", "already_indexed").when(status == "failed", "text_too_short")
+    return own.select(key, status.alias("status"), reason.alias("reason"), n.alias("chars"))
+
+
+def run_summary(run: DataFrame, key: str, chunks: str = "chunks", seconds: str = "seconds", price: float = 0.02, most: int = 5) -> DataFrame:
+    """One row of an index run: documents by status, chunks, characters, time, cost for a thousand chunks, and the first ``most`` errors."""
+    ok = F.col("status") == "success"
+    out = run.agg(
+        F.count("*").alias("processed"),
+        *[F.count_if(F.col("status") == s).alias(n) for s, n in (("success", "successful"), ("failed", "failed"), ("skipped", "skipped"))],
+        F.coalesce(F.sum(F.when(ok, F.col(chunks))), F.lit(0)).alias("chunks"),
+        F.coalesce(F.avg(F.when(ok, F.col(chunks))), F.lit(0.0)).alias("mean_chunks"),
+        F.coalesce(F.sum(F.when(ok, F.col("chars"))), F.lit(0)).alias("chars"),
+        F.coalesce(F.sum(seconds), F.lit(0.0)).alias("seconds"),
+        F.coalesce(F.avg(F.when(ok, F.col(seconds))), F.lit(0.0)).alias("mean_seconds"),
+    )
+    bad = run.filter("status = 'failed'").orderBy(key).limit(most).agg(F.array_sort(F.collect_list(F.struct(key, "reason"))).alias("e"))
+    named = F.array_join(F.transform("e", lambda x: F.concat(x[key].cast("string"), F.lit(": "), x["reason"])), "; ")
+    return out.join(F.broadcast(bad)).withColumn("embedding_cost", F.col("chunks") / 1000 * price).withColumn("errors", named).drop("e")
 
 
 def chunk_vectors(chunks: DataFrame, document: str, namespace: Column, most: int = 1000) -> DataFrame:
