@@ -1,15 +1,22 @@
 """Operators on hand-made rows, with values worked out by hand."""
 
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators import features as F_
 from textloom.operators import matching as M
 from textloom.operators import models, scoring
 from textloom.operators import structure as S
 from textloom.operators import vectors as V
 from textloom.rules import fixed
 from textloom.sources import corpus as C
+from textloom.streaming import jobs
 
 NUMBERED = "Preamble\n1. Introduction\nWelcome.\n2. User Obligations\n2.1 Be kind.\n2.2 Be brief.\nand clear\n3. Payment Terms\n- pay\n- pay again"
 
@@ -172,3 +179,175 @@ def test_text_functions(spark):
     row = spark.createDataFrame([("a\r\n\n\n\n<b>x</b>", " null ", "1998-02-31", "Simple cat. Go!")], "t string, n string, d string, s string")
     got = row.select(X.normalize_newlines("t").alias("a"), X.blank_to_null("n").alias("b"), X.iso_date("d").alias("c"), X.sentence_count("s").alias("e"), X.file_name(F.lit("/x/..a b.pdf")).alias("f")).first()
     assert (got["a"], got["b"], got["c"], got["e"], got["f"]) == ("a\n\n<b>x</b>", None, None, 2, "a_b.pdf")
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8))
+    x[100:140] = x[0]  # ties go by id
+    x[5] = 0
+    rows = spark.createDataFrame([(k, v.tolist(), k % 3) for k, v in enumerate(x)], "vec_id long, embedding array<double>, g int").repartition(5)
+    queries = rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    length = np.linalg.norm(x, axis=1)
+    score = np.round(np.divide(x @ x.T, np.outer(length, length), out=np.zeros((300, 300)), where=np.outer(length, length) > 0), 9)
+    for equal, block in ((("g",), 4), ((), 2000)):
+        got = {(r["query_id"], r["place"]): r["vec_id"] for r in V.top_k(queries, rows, 7, equal=equal, block=block).collect()}
+        for q in range(0, 300, 20):
+            own = [k for k in range(300) if not equal or k % 3 == q % 3]
+            best = sorted(own, key=lambda k: (-score[k, q], k))[:7]
+            assert [got[q, place] for place in range(1, 8)] == best
+    assert V.top_k(queries.limit(0), rows, 3).count() == 0
+
+
+def test_citations(spark):
+    near = spark.createDataFrame([(1, 10, 0.9, 1, "a" * 400), (1, 11, float("nan"), 2, "b"), (1, 12, 0.2, 3, "c"), (2, 13, 0.1, 1, "d"), (2, 14, 0.2, 2, None)], "query_id long, vec_id long, score double, place int, text string")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    got = {r["query_id"]: r for r in V.citations(near, asked).collect()}
+    assert (got[1]["citations"], got[1]["confidence"], got[1]["cited"]) == (2, 0.9, "10,11") and got[1]["cited_text"] == "[1] " + "a" * 300 + "\n[2] b"
+    assert (got[2]["citations"], round(got[2]["confidence"], 6)) == (0, 0.15) and (got[3]["citations"], got[3]["confidence"]) == (0, 0.5)
+
+
+def test_greedy_groups_against_one_pass(spark):
+    rng = random.Random(3)
+    pairs = {(a, b) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.05} | {(k, k + 1) for k in range(60, 90)}
+    seeds, group = [], {}
+    for k in range(100):
+        if k not in group:
+            seeds.append(k)
+            group[k] = k
+            for j in range(k + 1, 100):
+                if j not in group and (k, j) in pairs:
+                    group[j] = k
+    rows = spark.range(100).withColumnRenamed("id", "vec_id")
+    frame = spark.createDataFrame([p if rng.random() < 0.5 else p[::-1] for p in pairs], "a long, b long")
+    got = {r["vec_id"]: (r["group_id"], r["group_size"]) for r in V.greedy_groups(rows, frame).collect()}
+    size = Counter(group.values())
+    assert got == {k: (g, size[g]) for k, g in group.items()}
+
+
+def test_clusters_consolidate(spark):
+    rows = spark.createDataFrame([(1, "s2", 0.5, "low", "x", "one"), (2, "s1", 0.9, "medium", "y", "two"), (3, "s3", 0.9, "high", "x", "three"), (4, "s9", 0.1, "low", "z", "four")], "vec_id long, section string, confidence double, severity string, category string, text string")
+    grouped = spark.createDataFrame([(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1)], "vec_id long, group_id long, group_size long")
+    one = {r["vec_id"]: r for r in V.consolidated(grouped.join(rows, "vec_id")).collect()}
+    assert (one[2]["duplicate_count"], one[2]["original_ids"], one[2]["sections"]) == (3, "1,2,3", "s1,s2,s3") and not one[4]["is_consolidated"]
+    found = V.cluster_report(V.density_clusters(grouped).join(rows, "vec_id")).collect()
+    assert len(found) == 1
+    r = found[0]
+    assert (r["representative"], r["cluster_size"], r["overall_severity"], r["risk_categories"]) == (2, 3, "high", "x,y")
+    assert r["consolidated_text"] == "two [+2 similar clause(s) in sections: s2, s3]"
+    stats = V.cluster_statistics(grouped).first()
+    assert (stats["clusters"], stats["noise"], stats["min_size"], stats["reduction"]) == (1, 1, 3, 0.5)
+
+
+def test_forest_scores_against_plain_trees(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((400, 3)), [[9.0, 9.0, 9.0]]])
+    rows = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "doc_id long, a double, b double, c double")
+    forest = models.isolation_forest(rows, ["a", "b", "c"], "doc_id", trees=20)
+    nodes = {(r["tree"], r["node"]): r for r in forest.collect()}
+    average = lambda n: 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def score(v):
+        total = 0.0
+        for t in range(20):
+            at, depth = 0, 0
+            while nodes[t, at]["feature"] >= 0:
+                n = nodes[t, at]
+                at, depth = n["left"] if v[n["feature"]] <= n["threshold"] else n["right"], depth + 1
+            total += depth + average(nodes[t, at]["size"])
+        return -(2 ** (-total / 20 / average(nodes[0, 0]["size"])))
+
+    got = {r["doc_id"]: r for r in models.outlier_scores(rows, forest, ["a", "b", "c"], "doc_id").collect()}
+    assert all(abs(got[k]["score"] - score(v)) < 1e-9 for k, v in enumerate(x))
+    assert got[400]["is_outlier"] and 25 <= sum(r["is_outlier"] for r in got.values()) <= 41
+    assert all(nodes[t, 0]["size"] == 256 for t in range(20))
+
+
+def test_nine_features(spark):
+    text = "You must not pay. We may terminate at any time, without notice; if we change the price!"
+    got = F_.clause_features(spark.createDataFrame([(1, None, text, 7), (2, "", "short", 7), (3, text, None, 7)], "id long, text string, clause_text string, words int"), ("text", "clause_text")).orderBy("id").collect()
+    a, b, c = got
+    assert a["clause_length"] == len(text) and a["sentence_count"] == 2 and a["avg_sentence_length"] == len(text) / 2
+    # must, may; not; if; terminate, at any time, without notice, change the price; terminate
+    assert (a["modal_verb_count"], a["negation_count"], a["conditional_count"], a["risk_keyword_count"]) == (2, 1, 1, 4)
+    assert a["legal_jargon_density"] == pytest.approx(100 / 17) and a["words"] == 7
+    assert b["clause_length"] is None and [c[f] for f in F_.FEATURES] == [a[f] for f in F_.FEATURES]
+
+
+def test_calibration_of_many_knots_and_words(spark):
+    knots = spark.createDataFrame([(k / 5000, (k / 5000) ** 2) for k in range(5001)], "x double, y double")
+    rows = spark.createDataFrame([(0.5,), (0.93,), (0.8,), (1.7,), (None,)], "confidence double")
+    got = {r["confidence"]: r for r in models.calibrate(rows, knots).collect()}
+    assert got[0.5]["calibrated_confidence"] == pytest.approx(0.25) and got[1.7]["calibrated_confidence"] == 1 and got[None]["calibrated_confidence"] is None
+    assert (got[0.93]["confidence_tier"], got[0.93]["tier_label"]) == ("HIGH", "High Confidence")
+    assert got[0.8]["explanation"] == "This appears concerning (64% confidence), but review the specifics for your situation."
+    plain = models.calibrate(rows, None).filter("confidence = 0.5").first()
+    assert plain["calibrated_confidence"] == 0.5 and not plain["is_calibrated"]
+
+
+def test_isotonic_against_all_means():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rng.integers(1, 25))
+        x, y = np.round(rng.random(n), 1), rng.integers(0, 2, n).astype(float)
+        at, got = models.isotonic(x, y)
+        mean = lambda a, b: y[(x >= at[a]) & (x <= at[b])].mean()
+        expected = [max(min(mean(j, k) for k in range(i, len(at))) for j in range(i + 1)) for i in range(len(at))]
+        assert np.allclose(got, expected)
+
+
+def test_refits_and_training_files(spark, tmp_path):
+    rows = [(1, k, "helpful" if k % 2 else "dismissed", 0.9 if k % 2 else 0.2, bool(k % 2)) for k in range(25)] + [(2, k, "helpful", 0.5, True) for k in range(12)]
+    feedback = spark.createDataFrame(rows, "model long, n long, user_action string, confidence double, was_correct boolean")
+    got = {(r["model"], r["generation"]): r for r in models.refits(feedback, ["n"], "model", 10).collect()}
+    assert {k: r["action"] for k, r in got.items()} == {(1, 0): "refit_with_warning", (1, 1): "refit_with_warning", (1, 2): "waiting", (2, 0): "one_class", (2, 1): "waiting"}
+    assert got[1, 0]["brier_after"] == 0 < got[1, 0]["brier_before"] and got[1, 2]["brier_after"] is None
+    assert models.refits(feedback, ["n"], "model", 10, force=True).filter("model = 1 AND generation = 2").first()["action"].startswith("refit")
+    path = str(tmp_path / "feedback")
+    models.export_feedback(feedback.withColumn("feedback_date", F.lit("2024-01-02 03:04:05").cast("timestamp")), path)
+    assert models.import_feedback(spark, path).filter("feedback_date = timestamp'2024-01-02 03:04:05'").count() == 37
+    knots, report = models.train_calibrator(spark, path)
+    assert knots is None and not report.first()["fitted"] and report.first()["samples"] == 37
+    knots, report = models.train_calibrator(spark, path, least=30)
+    assert report.first()["fitted"] and knots.count() >= 2
+
+
+def test_sampling_policy(spark):
+    rows = spark.range(6000).select("id", ((F.col("id") % 3) * 0.15 + 0.5).alias("c"))
+    share = {round(r["c"], 2): r["s"] for r in rows.groupBy("c").agg(F.avg(models.should_collect(F.col("c"), F.col("id")).cast("int")).alias("s")).collect()}
+    assert share[0.5] == 1 and 0.45 < share[0.65] < 0.55 and 0.07 < share[0.8] < 0.13
+
+
+def test_last_write_wins(spark):
+    old = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "k string, v int, at int")
+    new = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "k string, v int, at int")
+    assert {(r["k"], r["v"]) for r in C.upsert(old, new, "k", "at").collect()} == {("a", 1), ("b", 4), ("c", 5)}
+    assert C.upsert(old, new, "k").count() == 3
+
+
+def test_first_seen_again_after_its_time(spark, tmp_path):
+    at = lambda d: f"2024-01-{d:02d} 00:00:00"
+    # state goes at the end of a batch, by the watermark before it
+    for part in [[("x", 1), ("x", 2)], [("y", 21)], [("z", 22)], [("x", 23), ("y", 24)]]:
+        frame = spark.createDataFrame([(c, at(d)) for c, d in part], "content string, ts string").select("content", F.col("ts").cast("timestamp").alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("content string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = Counter(r["content"] for r in jobs.to_table(jobs.first_seen(stream, "ts", "content", "7 days"), "append", "seen").collect())
+    assert got == {"x": 2, "y": 1, "z": 1}
+
+
+def test_groups_raise_when_unfinished(spark):
+    rows = spark.range(40).withColumnRenamed("id", "vec_id")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(39)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        V.groups(rows, pairs, rounds=1)
+    assert V.groups(rows, pairs).filter("group_id = 0 AND group_size = 40").count() == 40
+
+
+def test_folders_need_a_shared_place_on_a_cluster():
+    from types import SimpleNamespace
+
+    from textloom.session import own_folder
+
+    with pytest.raises(ValueError):
+        own_folder(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://h:7077")))

@@ -152,7 +152,7 @@ def calibrate(rows: DataFrame, knots: DataFrame | None, confidence: str = "confi
         def between(values: pd.Series) -> pd.Series:
             return pd.Series(np.interp(values.to_numpy(float), *sent.value)).where(values.notna())
 
-        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), between(value)))
+        value = F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), between(value))))  # greatest() passes over nulls
     out = rows.withColumn("calibrated_confidence", value)
     own = F.col("calibrated_confidence")
     label = F.coalesce(*[F.when(tier(own) == name, text) for name, text in fixed.TIER_LABELS.items()])

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textloom.operators.models import calibration_knots, feedback_statistics, labelled_feedback
+from textloom.operators.models import labelled_feedback, refits
 from textloom.session import shared_dir
 
 
@@ -31,7 +29,7 @@ def run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], na
 
 
 def to_table(stream: DataFrame, mode: str, name: str = "stream") -> DataFrame:
-    """Run a stream into Parquet: appended, or the last complete result."""
+    """Run a stream into Parquet: appended, or the last complete result. In append mode a window is written once, when the watermark has passed it."""
     folder = shared_dir(stream.sparkSession, name)
     schema = stream.schema
 
@@ -58,41 +56,48 @@ def first_seen(rows: DataFrame, ts: str, content: str, ttl: str = "7 days") -> D
 
 
 def running_feedback(feedback: DataFrame, key: str) -> DataFrame:
-    """Running counts by key: buffer size, dismissal rate, accuracy; one row for each key and batch."""
+    """Running counts by key for update mode: buffer size, dismissal rate, accuracy; a row for each key that a batch has changed."""
+    n = F.count("*")
+    rates = F.count_if(F.col("user_action") == "dismissed") / n, F.count_if(F.coalesce("was_correct", F.lit(False))) / n
+    return feedback.groupBy(key).agg(n.alias("size"), rates[0].alias("dismissal_rate"), rates[1].alias("accuracy"))
 
-    def count(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, dismissed, correct = state.get if state.exists else (0, 0, 0)
-        for p in parts:
-            n, dismissed, correct = n + len(p), dismissed + int((p["user_action"] == "dismissed").sum()), correct + int(p["was_correct"].fillna(False).sum())
-        state.update((n, dismissed, correct))
-        yield pd.DataFrame({key: [k[0]], "size": [n], "dismissal_rate": [dismissed / max(n, 1)], "accuracy": [correct / max(n, 1)]})
 
-    return feedback.groupBy(key).applyInPandasWithState(count, f"{key} long, size long, dismissal_rate double, accuracy double", "n long, dismissed long, correct long", "update", GroupStateTimeout.NoTimeout)
+def recalibrate(feedback: DataFrame, folder: str, needed: int = 100, order: tuple[str, ...] = ("feedback_date", "feedback_id")) -> None:
+    """Collect feedback (``user_action``, ``confidence``, ``order`` columns) and refit after every ``needed`` valid rows.
 
-
-def recalibrate(feedback: DataFrame, folder: str, needed: int = 100) -> None:
-    """Collect feedback (``user_action``, ``confidence``) and write a new calibration whenever ``needed`` valid rows have come.
-
-    Batches are kept below ``folder/buffer`` and the knots of each generation below ``folder/models``.
+    A batch joins the rows that the last ones have left (fewer than ``needed``) with its own;
+    every full generation of them is fitted (``models.refits``), and the rest is left for the
+    next batch: the buffer is cleared with each generation, and no batch is read twice.
+    Results are below ``folder/models``, the rest of each batch below ``folder/buffer``.
     """
 
     def each(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        labelled_feedback(rows).filter("is_valid").write.mode("overwrite").parquet(f"{folder}/buffer/batch={batch}")
-        held = spark.read.parquet(f"{folder}/buffer")
-        stats = feedback_statistics(held, needed).first()
-        if stats["size"] >= needed and 0 < stats["accuracy"] < 1:
-            knots = calibration_knots(held.select("confidence", F.col("was_correct").cast("double").alias("actual")), "confidence", "actual")
-            knots.withColumn("samples", F.lit(stats["size"])).write.mode("overwrite").parquet(f"{folder}/models/generation={batch}")
+        own = labelled_feedback(rows).filter("is_valid").select("user_action", "confidence", "was_correct", *order)
+        if batch:
+            own = own.unionByName(spark.read.schema(own.schema).parquet(f"{folder}/buffer/batch={batch - 1}"))
+        held = own.withColumn("all", F.lit(0))
+        full = held.count() // needed * needed
+        listed = held.orderBy(*order)
+        done = listed.limit(full)
+        refits(done, list(order), "all", needed).drop("all").withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/models/part={batch}")
+        listed.offset(full).drop("all").write.mode("overwrite").parquet(f"{folder}/buffer/batch={batch}")
 
     run(feedback, "append", each, "recalibrate")
 
 
-def analyse_arrivals(documents: DataFrame, analyse: Callable[[DataFrame], DataFrame], folder: str) -> None:
-    """Analyse documents as they come; each batch's results and its documents' status are written."""
+def analyse_arrivals(documents: DataFrame, analyse: Callable[[DataFrame], DataFrame], folder: str, key: str = "doc_id", text: str = "text", least: int = 1) -> None:
+    """Analyse documents as they come; results, and each document's way from ``processing`` to ``completed`` or ``failed``, are written.
+
+    A document whose text is null or shorter than ``least`` fails with a reason and is not analysed.
+    """
 
     def each(rows: DataFrame, batch: int) -> None:
-        analyse(rows).write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
-        rows.select("doc_id", F.lit("completed").alias("status")).write.mode("overwrite").parquet(f"{folder}/status/batch={batch}")
+        good = F.coalesce(F.length(text), F.lit(0)) >= least
+        now = lambda status, reason: rows.select(key, status.alias("status"), reason.alias("reason"))
+        none = F.lit(None).cast("string")
+        now(F.lit("processing"), none).write.mode("overwrite").parquet(f"{folder}/status/batch={batch}/step=1")
+        analyse(rows.filter(good)).write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
+        now(F.when(good, "completed").otherwise("failed"), F.when(~good, "no_text")).write.mode("overwrite").parquet(f"{folder}/status/batch={batch}/step=2")
 
     run(documents, "append", each, "arrivals")
