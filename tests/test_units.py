@@ -225,6 +225,14 @@ def test_greedy_groups_against_one_pass(spark):
     assert got == {k: (g, size[g]) for k, g in group.items()}
 
 
+def test_copies_share_a_greedy_group(spark):
+    turn = lambda a: [math.cos(a), math.sin(a)]
+    angles = {1: 0.0, 2: 0.3, 3: 0.6, 4: 0.3, 5: 0.6, 6: 2.0}  # neighbours are within 0.95, the ends are not
+    rows = spark.createDataFrame([(k, turn(a)) for k, a in angles.items()] + [(7, [0.0, 0.0]), (8, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["group_id"] for r in V.greedy_similar(rows).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 3: 3, 5: 3, 6: 6, 7: 7, 8: 8}
+
+
 def test_clusters_consolidate(spark):
     rows = spark.createDataFrame([(1, "s2", 0.5, "low", "x", "one"), (2, "s1", 0.9, "medium", "y", "two"), (3, "s3", 0.9, "high", "x", "three"), (4, "s9", 0.1, "low", "z", "four")], "vec_id long, section string, confidence double, severity string, category string, text string")
     grouped = spark.createDataFrame([(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1)], "vec_id long, group_id long, group_size long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -120,14 +121,43 @@ def word_pattern(words: Iterable[str]) -> list[str]:
     return [f"\\b{w}\\b" for w in words]
 
 
-def count_patterns(text: Column | str, patterns: Iterable[str]) -> Column:
+def word_tokens(text: Column | str) -> Column:
+    """The lower-cased text's runs of letters, digits and ``_``."""
+    return F.split(F.lower(_c(text)), "[^\\p{L}\\p{N}_]+")
+
+
+def _literal_parts(pattern: str) -> list[str]:
+    """Texts that must occur where a pattern of plain words, ``\\.`` and ``.*`` matches; none for any other."""
+    parts = pattern.removeprefix("\\b").removesuffix("\\b").split(".*")
+    plain = all(re.fullmatch(r"(?:[a-z0-9 '\-]|\\\.)*", p) for p in parts)
+    return [p.replace("\\.", ".") for p in parts if p] if plain else []
+
+
+def count_patterns(text: Column | str, patterns: Iterable[str], tokens: Column | str | None = None) -> Column:
     """Matches of all patterns in the lower-cased text; overlapping patterns count each.
 
-    The sum stands in a lambda: as compiled code that of a long list would be too large.
+    Single words in word boundaries are counted among the text's ``tokens`` (``word_tokens``,
+    when those are at hand), all in one pass; other patterns are only tried where their
+    words occur. The sum stands in a lambda: as compiled code that of a long list would be too large.
     """
     listed = list(patterns)
-    counts = F.transform(F.array(F.lower(_c(text))), lambda t: sum((F.regexp_count(t, F.lit(p)) for p in listed), F.lit(0)))
-    return F.get(counts, F.lit(0)).cast("long")
+    single = [m[1] for p in listed if (m := re.fullmatch(r"\\b([a-z]+)\\b", p))]
+    rest = [p for p in listed if not re.fullmatch(r"\\b([a-z]+)\\b", p)]
+    own = word_tokens(text) if tokens is None else _c(tokens)
+    total = F.size(F.filter(own, lambda w: w.isin(*single))).cast("long") if single else F.lit(0).cast("long")
+    for word in {w for w in single if single.count(w) > 1}:  # a word that is listed again counts again
+        total = total + F.size(F.filter(own, lambda w, word=word: w == word)).cast("long") * (single.count(word) - 1)
+    if not rest:
+        return total
+
+    def count(t: Column, pattern: str) -> Column:
+        n = F.regexp_count(t, F.lit(pattern))
+        for part in _literal_parts(pattern):
+            n = F.when(F.contains(t, F.lit(part)), n).otherwise(0)
+        return n
+
+    counts = F.transform(F.array(F.lower(_c(text))), lambda t: sum((count(t, p) for p in rest), F.lit(0)))
+    return total + F.get(counts, F.lit(0)).cast("long")
 
 
 def words(text: Column | str) -> Column:

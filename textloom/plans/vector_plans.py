@@ -121,7 +121,7 @@ def e12_documents(s, d):
 def e12_greedy(s, d):
     """Documents in groups as one pass in order of their ids makes them."""
     _, v = _texts(s, d)
-    return V.greedy_groups(v, V.similar_pairs(v, 0.95, recall=0.999999))
+    return V.greedy_similar(v, 0.95)
 
 
 def e13_consolidated(s, d):
@@ -174,7 +174,7 @@ tm AS (SELECT vec_id, type, template, severity, greatest(0, least(1, s)) AS simi
 _PAIRS = """
 nodes AS (SELECT vec_id AS n FROM embeddings),
 pr AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.55)"""
+  WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) >= 0.55)"""
 _HASHED = r"""
 dw AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM documents),
 dh AS (SELECT doc_id, CAST('0x' || md5(w)[1:8] AS BIGINT) AS h FROM dw),
@@ -183,7 +183,7 @@ dn AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM ds GROUP BY doc_id)"""
 _DOC_PAIRS = f"""{_HASHED},
 nodes AS (SELECT doc_id AS n FROM documents),
 pr AS (SELECT x.doc_id AS a, y.doc_id AS b FROM ds x JOIN ds y ON x.k = y.k AND x.doc_id < y.doc_id JOIN dn nx ON nx.doc_id = x.doc_id JOIN dn ny ON ny.doc_id = y.doc_id
-  WHERE nx.n > 0 AND ny.n > 0 GROUP BY x.doc_id, y.doc_id HAVING sum(x.v * y.v) / (any_value(nx.n) * any_value(ny.n)) >= 0.95)"""
+  WHERE nx.n > 0 AND ny.n > 0 GROUP BY x.doc_id, y.doc_id HAVING round(sum(x.v * y.v) / (any_value(nx.n) * any_value(ny.n)), 9) >= 0.95)"""
 _GROUPS = """
 e2 AS (SELECT a AS x, b AS y FROM pr UNION ALL SELECT b, a FROM pr),
 r(n, g) AS (SELECT n, n FROM nodes UNION SELECT e2.y, r.g FROM r JOIN e2 ON e2.x = r.n AND r.g < e2.y),
