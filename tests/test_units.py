@@ -229,7 +229,7 @@ def test_copies_share_a_greedy_group(spark):
     turn = lambda a: [math.cos(a), math.sin(a)]
     angles = {1: 0.0, 2: 0.3, 3: 0.6, 4: 0.3, 5: 0.6, 6: 2.0}  # neighbours are within 0.95, the ends are not
     rows = spark.createDataFrame([(k, turn(a)) for k, a in angles.items()] + [(7, [0.0, 0.0]), (8, [0.0, 0.0])], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r["group_id"] for r in V.greedy_similar(rows).collect()}
+    got = {r["vec_id"]: r["group_id"] for r in V.greedy_similar(rows, size=2).collect()}
     assert got == {1: 1, 2: 1, 4: 1, 3: 3, 5: 3, 6: 6, 7: 7, 8: 8}
 
 
