@@ -24,7 +24,9 @@ def rule_table(rules: DataFrame) -> DataFrame:
 def near_words(span: int = 20) -> Column:
     """All keyword words occur and the tokens equal to any of them lie within ``span``."""
     places = F.filter(F.transform("_tokens", lambda t, i: F.when(F.array_contains("_kw", t), i)), lambda i: i.isNotNull())
-    return F.forall("_kw", lambda w: F.contains("_clean", w)) & (F.array_max(places) - F.array_min(places) < span)
+    # through an array of one, so that the places are found once
+    width = F.get(F.transform(F.array(places), lambda p: F.array_max(p) - F.array_min(p)), F.lit(0))
+    return F.forall("_kw", lambda w: F.contains("_clean", w)) & (width < span)
 
 
 def indicators(texts: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", span: int = 20, service: str = "general") -> DataFrame:
