@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from textloom.llm import decontaminate, language_id, near_dedup, packing, quality, repetition, sharding, token_stream, toxicity, url_filter, warc
+from textloom.llm import decontaminate, language_id, near_dedup, packing, quality, repetition, sharding, spelling, token_stream, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,10 @@ def queries() -> dict[str, Query]:
         "op9_near_dedup": near_dedup.query,
         "op10_warc": warc.query,
         "op11_sharding": sharding.query,
+        "op13_spelling": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_repetition": repetition.SQL, "op10_warc": warc.SQL, "op11_sharding": sharding.SQL}
+    return {"op8_repetition": repetition.SQL, "op10_warc": warc.SQL, "op11_sharding": sharding.SQL, "op13_spelling": spelling.SQL}
