@@ -76,7 +76,7 @@ class _Words:
     """Words of a tile as one array of code points, the word ``k`` from ``at[k]`` on, and their letter counts."""
 
     def __init__(self, words: list[str], letters: np.ndarray):
-        self.flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        self.flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         self.size = np.array([len(w) for w in words], np.int64)
         self.at = np.cumsum(self.size) - self.size
         owner = np.repeat(np.arange(len(words)), self.size)
@@ -84,6 +84,17 @@ class _Words:
         counts = np.bincount(cells, minlength=len(words) * len(letters)).reshape(len(words), len(letters))
         exact = np.float32 if (counts**2).sum(1).max(initial=0) < 1 << 22 else np.float64  # whole numbers stay exact
         self.counts = counts.astype(exact)
+        reach = np.arange(3)
+        self.head = self._three(self.at[:, None] + reach, reach < self.size[:, None])
+        self.tail = self._three((self.at + self.size)[:, None] - 1 - reach, reach < self.size[:, None])
+
+    def _three(self, at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        three = np.where(inside, self.flat[np.where(inside, at, 0)], 0).astype(np.int64)
+        return three[:, 0] << 42 | three[:, 1] << 21 | three[:, 2]
+
+    def may(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """False only for words that no edit joins: in six letters or more it leaves three at one end alone."""
+        return (self.head[p] == self.head[q]) | (self.tail[p] == self.tail[q]) | (self.size[p] < 6)
 
     def padded(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Code points of some words, zeros behind them."""
@@ -114,19 +125,25 @@ def _pairs(words: _Words, part: np.ndarray, across: bool, sets: np.ndarray, choi
 
     A pair counts where ``choice`` is the first one that holds all sets of the letters it differs in, so it comes once.
     """
-    square = (words.counts**2).sum(1)
     size = words.size
+    free = sets[:, list(choice)].any(1)  # all words of a block agree in the other letters
+    counts = words.counts[:, free]
+    square, one = (counts**2).sum(1), np.ones(len(size), counts.dtype)
+    left, right = np.column_stack([-2 * counts, square, one]), np.column_stack([counts, one, square]).T.copy()
     for top in range(0, len(size), ROWS):
         end = min(top + ROWS, len(size))
         stop = int(np.searchsorted(size, size[end - 1] + 1, "right"))  # up to the words one letter longer
-        gram = words.counts[top:end] @ words.counts[top:stop].T
-        close = square[top:end, None] + square[None, top:stop] - 2 * gram <= 2
-        a, b = np.nonzero(close)
+        distance = left[top:end] @ right[:, top:stop]
+        a, b = np.divmod(np.flatnonzero(distance <= 2), stop - top)
         a, b = a + top, b + top
         ok = (b > a) & (size[b] - size[a] <= 1)
         if across:
             ok &= part[a] != part[b]
         a, b = a[ok], b[ok]
+        ok = words.may(a, b)
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
         ok = words.near(a, b)
         a, b = a[ok], b[ok]
         touched = ((words.counts[a] != words.counts[b]).astype(np.int64) @ sets) > 0
