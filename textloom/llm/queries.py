@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from textloom.llm import decontaminate, language_id, near_dedup, packing, quality, repetition, sharding, spelling, token_stream, toxicity, url_filter, warc
+from textloom.llm import align, decontaminate, language_id, near_dedup, packing, quality, repetition, sharding, spelling, token_stream, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_near_dedup": near_dedup.query,
         "op10_warc": warc.query,
         "op11_sharding": sharding.query,
+        "op12_alignment": align.query,
         "op13_spelling": spelling.query,
         "pipeline": corpus_pipeline.run,
     }

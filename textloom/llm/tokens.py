@@ -43,16 +43,18 @@ def load(spark: SparkSession, path: str) -> Broadcast:
 class Encoder:
     """``boundary``: "space" if pieces begin at single spaces and keep them (byte-level BPE),
     "word" if white space is dropped, "text" if texts can't be split. ``lower``: the tokenizer ignores A-Z's case.
+    ``plain``: strings of special tokens in a text are ordinary text; else they are these tokens, as the library has it.
+    ``lead``: a space goes before every text (boundary "space" only).
 
     Pieces that begin a text stand in ``rows`` with ``HEAD`` before them, others by themselves.
     """
 
-    def __init__(self, source: str, boundary: str, lower: bool = False, cache: int = CACHE):
+    def __init__(self, source: str, boundary: str, lower: bool = False, cache: int = CACHE, plain: bool = False, lead: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
-        self.boundary, self.lower, self.cache = boundary, lower, cache
+        self.tokenizer.encode_special_tokens = plain
+        self.boundary, self.lower, self.cache, self.lead = boundary, lower, cache, lead
         #: between words that are encoded together; a single token that letters never give
         self.mark = "\n" if boundary == "space" else " | "
         own = self._ids([self.mark])[0]
@@ -118,7 +120,7 @@ class Encoder:
         out = []
         for k, line in enumerate((piece[1:] if head else piece).split("\n")):
             core, tail = (line[:-1], line[-1]) if line[-1:] in TAILS[:2] else (line, "")
-            if not core.isalpha():
+            if not core.isalpha() or self.boundary == "word" and not core.isascii():  # normalised, others may end in a mark
                 return None
             out += [HEAD + "\n"] * (k > 0) + [core if k == 0 and not head else HEAD + core] + [HEAD + tail] * bool(tail)
         return out
@@ -162,26 +164,31 @@ class Encoder:
         self.used[rows] += 1
         return rows
 
-    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (unsigned 32-bit), ``end`` behind each text's, and where each text's begin (one entry more)."""
+    def _whole(self, text: str) -> str:
+        return " " + text if self.lead else text
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit), ``end`` (unless it is None) behind each text's, and where each text's begin (one entry more)."""
         whole: list[str] = []
         if self.boundary == "word":
             words, starts = split_words(texts)
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             pieces = coded.dictionary
-            pieces = strings(pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces) if self.lower else pieces)
+            plain = pc.and_(pc.string_is_ascii(pieces), pc.invert(pc.match_substring(pieces, "<|")))  # special tokens have a case
+            pieces = strings(pc.if_else(plain, pc.ascii_lower(pieces), pieces) if self.lower else pieces)
             pieces = [HEAD + p if p[0] == HEAD else p for p in pieces]
         else:
             codes, pieces, whole, starts = self._by_space(texts)
         rows = self._add(pieces)
-        extra = [*self._ids(whole), np.array([end], np.uint32)]
+        extra = [*self._ids([self._whole(t) for t in whole]), *([] if end is None else [np.array([end], np.uint32)])]
         flat = np.concatenate([self.flat, *extra])
         sizes = np.array([len(x) for x in extra], np.int64)
         at = np.concatenate([self.at[rows], len(self.flat) + np.cumsum(sizes) - sizes])
         size = np.concatenate([self.size[rows], sizes])
-        codes = np.insert(codes, starts[1:], len(size) - 1)
-        starts = starts + np.arange(len(starts))
+        if end is not None:
+            codes = np.insert(codes, starts[1:], len(size) - 1)
+            starts = starts + np.arange(len(starts))
         n = size[codes]
         to = np.concatenate([[0], np.cumsum(n)])
         ids = np.empty(int(to[-1]), np.uint32)
@@ -205,9 +212,10 @@ class Encoder:
         slow[owner[odd[codes]]] = True
         first = np.zeros(len(codes), bool)
         first[starts[:-1]] = True
-        heads, head_codes = np.unique(codes[first & ~slow[owner]], return_inverse=True)
+        begins = first & ~slow[owner] & (not self.lead)
+        heads, head_codes = np.unique(codes[begins], return_inverse=True)
         size = len(pieces)
-        codes[first & ~slow[owner]] = size + head_codes
+        codes[begins] = size + head_codes
         at = size + len(heads)
         codes[first & slow[owner]] = at + np.arange(slow.sum())
         keep = first | ~slow[owner]
@@ -217,6 +225,30 @@ class Encoder:
         return codes[keep], named, whole, starts
 
 
+class PieceEncoder(Encoder):
+    """Ids of a sentencepiece model that puts a space before a text and whose pieces hold spaces only at their start."""
+
+    def __init__(self, model: bytes, cache: int = CACHE):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.boundary, self.lower, self.cache, self.lead = "space", False, cache, True
+        self.mark, self.mark_id = "", None
+        self._reset()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
+
+    def _text(self, piece: str) -> str:
+        return piece
+
+    def _whole(self, text: str) -> str:
+        return text
+
+    def _parts(self, piece: str) -> list[str] | None:
+        return None
+
+
 def encoder(source: Broadcast, boundary: str, lower: bool = False, cache: int = CACHE) -> Encoder:
     """This worker's encoder for a broadcast tokenizer."""
     digest, text = source.value
