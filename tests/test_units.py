@@ -95,19 +95,56 @@ def test_similarity_and_groups(spark):
 
 
 def test_similar_pairs_recall(spark):
-    from conftest import SF
-
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
-    pairs = {(r["a"], r["b"]) for r in V.similar_pairs(rows, 0.6, bits=6, tables=32).collect()}
     import numpy as np
 
-    own = rows.toPandas()
-    x = np.stack(own["embedding"].to_numpy()).astype(float)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((400, 64))
+    x = np.concatenate([base, base + 0.25 * rng.standard_normal((400, 64))])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs = {(r["a"], r["b"]) for r in V.similar_pairs(rows, 0.95, recall=0.99).collect()}
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(x @ x.T >= 0.6, 1))
-    true = {(int(own["vec_id"][i]), int(own["vec_id"][j])) for i, j in zip(a, b)}
-    assert pairs <= true or all(p in true for p in pairs)
-    assert not true or len(pairs & true) / len(true) >= 0.9
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))}
+    assert len(true) > 300 and pairs <= true and len(pairs) / len(true) >= 0.98
+
+
+def _plain_core(x, threshold, least):
+    import numpy as np
+
+    size = np.linalg.norm(x, axis=1)
+    near = [[j for j in range(len(x)) if j != i and size[i] and size[j] and round(float(x[i] @ x[j] / size[i] / size[j]), 9) >= threshold] for i in range(len(x))]
+    core = [len(n) + 1 >= least for n in near]
+    cluster = {}
+    for i in range(len(x)):
+        if core[i] and i not in cluster:
+            reach = [i]
+            while reach:
+                k = reach.pop()
+                if k not in cluster:
+                    cluster[k] = i
+                    reach += [j for j in near[k] if core[j]]
+    for i, own in enumerate(near):
+        role = "core" if core[i] else "noise"
+        group = cluster.get(i, -1)
+        beside = [j for j in own if core[j]]
+        if not core[i] and beside:
+            role, group = "border", cluster[beside[0]]
+        yield i, len(own), role, group
+
+
+def test_core_clusters_against_plain(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((6, 8))
+    x = np.concatenate([np.repeat(centres, 12, 0) + 0.2 * rng.standard_normal((72, 8)), rng.standard_normal((30, 8)), centres[:2], centres[:2], np.zeros((2, 8))])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(200, None)], "vec_id long, embedding array<double>")
+    expected = list(_plain_core(x, 0.95, 4)) + [(200, 0, "noise", -1)]
+    sizes = Counter(e[3] for e in expected)
+    for block in (7, 1000):
+        found = V.core_clusters(rows, 0.95, 4, block=block).collect()
+        assert sorted(tuple(r) for r in found) == sorted((*e, sizes[e[3]] if e[3] >= 0 else 0) for e in expected)
+    assert {"core", "border", "noise"} <= {e[2] for e in expected}
+    assert not V.core_clusters(rows.limit(0)).collect()
 
 
 def test_groups_of_all_similar_pairs(spark, tmp_path):
@@ -344,12 +381,18 @@ def test_first_seen_again_after_its_time(spark, tmp_path):
     assert got == {"x": 2, "y": 1, "z": 1}
 
 
-def test_groups_raise_when_unfinished(spark):
-    rows = spark.range(40).withColumnRenamed("id", "vec_id")
-    pairs = spark.createDataFrame([(k, k + 1) for k in range(39)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        V.groups(rows, pairs, rounds=1)
-    assert V.groups(rows, pairs).filter("group_id = 0 AND group_size = 40").count() == 40
+def test_groups_of_large_ids_and_long_chains(spark):
+    big = 5 * 10**18
+    rows = spark.createDataFrame([(big + k,) for k in range(6)], "vec_id long")
+    pairs = spark.createDataFrame([(big + k + 1, big + k) for k in range(4)], "a long, b long")
+    assert {tuple(r) for r in V.groups(rows, pairs).collect()} == {(big + k, big, 5) for k in range(5)} | {(big + 5, big + 5, 1)}
+    rows = spark.range(600).withColumnRenamed("id", "vec_id")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(500)], "a long, b long")
+    assert V.groups(rows, chain).filter("group_id = 0 AND group_size = 501").count() == 501
+    got = {r["vec_id"]: r["group_id"] for r in V.greedy_groups(rows, chain).collect()}
+    assert got == {k: k - k % 2 if k <= 500 else k for k in range(600)}
+    few = spark.createDataFrame([(k, k + 1) for k in range(6)], "a long, b long")
+    assert {r["vec_id"]: r["group_id"] for r in V.greedy_groups(spark.range(7).withColumnRenamed("id", "vec_id"), few, most=2).collect()} == {k: k - k % 2 for k in range(7)}
 
 
 def test_folders_need_a_shared_place_on_a_cluster():

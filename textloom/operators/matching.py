@@ -39,9 +39,18 @@ def indicators(texts: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("doc
     prepared = texts.select(*keys, cleaned(text).alias("_clean")).withColumn("_tokens", F.filter(F.split("_clean", "[ \\t\\n\\r\\f\\x0B]+"), lambda x: x != ""))
     table = rule_table(rules.withColumn("_kw", F.split(F.lower("keyword"), " +")))
     fires = F.contains("_clean", F.lower("keyword")) | ((F.size("_kw") > 1) & F.coalesce(near_words(span), F.lit(False)))
-    hit = prepared.join(table, fires)
+    return indicator_rows(prepared.join(table, fires), keys, service)
+
+
+def indicator_rows(hit: DataFrame, keys: tuple[str, ...], service: str) -> DataFrame:
+    """A row for each text and indicator from one for each text and rule that fires."""
     applies = (F.col("severity") != "context") | F.col("relevant_for").isin(service, "general") | (F.lit(service) == "general")
-    return hit.groupBy(*keys, "indicator").agg(F.first("severity").alias("severity"), F.first("description").alias("description"), F.count_distinct("keyword").alias("keywords"), F.bool_or(F.coalesce(applies, F.lit(True))).alias("applies"))
+    return hit.groupBy(*keys, "indicator").agg(
+        F.first("severity").alias("severity"),
+        F.first("description").alias("description"),
+        F.count_distinct("keyword").alias("keywords"),
+        F.bool_or(F.coalesce(applies, F.lit(True))).alias("applies"),
+    )
 
 
 def severity_distribution(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -134,6 +134,12 @@ def e14_clusters(s, d):
     return V.density_clusters(e12_documents(s, d))
 
 
+def e14_core(s, d):
+    """Documents in density clusters by core points."""
+    _, v = _texts(s, d)
+    return V.core_clusters(v, 0.95, 3)
+
+
 def e15_report(s, d):
     own, _ = _texts(s, d)
     found = V.cluster_report(e14_clusters(s, d).join(own, "vec_id"))
@@ -246,6 +252,21 @@ SELECT group_id, first(vec_id ORDER BY confidence DESC, vec_id) AS representativ
 SELECT first(vec_id ORDER BY confidence DESC, vec_id) AS vec_id, max(confidence)::DOUBLE AS confidence, count(*) AS duplicate_count, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS original_ids, string_agg(DISTINCT section, ',' ORDER BY section) AS sections, count(*) > 1 AS is_consolidated FROM mb GROUP BY group_id""",
     ),
     "e14_density_clusters": (e14_clusters, f"WITH RECURSIVE {_DOC_PAIRS}, {_GROUPS} SELECT *, CASE WHEN group_size > 1 THEN group_id ELSE -1 END AS cluster_id FROM gr"),
+    "e14_core_clusters": (
+        e14_core,
+        f"""
+WITH RECURSIVE {_DOC_PAIRS},
+e2 AS (SELECT a AS x, b AS y FROM pr UNION ALL SELECT b, a FROM pr),
+dg AS (SELECT n, count(y) AS neighbours FROM nodes LEFT JOIN e2 ON x = n GROUP BY n),
+core AS (SELECT n FROM dg WHERE neighbours >= 2),
+ce AS (SELECT x, y FROM e2 WHERE x IN (SELECT n FROM core) AND y IN (SELECT n FROM core)),
+r(n, g) AS (SELECT n, n FROM core UNION SELECT ce.y, r.g FROM r JOIN ce ON ce.x = r.n AND r.g < ce.y),
+gm AS (SELECT n, min(g) AS g FROM r GROUP BY n),
+bd AS (SELECT x AS n, min_by(g, y) AS g FROM e2 JOIN gm ON gm.n = y WHERE x NOT IN (SELECT n FROM core) GROUP BY x),
+al AS (SELECT dg.n AS vec_id, neighbours, CASE WHEN gm.g IS NOT NULL THEN 'core' WHEN bd.g IS NOT NULL THEN 'border' ELSE 'noise' END AS role,
+  coalesce(gm.g, bd.g, -1) AS cluster_id FROM dg LEFT JOIN gm USING (n) LEFT JOIN bd USING (n))
+SELECT *, CASE WHEN cluster_id = -1 THEN 0 ELSE count(*) OVER (PARTITION BY cluster_id) END AS cluster_size FROM al""",
+    ),
     "e15_cluster_report": (
         e15_report,
         f"""WITH RECURSIVE {_DOC_PAIRS}, {_GROUPS}, {_MEMBERS},
