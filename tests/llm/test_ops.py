@@ -273,7 +273,6 @@ def ids_of(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -310,6 +309,37 @@ def test_sequences_hold_the_packed_ids(docs):
         assert len(set(own["segments"][r["offset"] : r["offset"] + r["length"]])) == 1
 
 
+def test_sequences_of_rows_that_share_an_id(spark):
+    texts = [(1, "one two three"), (1, "four five"), (1, "one two three"), (None, "six"), (None, None), (2, LONG), (2, LONG + " x")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = packing.sequences(frame, packing.pack(frame)).collect()
+    expected = Counter(x for own in ids_of("word_bpe_49k.json", [t for _, t in texts], 1) for x in own)
+    assert Counter(x for r in whole for x in r["input_ids"]) == expected and all(len(r["input_ids"]) <= 4096 for r in whole)
+
+
+def test_ids_of_any_letters_and_special_tokens():
+    from tokenizers import Tokenizer
+
+    from textloom.llm.tokens import Encoder
+
+    rng = random.Random(8)
+    scripts = [range(32, 127), range(0xC0, 0x250), range(0x370, 0x530), range(0x590, 0x700), range(0x900, 0xA00), range(0x3040, 0x30A0), range(0xAC00, 0xAC80), range(0x1F600, 0x1F620)]
+    odd = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\u09df.", "\u09dc,", "\u095e.", "ANKARA\u0130,", "\n", "\t", "\u00a0", "\u2028", "don't", "I'LL", "  ", "\0"]
+    texts = []
+    for _ in range(3000):
+        own = rng.choice(scripts)
+        texts.append("".join(rng.choice([chr(rng.choice(own)), chr(rng.choice(own)), " ", rng.choice(",.\n"), rng.choice(odd) if rng.random() < 0.2 else "a"]) for _ in range(rng.randrange(1, 50))))
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b c", *odd]
+    for name, boundary, lower in (("byte_bpe_50k.json", "space", False), ("word_bpe_49k.json", "word", True)):
+        with open(public_path(name), encoding="utf-8") as f:
+            own = Encoder(f.read(), boundary, lower)
+        library = Tokenizer.from_file(public_path(name))
+        for batch in (texts[:1500], texts[1500:], texts[:100]):
+            ids, starts = own.encode(pa.array(batch), 1)
+            for t, a, b in zip(batch, starts[:-1], starts[1:]):
+                assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids + [1], repr(t)
+
+
 def test_open_bins_close_the_fullest_first():
     bins = packing.OpenBins(10, 2)
     assert bins.put(6) == (0, 0) and bins.put(5) == (1, 0)
@@ -726,6 +756,31 @@ def test_warc_round_trip(spark):
     assert Counter(tuple(r) for r in got) == Counter(expected)
 
 
+def test_a_cut_archive_is_an_error():
+    import zlib as z
+
+    parts = [warc.record(k, f"http://a/{k}", ("text %d " % k * 40).encode(), None) for k in range(4)]
+    single = z.compressobj(6, z.DEFLATED, 31)
+    one = b"".join(single.compress(p) for p in parts) + single.flush()
+    many = []
+    for p in parts:
+        own = z.compressobj(6, z.DEFLATED, 31)
+        many.append(own.compress(p) + own.flush())
+    ends = {sum(map(len, many[:k])) for k in range(5)}
+    read = lambda data, step=1 << 16: [whole for _, whole in warc.records(warc.inflate(pa.BufferReader(data), step))]
+    assert read(one) == read(b"".join(many)) == read(one + b"\0" * 512) == read(many[0] + b"\0" * 7 + b"".join(many[1:]), 5) == parts
+    assert read(b"") == []
+    for data, whole in ((one, {0, len(one)}), (b"".join(many), ends)):
+        for at in range(len(data)):
+            if at in whole:
+                assert read(data[:at]) == parts[: sorted(whole).index(at)]
+            else:
+                with pytest.raises(ValueError):
+                    read(data[:at])
+    with pytest.raises(ValueError):
+        read(one + b"not gzip")
+
+
 def test_archives_roll_over_and_members_stand_alone(spark, tmp_path):
     import gzip
 
@@ -784,6 +839,54 @@ def test_empty_tables(spark, odd):
     assert warc.read_archives(warc.archive(pages, shared_dir(spark, "warc"))).count() == 0
 
 
+def brute_jaccard_components(rows, least=0.8):
+    own = []
+    for i, text in rows:
+        w = words(lowered(text))
+        own.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    group = {i: i for i, _ in own}
+    pairs = [(i, j) for k, (i, x) in enumerate(own) for j, y in own[:k] if x and y and len(x & y) >= least * len(x | y)]
+    while True:
+        before = dict(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            return group
+
+
+def test_near_copies_are_found(spark, docs):
+    rng = random.Random(9)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] and 60 <= len(r["text"].split()) <= 600]
+    edited = []
+    for i, text in rows:
+        for times in (1, 2, 4, 8):
+            w = text.split(" ")
+            for _ in range(times):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            edited.append((1000 * times + i, " ".join(w)))
+    both = rows + edited
+    near = brute_jaccard_components(both)
+    from textloom.llm.shingle_links import shingle_links
+
+    frame = spark.createDataFrame(both, "doc_id long, text string")
+    found = {i: i for i, _ in both} | {r["node"]: r["component"] for r in components.components(shingle_links(frame)).collect()}
+    moved = [i for i in near if near[i] != i]
+    assert len(moved) > 100 and sum(found[i] == near[i] for i in moved) >= 0.98 * len(moved)
+    assert all(near[found[i]] == near[i] for i in near)  # nothing is linked that isn't
+    kept = {r["doc_id"] for r in near_dedup.keep_one(frame, near=0.8).collect()}
+    assert kept <= {i for i in near} and len(kept) <= 1.02 * len({near[i] for i in near})
+    assert not shingle_links(frame.limit(0)).collect()
+
+
+def test_a_group_without_a_common_centre(spark):
+    from textloom.llm.shingle_links import shingle_links
+
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(base[3 * k : 3 * k + 200])) for k in range(40)] + [(90, None), (91, ""), (None, "x"), (92, "one two"), (93, "One two")]
+    found = components.components(shingle_links(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r["node"]: r["component"] for r in found} == {k: 0 for k in range(40)} | {92: 92, 93: 92}
+
+
 def test_pipeline_stages_against_brute_force(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     good = {r["doc_id"] for r in repetition.repetition(docs).filter("kept").collect()}
@@ -793,6 +896,8 @@ def test_pipeline_stages_against_brute_force(spark, docs):
     prints = [(r["doc_id"], brute_fingerprint(r["text"])) for r in rows if r["doc_id"] in known]
     groups = brute_components(prints)
     single = [r for r in rows if r["doc_id"] in known and groups[r["doc_id"]] == r["doc_id"]]
+    near_groups = brute_jaccard_components([(r["doc_id"], r["text"]) for r in single])
+    single = [r for r in single if near_groups[r["doc_id"]] == r["doc_id"]]
     clean = lambda t: regex.findall(r"[\p{L}\p{N}]+", lowered(t))
     items = [clean(r["text"]) for r in bench.collect()]
     held = {tuple(x[k : k + 5]) for x in items for k in range(len(x) - 4)}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, table, text_array
 from textloom.llm.components import components
 from textloom.llm.golay import KIND_BIT, OPEN_SEGMENTS, SEGMENTS, pair_keys
+from textloom.llm.shingle_links import shingle_links
 from textloom.llm.simhash import fingerprints
 
 RADIUS = 3
@@ -123,16 +124,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return salted.join(spread, ["fp", "salt"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most_ids: int = MOST_IDS) -> DataFrame:
+def _without(docs: DataFrame, gone: DataFrame, key: str, most_ids: int) -> DataFrame:
+    few = gone.count() <= most_ids
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["_gone"], "left_anti")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most_ids: int = MOST_IDS, near: float | None = None, shingle: int = 5) -> DataFrame:
     """The documents that have the smallest id of their group; all columns.
 
+    With ``near``, of what fingerprints leave, documents that share so much of their
+    ``shingle``-word shingles (Jaccard similarity, exact) form groups as well, of which the smallest id stays.
     Rows that share an id stay or go together, and rows without one stay. The ids that go
     are sent to where the documents are, so that no text is shuffled, if they are
-    ``most_ids`` or fewer; else both are joined by a shuffle.
+    ``most_ids`` or fewer; else both are joined by a shuffle. Texts are read whole, however long; other columns
+    are kept, and one named ``_gone`` is an error. No documents give no rows.
     """
     gone = cut(near_duplicates(docs, key, text).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    few = gone.count() <= most_ids
-    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["_gone"], "left_anti")
+    left = _without(docs, gone, key, most_ids)
+    if near is None:
+        return left
+    found = components(shingle_links(left, near, shingle, key=key, text=text, most_ids=most_ids))
+    more = cut(found.filter("node != component").select(F.col("node").alias("_gone")))
+    return _without(docs, gone.unionByName(more), key, most_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

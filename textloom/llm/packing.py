@@ -130,17 +130,36 @@ def pack(docs: DataFrame, tokenizer: str | None = None, boundary: str = "word",
     return best_fit(cut(sized), capacity, open_bins)
 
 
-def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str | None = None, boundary: str = "word", lower: bool = True, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The packed sequences: ``sequence_id``, ``input_ids``, ``segments`` (1, 2, ... for its pieces in order)."""
+def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str | None = None, boundary: str = "word", lower: bool = True, end: int = 1, capacity: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The packed sequences: ``sequence_id``, ``input_ids``, ``segments`` (1, 2, ... for its pieces in order).
+
+    ``packed`` is the result of ``pack`` for these ``docs`` with the same arguments. Rows that share an id, or have
+    none, are told apart by their pieces' checksums. Null and empty texts are ``end`` alone, texts
+    are read whole, other columns not at all. No rows give none.
+    """
     sent = load(docs.sparkSession, tokenizer or public_path("word_bpe_49k.json"))
-    places = packed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("places"))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(places, "doc_id").select("text", "places")
+    own_places = packed.groupBy("doc_id").agg(F.collect_list(F.struct("piece", "start", "length", "ids_crc32", "sequence_id", "offset")).alias("places"))
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).groupBy("_id").agg(F.array_sort(F.collect_list("text")).alias("texts"), F.count("*").alias("n"))
+    texts = F.concat("texts", F.array_repeat(F.lit("").cast("string"), (F.col("n") - F.size("texts")).cast("int")))
+    rows = rows.select("_id", texts.alias("texts")).join(own_places, F.col("_id").eqNullSafe(F.col("doc_id"))).select("texts", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(sent, boundary, lower)
         for batch in batches:
-            ids, starts = own.encode(text_array(batch.column(0)), end)
-            found = [(p["sequence_id"], p["offset"], ids[at + p["start"] : at + p["start"] + p["length"]]) for at, places in zip(starts[:-1], batch.column(1).to_pylist()) for p in places]
+            lists = batch.column(0)
+            ids, starts = own.encode(text_array(lists.flatten()), end)
+            first = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            found = []
+            for k, places in enumerate(batch.column(1).to_pylist()):
+                rest: dict[tuple, list[dict]] = {}
+                for p in places:
+                    rest.setdefault((p["start"], p["length"], p["ids_crc32"]), []).append(p)
+                for row in range(first[k], first[k + 1]):  # rows that share an id: each takes a place of its own pieces
+                    whole = ids[starts[row] : starts[row + 1]]
+                    for at in range(0, len(whole), capacity):
+                        part = whole[at : at + capacity]
+                        p = rest[at, len(part), zlib.crc32(part.astype("<u4").tobytes())].pop()
+                        found.append((p["sequence_id"], p["offset"], part))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["sequence_id", "offset", "ids"])
 
     tokens = rows.mapInArrow(run, "sequence_id long, offset long, ids array<int>")

@@ -151,4 +151,5 @@ def verdicts(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(table(spark, sf_dir, "pages"))
+    # hosts and the domains above them are linked too: the given pages link to no other host
+    return verdicts(table(spark, sf_dir, "pages"), domains=True)

@@ -84,20 +84,32 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def inflate(source: pa.NativeFile, step: int = STEP) -> Iterator[bytes]:
-    """The contents of a gzip file of one member or many, inflated in one pass."""
-    unzip, raw = zlib.decompressobj(31), b""
+    """The contents of a gzip file of one member or many, inflated in one pass.
+
+    Zeros behind a member are padding. A file that ends inside a member, or holds anything else
+    than gzip, is an error, also where the cut lies at a record's end.
+    """
+    unzip, raw, begun = zlib.decompressobj(31), b"", False
     while True:
         raw = raw or source.read(step)
         if not raw:
             break
-        data = unzip.decompress(raw, step)
+        if not begun:
+            raw = raw.lstrip(b"\0")
+            if not raw:
+                continue
+        begun = True
+        try:
+            data = unzip.decompress(raw, step)
+        except zlib.error as error:
+            raise ValueError(f"no gzip member: {error}") from error
         if data:
             yield data
         raw = unzip.unconsumed_tail
         if unzip.eof:
-            raw, unzip = unzip.unused_data, zlib.decompressobj(31)
-    if tail := unzip.flush():
-        yield tail
+            raw, unzip, begun = unzip.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
