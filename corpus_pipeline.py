@@ -25,9 +25,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the one with the smallest id."""
+    """Of near-duplicates, by fingerprint or by 0.8 of their 5-word shingles, the one with the smallest id."""
     ship(spark)
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, near=0.8, shingle=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; every result is written and read again."""
+    """All stages over the documents of ``sf_dir``; every result is written and read again.
+
+    Null and empty texts go in the first stage, as texts of too few words; long texts are
+    read whole by every stage, and their pieces packed. Of equal rows the near-duplicate stage
+    keeps those that share the smallest id. Extra columns stay until the last stage, whatever their names.
+    No documents give no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = shared_dir(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
