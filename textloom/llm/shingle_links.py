@@ -16,7 +16,8 @@ from textloom.llm.simhash import shingle_hashes
 
 #: Minima of a signature: bands of so many. A pair that shares 0.8 of its shingles agrees in one band with probability 0.998.
 BANDS, WIDTH = 12, 4
-SALTS = 16
+#: Members of a hub that are held against one copy of it.
+MEMBERS = 64
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
@@ -77,9 +78,12 @@ def overlaps(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, key:
     named = cut(pairs.select(F.col("a").alias("_n")).union(pairs.select("b")).distinct())
     few = named.count() <= most_ids
     own = cut(sets(docs.join(F.broadcast(named) if few else named, docs[key] == named["_n"], "left_semi"), shingle, key, text))
+    # a hub of many members is one join key: it goes to a place for every MEMBERS of them
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("places"))
     left = own.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
-    spread = own.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    both = pairs.join(left, "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(spread, ["b", "salt"])
+    spread = own.join(hubs, own["doc_id"] == hubs["b"]).select("b", F.col("hashes").alias("y"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    placed = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"))
+    both = placed.join(left, "a").join(spread, ["b", "place"])
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
@@ -88,7 +92,7 @@ def shingle_links(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands:
     """Edges (``a``, ``b``) between documents whose distinct ``shingle``-word shingles have a Jaccard similarity of ``least`` or more.
 
     Documents that agree in a band are held against the smallest of them; those that fail, against the
-    smallest ones of two, four, ... parts of those that failed, until all have been met. So a group of near
+    smallest ones of four, sixteen, ... parts of those that failed, until all have been met. So a group of near
     copies costs a comparison a member, and no partner is left out. Words are those between white space, A-Z lower-cased; a text of fewer words
     is one shingle, one without words links to none. Texts are read whole, null ids left out, other columns not read.
     """
@@ -107,7 +111,7 @@ def shingle_links(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands:
         done = linked.union(hubs.select("band", "value", "hub")).distinct()
         rows = rows.join(done, ["band", "value", "doc_id"], "left_anti")
         shared = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        rows, parts = cut(rows.join(shared, ["band", "value"])), parts * 2
+        rows, parts = cut(rows.join(shared, ["band", "value"])), parts * 4
     if not known:
         return docs.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, known).distinct()
