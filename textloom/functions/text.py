@@ -244,3 +244,16 @@ def indicator_summary(high: Column, medium: Column, default: str = "No significa
     """Names by severity in one line."""
     parts = F.array_compact(F.array(F.when(F.size(high) > 0, F.concat(F.lit("HIGH RISK: "), F.array_join(high, ", "))), F.when(F.size(medium) > 0, F.concat(F.lit("MEDIUM RISK: "), F.array_join(medium, ", ")))))
     return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(default)
+
+
+def open_json(rows: DataFrame, raw: str, scalars: dict[str, tuple[str, str]], arrays: dict[str, str]) -> DataFrame:
+    """``rows`` with ``valid`` and, read by path from JSON of any shape, ``scalars`` (name: path, type) and ``arrays`` of strings (name: path).
+
+    The text is parsed once, to a variant. A broken text, a missing path or a value of another
+    type gives null for a scalar and an empty array for an array; objects in an array come as JSON.
+    """
+    own = rows.withColumn("_json", F.try_parse_json(raw))
+    empty = F.array().cast("array<string>")
+    found = {name: F.try_variant_get("_json", path, kind) for name, (path, kind) in scalars.items()}
+    found |= {name: F.coalesce(F.try_variant_get("_json", path, "array<string>"), empty) for name, path in arrays.items()}
+    return own.withColumns({"valid": F.col("_json").isNotNull(), **found}).drop("_json")

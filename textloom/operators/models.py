@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.rules import fixed
+from textloom.session import cut
 
+#: Nodes of a forest that are sent to all tasks.
+MAX_NODES = 500_000
 TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size long"
 
 
@@ -109,6 +112,52 @@ def outlier_scores(rows: DataFrame, forest: DataFrame, features: list[str], key:
     return out.withColumn("confidence", F.when(F.col("is_outlier"), F.greatest(F.lit(0.5), F.least(F.lit(1.0), (-F.col("score") - 0.1) / 0.4))).otherwise(inlier)).drop("cut")
 
 
+def forest_row(forest: DataFrame, features: list[str], sample: int = 256) -> DataFrame:
+    """A forest as one row: ``trees`` (nodes of each tree in order, with the path length that ends at them), ``scale`` and ``depth``.
+
+    ``forest`` is ``isolation_forest``'s table or one that was saved and loaded; more than ``MAX_NODES`` nodes are an error.
+    """
+    if forest.count() > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes")
+    children = forest.select("tree", F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("parent")).filter("node >= 0")
+    depth = forest.filter("node = 0").select("tree", "node", F.lit(0).alias("depth"))
+    layer, most = depth, 0
+    while True:  # one join a level
+        layer = cut(layer.select("tree", F.col("node").alias("parent"), "depth").join(children, ["tree", "parent"]).select("tree", "node", (F.col("depth") + 1).alias("depth")))
+        if not layer.limit(1).count():
+            break
+        depth, most = depth.unionByName(layer), most + 1
+    n = F.col("size").cast("double")
+    left = F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n)
+    named = F.element_at(F.array(*map(F.lit, features)), F.when(F.col("feature") >= 0, F.col("feature") + 1))
+    place = F.when(named.isNull(), -1).otherwise(F.col("feature"))
+    nodes = forest.join(depth, ["tree", "node"]).select("tree", F.struct("node", place.cast("int").alias("feature"), "threshold", "left", "right", (F.col("depth") + left).alias("path"), "size").alias("x"))
+    trees = nodes.groupBy("tree").agg(F.array_sort(F.collect_list("x")).alias("t"))
+    top = F.least(F.lit(float(sample)), F.max(F.get("t", F.lit(0))["size"]).cast("double"))
+    scale = F.when(top <= 1, 1.0).when(top == 2, 1.0).otherwise(2 * (F.ln(top - 1) + 0.5772156649) - 2 * (top - 1) / top)
+    return trees.agg(F.array_sort(F.collect_list(F.struct("tree", "t"))).alias("trees"), scale.alias("scale")).withColumn("depth", F.lit(most))
+
+
+def forest_scores(rows: DataFrame, forest: DataFrame, features: list[str], key: str, sample: int = 256) -> DataFrame:
+    """``key``, ``score`` (-1 to 0, lower is odder) by built-in functions alone: each tree is walked from its root as an array.
+
+    Equals ``outlier_scores``'s score; the forest is one row, sent to all tasks, its size checked. Null features count as NaN.
+    """
+    one = forest_row(forest, features, sample)
+    values = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features))
+
+    def walk(tree):
+        nodes = tree["t"]
+        step = lambda at, _: F.transform(
+            F.array(F.get(nodes, at)), lambda x: F.when(x["feature"] < 0, at).when(F.get("_x", x["feature"]) <= x["threshold"], x["left"]).otherwise(x["right"])
+        )[0]
+        return F.get(nodes, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1))), F.lit(0), step))["path"]
+
+    met = rows.select(key, values.alias("_x")).join(F.broadcast(one))
+    mean = F.aggregate("trees", F.lit(0.0), lambda s, t: s + walk(t)) / F.size("trees")
+    return met.select(key, (-F.pow(F.lit(2.0), -mean / F.col("scale"))).alias("score"))
+
+
 def calibration_knots(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     """Isotonic regression of outcomes on confidences as a table of knots (``x``, ``y``). Values beyond 0 to 1, or other labels, are an error."""
     bad = rows.filter(~F.col(predicted).between(0, 1) | ~F.col(actual).isin(0, 1)).limit(1).count()

@@ -170,6 +170,22 @@ def page_with_total(rows: DataFrame, order: list, skip: int = 0, limit: int = 20
     return page(rows, order, skip, limit).join(F.broadcast(total))
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], last: dict | None = None, limit: int = 20) -> DataFrame:
+    """The ``limit`` rows that follow ``last``, in the order of ``order`` (column, descending); the first page without ``last``.
+
+    ``last`` holds the order columns of the page before's last row. Rows before it are filtered by these, where an
+    offset would sort and drop them: each task sends ``limit`` rows, however deep the page.
+    The columns identify a row and aren't null.
+    """
+    if last is not None:
+        beyond = F.lit(False)
+        for name, descending in reversed(order):
+            ahead = F.col(name) < F.lit(last[name]) if descending else F.col(name) > F.lit(last[name])
+            beyond = ahead | ((F.col(name) == F.lit(last[name])) & beyond)
+        rows = rows.filter(beyond)
+    return rows.orderBy(*(F.col(name).desc() if descending else F.col(name).asc() for name, descending in order)).limit(limit)
+
+
 def dashboard(documents: DataFrame, count: str = "anomalies", many: int = 5) -> DataFrame:
     """One row: documents, their anomalies, and those with more than ``many``."""
     return documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum(count), F.lit(0)).alias("anomalies"), F.count_if(F.col(count) > many).alias("documents_over"))

@@ -57,6 +57,24 @@ def with_tier(rows: DataFrame, tiers: DataFrame, days: str = "days") -> DataFram
     return rows.join(rule_table(tiers), fits, "left").withColumn("modifier", F.coalesce("modifier", F.lit(1.0)))
 
 
+def in_ranges(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float, most_bins: int = 10_000) -> DataFrame:
+    """``rows`` joined with all ``ranges`` whose ``low`` .. ``high`` (null: no end) hold ``value``; rows in none are left out.
+
+    Both tables may be large: ranges are cut into bins of ``width`` and joined by equality on the bin, then
+    tested exactly, so no row meets all ranges. A range of more than ``most_bins`` bins, or without an end, is met
+    by its start instead, in order: such ones are few, a rule table, and sent to all tasks.
+    Null values and null lows are in no range; a pair comes once.
+    """
+    at = F.floor(F.col(value) / width)
+    first, last = F.floor(F.col(low) / width), F.floor(F.col(high) / width)
+    wide = F.col(high).isNull() | (last - first >= most_bins)
+    known = ranges.filter(F.col(low).isNotNull())
+    short = known.filter(~wide & (F.col(high) >= F.col(low))).withColumn("_bin", F.explode(F.sequence(first, last)))
+    inside = (F.col(value) >= F.col(low)) & (F.col(high).isNull() | (F.col(value) <= F.col(high)))
+    met = rows.filter(F.col(value).isNotNull()).withColumn("_bin", at).join(short, "_bin").filter(inside).drop("_bin")
+    return met.unionByName(rows.join(rule_table(known.filter(wide)), inside).select(met.columns))
+
+
 def temporal(rows: DataFrame, tiers: DataFrame, as_of: Column, score: str = "score", modified: str = "last_modified", effective: str = "effective_date", change: str = "is_change") -> DataFrame:
     """Scores of recent changes raised by the tier of their age; future dates and what is no change stay."""
     day = F.coalesce(modified, effective)

@@ -12,6 +12,7 @@ from textloom.plans.scoring_plans import anomalies
 from textloom.plans.text_plans import _FLESCH, _SENT, _SYL
 from textloom.rules import fixed
 from textloom.session import cut, shared_dir
+from textloom.sources import corpus
 
 #: The fixed lists and some words that the given documents do hold.
 WORDING = {
@@ -47,6 +48,15 @@ def f2(s, d):
     return M.outlier_scores(own, forest, list(W.FEATURES), "doc_id").select("doc_id", F.round("score", 6).alias("score"), "is_outlier", F.round("confidence", 6).alias("confidence"))
 
 
+def a13_forest(s, d):
+    """Scores of a forest that was fitted, saved, loaded, and walked by built-in functions."""
+    own = cut(W.with_features(features(s, d)))
+    path = shared_dir(s, "forest")
+    corpus.save_model({"forest": M.isolation_forest(own, list(W.FEATURES), "doc_id")}, path)
+    forest = corpus.load_model(s, path, ["forest"])["forest"]
+    return M.forest_scores(own, forest, list(W.FEATURES), "doc_id").withColumn("score", F.round("score", 6))
+
+
 def f5(s, d):
     own = outcomes(s, d)
     out = M.calibrate(own.select("doc_id", F.col("predicted").alias("confidence")), M.calibration_knots(own, "predicted", "actual"))
@@ -141,6 +151,7 @@ PLANS: Plans = {
         f"WITH {_LONG}, st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM lg GROUP BY feature) SELECT doc_id, feature, round(abs((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 6)::DOUBLE AS importance FROM lg JOIN st USING (feature)",
     ),
     "f02_f03_outliers": (f2, None),
+    "a13_f03_stored_forest": (a13_forest, None),
     "f05_f06_calibrated": (f5, f"WITH {_ISO} SELECT doc_id, round(yhat, 6)::DOUBLE AS calibrated_confidence, {_TIER} AS confidence_tier, {_LABEL} AS tier_label, {_SAID} AS explanation FROM oc JOIN iso ON predicted = x"),
     "f08_f16_calibration_quality": (
         f8,

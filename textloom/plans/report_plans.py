@@ -42,6 +42,16 @@ def a5(s, d):
     return e.select("event_id", F.coalesce(F.from_json(raw, "k int")["k"], F.lit(-1)).alias("k"))
 
 
+def a5_open(s, d):
+    """Properties of any shape: scalars, arrays and objects by path; a broken row, or one without the path, gives an empty array."""
+    e = table(s, d, "events")
+    nested = F.concat(F.lit('{"p": '), "props", F.lit(', "tags": ["'), "event_type", F.lit('", "x"], "at": [{"u": '), F.col("user_id").cast("string"), F.lit("}]}"))
+    raw = F.when(F.col("event_id") % 9 == 0, "{broken").when(F.col("event_id") % 9 == 1, F.col("props")).otherwise(nested)
+    return X.open_json(e.select("event_id", raw.alias("raw")), "raw", {"k": ("$.p.k", "int"), "first_user": ("$.at[0].u", "long")}, {"tags": "$.tags"}).select(
+        "event_id", "valid", "k", "first_user", F.array_join("tags", ",").alias("tags"), F.size("tags").alias("n_tags")
+    )
+
+
 def a9(s, d):
     e = table(s, d, "embeddings").withColumn("namespace", (F.col("vec_id") % 3).cast("string"))
     return e.rollup("namespace").agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("documents")).withColumn("namespace", F.coalesce("namespace", F.lit("total")))
@@ -144,7 +154,7 @@ def h27(s, d):
 
 
 def h31(s, d):
-    own = R.compare(anomalies(s, d).filter("document_id % 20 = 3"))
+    own = R.compare(anomalies(s, d))
     return own.withColumn("risk_range", F.round("risk_range", 6))
 
 
@@ -220,11 +230,20 @@ SELECT *, CASE WHEN n < 50 THEN 'waiting' WHEN correct = 0 OR correct = n THEN '
     "h24_global_metrics": (h24, f"WITH {_FB}, d AS (SELECT count(*) AS documents FROM documents), n AS (SELECT count(*) AS anomalies, count(*) FILTER (user_action = 'dismissed') / count(*) AS r FROM fl) SELECT documents, anomalies, round(r, 6) AS dismissal_rate, round(anomalies / documents, 6) AS alerts_per_document, CASE WHEN r > 0.40 THEN 'critical' WHEN r > 0.25 THEN 'warning' ELSE 'healthy' END AS health FROM d, n"),
     "h25_common_flags": (h25, f"WITH {ANOMALIES} SELECT indicator, count(*) AS n FROM a GROUP BY indicator ORDER BY n DESC, indicator LIMIT 5"),
     "h26_daily_metrics": (h26, f"WITH {ANOMALIES}, g AS (SELECT CAST(created_at AS DATE) AS day, count(*) AS detections, count(DISTINCT document_id) AS documents, quantile_cont(confidence * 60, 0.95) AS q FROM a GROUP BY 1), h AS (SELECT *, CAST(detections / documents > 5 AS INT) + CAST(q > 30 AS INT) AS alerts FROM g) SELECT day, detections, documents, round(detections / documents, 6) AS alerts_per_document, round(q, 6) AS p95, alerts, CASE WHEN alerts > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM h"),
+    "a05_j06_open_json": (
+        a5_open,
+        """
+WITH r AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{broken' WHEN 1 THEN props
+  ELSE '{"p": ' || props || ', "tags": ["' || event_type || '", "x"], "at": [{"u": ' || user_id || '}]}' END AS raw FROM events),
+j AS (SELECT event_id, json_valid(raw) AS valid, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM r)
+SELECT event_id, valid, (j->>'$.p.k')::INT AS k, (j->>'$.at[0].u')::BIGINT AS first_user,
+  array_to_string(coalesce(from_json(j->'$.tags', '["VARCHAR"]'), []), ',') AS tags, len(coalesce(from_json(j->'$.tags', '["VARCHAR"]'), [])) AS n_tags FROM j""",
+    ),
     "h27_cost_summary": (h27, f"WITH {_ROUTED} SELECT count(*) AS analyses, round(sum(total_cost), 6) AS total_cost, round(avg(total_cost), 6) AS average_cost, round(count(*) FILTER (escalated) / count(*), 6) AS escalation_rate, count(*) FILTER (agreement = 'confirmed') AS confirmed, count(*) FILTER (agreement = 'refined') AS refined, round(1 - avg(total_cost) / 0.015, 6) AS savings, avg(total_cost) <= 0.0039 AS meets_target FROM routed"),
     "h28_h30_routing": (h28, f"WITH {_ROUTED} SELECT * FROM routed"),
     "h20_h31_comparison": (
         h31,
-        f"""WITH {ANOMALIES}, x AS (SELECT * FROM a WHERE document_id % 20 = 3), g AS (SELECT document_id, count(*) AS n, CAST(sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / count(*) * 3.33 AS DOUBLE) AS risk FROM x GROUP BY document_id),
+        f"""WITH {ANOMALIES}, x AS (SELECT * FROM a), g AS (SELECT document_id, count(*) AS n, CAST(sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / count(*) * 3.33 AS DOUBLE) AS risk FROM x GROUP BY document_id),
 c AS (SELECT category, count(DISTINCT document_id) AS have FROM x GROUP BY category)
 SELECT count(*) AS documents, round(max(risk) - min(risk), 6) AS risk_range, max(n) AS most, min(n) AS fewest, first(document_id ORDER BY risk, document_id) AS best, first(document_id ORDER BY risk DESC, document_id) AS worst, (SELECT count(*) FROM c WHERE have < (SELECT count(*) FROM g)) AS uneven_categories, max(risk) - min(risk) > 2 AS risk_differs, max(n) > 2 * min(n) AS counts_differ FROM g""",
     ),

@@ -25,6 +25,13 @@ def a1(s, d):
     return rows.select("r.doc_id", "category", F.md5("r.text").alias("text_md5")).filter("category IN ('de', 'fr', 'en')")
 
 
+def a10(s, d):
+    """Anomalies by severity, written as a JSON report and read again."""
+    folder = shared_dir(s, "report")
+    C.write_report(anomalies(s, d).groupBy("severity").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents")), folder)
+    return s.read.schema("severity string, n long, documents long").json(folder)
+
+
 def a3(s, d):
     return C.pages_text(table(s, d, "pages"))
 
@@ -150,6 +157,7 @@ v AS (SELECT doc_id || '_chunk_' || k AS chunk_key, doc_id, left(chunk, 1000) AS
 _EVENT_DAY = "SELECT CAST(ts AS DATE) AS day, count(*) AS detections FROM events GROUP BY 1"
 
 PLANS: Plans = {
+    "a10_report": (a10, f"WITH {ANOMALIES} SELECT severity, count(*) AS n, count(DISTINCT document_id) AS documents FROM a GROUP BY severity"),
     "a01_a02_corpus_folder": (a1, "SELECT doc_id, lang AS category, md5(text) AS text_md5 FROM documents WHERE lang IN ('de', 'fr', 'en')"),
     "a03_page_text": (a3, f"SELECT * FROM (SELECT page_id, array_to_string(list_filter(list_transform(flatten(list_transform(string_split({_ENT.format(x=_X)}, chr(10)), lambda l: string_split(trim(l), '  '))), lambda p: trim(p)), lambda x: x <> ''), chr(10)) AS text FROM pages) WHERE length(text) >= 500"),
     "a06_vector_upsert": (a6, f"WITH {_CHUNK} SELECT chunk_key, doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN 'rewritten' ELSE text END) AS text_md5, namespace FROM v"),
