@@ -12,34 +12,43 @@ from textloom.llm.common import shared_dir, table
 from textloom.session import ship
 
 
+#: Bytes of a batch of texts that a worker gets at a time; stages share workers, whose memory adds up.
+BATCH_BYTES = 8 << 20
+
+
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    ship(spark)
+    _ready(spark)
     return repetition.keep_good(docs)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language."""
-    ship(spark)
+    _ready(spark)
     return language_id.keep_known(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates, by fingerprint or by 0.8 of their 5-word shingles, the one with the smallest id."""
-    ship(spark)
+    _ready(spark)
     return near_dedup.keep_one(docs, near=0.8, shingle=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of any benchmark item."""
-    ship(spark)
+    _ready(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, each with its place in a sequence."""
-    ship(spark)
-    return packing.pack(docs, cache=400_000, slice_bytes=2 << 20)  # its workers hold memory of the stages before
+    _ready(spark)
+    return packing.pack(docs, cache=150_000, slice_bytes=1 << 20)  # its workers hold memory of the stages before
 
 
 STAGES = [
