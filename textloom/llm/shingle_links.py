@@ -37,7 +37,7 @@ def _text(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def banded(docs: DataFrame, shingle: int, bands: int, width: int, key: str, text: str) -> DataFrame:
-    """``doc_id``, ``band``, ``value`` for every text with a word."""
+    """``doc_id``, ``values`` (one for each band) for every text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,10 +51,10 @@ def banded(docs: DataFrame, shingle: int, bands: int, width: int, key: str, text
                 value = np.zeros((len(full), bands), np.uint64)
                 for k in range(width):
                     value = value * np.uint64(0x9E3779B97F4A7C15) ^ least[:, :, k]
-                ids = batch.column(0)[a:b].take(pa.array(np.repeat(full, bands)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(bands, dtype=np.int32), len(full))), pa.array(value.ravel().view(np.int64))], ["doc_id", "band", "value"])
+                ends = pa.array(np.arange(0, value.size + 1, bands), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(full)), pa.ListArray.from_arrays(ends, pa.array(value.ravel().view(np.int64)))], ["doc_id", "values"])
 
-    return _text(docs, key, text).mapInArrow(run, "doc_id long, band int, value long")
+    return _text(docs, key, text).mapInArrow(run, "doc_id long, values array<long>")
 
 
 def sets(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
@@ -95,27 +95,28 @@ def overlaps(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, key:
 def shingle_links(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, width: int = WIDTH, key: str = "doc_id", text: str = "text", most_ids: int = 2_000_000) -> DataFrame:
     """Edges (``a``, ``b``) between documents whose distinct ``shingle``-word shingles have a Jaccard similarity of ``least`` or more.
 
-    Documents that agree in a band are held against the smallest of them; those that fail, against the
-    smallest ones of 16, 256, ... parts of those that failed, until all have been met. So a group of near
-    copies costs a comparison a member, and no partner is left out. Words are those between white space, A-Z lower-cased; a text of fewer words
-    is one shingle, one without words links to none. Texts are read whole, null ids left out, other columns not read.
+    Documents that agree in a band are held against the smallest of them, so a group of near copies costs a
+    comparison a member. Those that fail are held against the smallest that agrees with them in two neighbouring
+    bands, then three, and so on: documents that only share a passage soon agree with none, and
+    each costs at most a comparison for every band and round. Like the bands themselves this finds near all links, not surely all.
+    Words are those between white space, A-Z lower-cased; a text of fewer words is one shingle, one without words links to
+    none. Texts are read whole, null ids left out, other columns not read. No documents give no rows.
     """
-    rows = banded(docs, shingle, bands, width, key, text).distinct()
-    shared = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = cut(rows.join(shared, ["band", "value"]))
-    known, parts = [], 1
-    while rows.limit(1).count():
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-        hubs = cut(rows.groupBy("band", "value", part.alias("part")).agg(F.min("doc_id").alias("hub")).drop("part"))
+    signed = cut(banded(docs, shingle, bands, width, key, text).distinct())
+    open_bands = signed.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).distinct()
+    known: list[DataFrame] = []
+    for agreeing in range(1, bands + 1):
+        value = F.xxhash64(F.slice(F.concat("values", "values"), F.col("band") + 1, agreeing)).alias("value")
+        rows = open_bands.join(signed, "doc_id").select("doc_id", "band", value).distinct()
+        hubs = rows.groupBy("band", "value").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub != other").drop("other")
         met = cut(rows.join(hubs, ["band", "value"]).filter("doc_id != hub"))
         pairs = cut(met.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+        if not pairs.limit(1).count():
+            break
         near = cut(overlaps(pairs, docs, shingle, least, key, text, most_ids))
         known.append(near)
-        linked = met.join(near, (met["doc_id"] == near["a"]) & (met["hub"] == near["b"])).select("band", "value", "doc_id").distinct()
-        done = linked.union(hubs.select("band", "value", "hub")).distinct()
-        rows = rows.join(done, ["band", "value", "doc_id"], "left_anti")
-        shared = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        rows, parts = cut(rows.join(shared, ["band", "value"])), parts * 16
+        failed = met.join(near, (met["doc_id"] == near["a"]) & (met["hub"] == near["b"]), "left_anti")
+        open_bands = cut(failed.select("doc_id", "band").distinct())
     if not known:
         return docs.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, known).distinct()
