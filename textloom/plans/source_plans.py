@@ -13,6 +13,7 @@ from textloom.plans.structure_plans import _CLAUSES, DOTS, HEADS, PARTS, RULE_SC
 from textloom.session import shared_dir
 from textloom.sources import corpus as C
 from textloom.streaming import jobs as J
+from textloom.streaming import state
 
 
 def a1(s, d):
@@ -144,6 +145,13 @@ def k6(s, d):
     return own.select(F.to_date("ts").alias("day"), "props").groupBy("props").agg(F.count("*").alias("times"))
 
 
+def k6b(s, d):
+    """Results of contents that come again within 14 days of an error's, or 7 of another's, over three files."""
+    days = F.when(F.col("event_type") == "error", 14).otherwise(7)
+    rows = _stream(s, d).select("event_id", "ts", "props", "value", days.alias("days"))
+    return state.reuse_results(rows, shared_dir(s, "reused"), "event_id", "ts", "props", "value", "days")
+
+
 _ENT = "replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _X = "coalesce(html, '')"
 for _tag in C.BLOCKS:
@@ -192,4 +200,14 @@ e AS (SELECT doc_id, section_no, clause_no, bool_or(severity = 'high') AS h FROM
 SELECT doc_id, CASE WHEN length(text) >= 200 THEN 'processing,completed' ELSE 'processing,failed' END AS status, anomalies, high FROM (SELECT doc_id, text FROM documents) LEFT JOIN g USING (doc_id)""",
     ),
     "k06_first_seen_stream": (k6, None),
+    "k06_h39_stored_results": (
+        k6b,
+        """WITH RECURSIVE e AS (SELECT event_id, ts, props, value, CASE WHEN event_type = 'error' THEN 14 ELSE 7 END AS days FROM events WHERE props IS NOT NULL AND ts IS NOT NULL),
+m AS (
+SELECT props, min({'ts': ts, 'event_id': event_id, 'value': value, 'days': days}) AS r FROM e GROUP BY props
+UNION ALL
+SELECT m.props, min({'ts': e.ts, 'event_id': e.event_id, 'value': e.value, 'days': e.days}) FROM m JOIN e ON e.props = m.props AND e.ts >= m.r.ts + to_days(m.r.days) GROUP BY m.props),
+c AS (SELECT props, r.ts AS ts, r.event_id AS source, r.value AS value FROM m)
+SELECT e.event_id, e.event_id <> c.source AS hit, c.source, c.value FROM e ASOF JOIN c ON e.props = c.props AND e.ts >= c.ts""",
+    ),
 }

@@ -19,9 +19,9 @@ def read_stream(spark: SparkSession, path: str, ts: str | None = None, files: in
     return rows.withColumn(ts, F.col(ts).cast("timestamp")) if ts else rows
 
 
-def run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], name: str = "stream") -> None:
-    """Run a stream over what there is, batch by batch, to its end."""
-    folder = shared_dir(stream.sparkSession, f"{name}-progress")
+def run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], name: str = "stream", progress: str | None = None) -> None:
+    """Run a stream over what there is, batch by batch, to its end; from where ``progress`` is, if given."""
+    folder = progress or shared_dir(stream.sparkSession, f"{name}-progress")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
     if query.exception():
