@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import detail_plans, keyword_plans, model_plans, more_plans, paging_plans, report_plans, scoring_plans, source_plans, stage_plans, structure_plans, text_plans, vector_plans
+from textloom.plans import detail_plans, keyword_plans, model_plans, more_plans, paging_plans, report_plans, scoring_plans, sketch_plans, source_plans, stage_plans, structure_plans, text_plans, vector_plans
 from textloom.plans.common import Plans, Query
 
 
 def plans() -> Plans:
     found: Plans = {}
-    for part in (text_plans, structure_plans, scoring_plans, vector_plans, report_plans, source_plans, more_plans, model_plans, stage_plans, detail_plans, keyword_plans, paging_plans):
+    for part in (text_plans, structure_plans, scoring_plans, vector_plans, report_plans, source_plans, more_plans, model_plans, stage_plans, detail_plans, keyword_plans, paging_plans, sketch_plans):
         found |= part.PLANS
     return found
 
