@@ -402,3 +402,67 @@ def test_folders_need_a_shared_place_on_a_cluster():
 
     with pytest.raises(ValueError):
         own_folder(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://h:7077")))
+
+
+def test_reasons_in_words(spark):
+    from textloom.operators import scoring as S
+
+    rows = spark.createDataFrame(
+        [(1, "food", 8.0, 0.1, "renewal", True, ["a", "b", "c", "d"]), (2, None, 5.0, 0.745, None, False, []), (3, "food", 5.0, None, None, None, None), (4, "food", 5.0, 0.5, "x", False, None)],
+        "n int, industry string, base double, rate double, category string, strict boolean, terms array<string>",
+    )
+    said = {r["n"]: r["s"] for r in rows.select("n", S.industry_reasoning(*(F.col(c) for c in rows.columns[1:])).alias("s")).collect()}
+    assert said == {
+        1: "Industry: food. Unusual for food (found in only 10% of baseline) - increased severity. renewal is a high-priority concern for food. "
+        "Contains terms alarming for food: a, b, c. Score capped at maximum (10.0).",
+        2: "Industry: Unknown industry. Common practice in Unknown industry (found in 75% of baseline) - reduced severity.",
+        3: "Industry: food.",
+        4: "Industry: food.",
+    }
+    rows = spark.createDataFrame([("alarming", "fees", "music"), ("neutral", None, "music"), ("unknown_service", "fees", None)], "c string, what string, where string")
+    found = [r[0] for r in rows.select(S.service_reason(*(F.col(c) for c in rows.columns))).collect()]
+    assert found[0].startswith('Category "fees" is alarming for music services.') and '"unknown" is neither' in found[1] and found[2] == 'Unknown service type "unknown", keeping anomaly for manual review'
+
+
+def test_match_details(spark):
+    from textloom.operators import scoring as S
+
+    matches = spark.createDataFrame([(1, "p", 5, "a,b"), (1, "p", 6, "a"), (1, "q", 5, "c")], "document_id int, pattern string, anomaly_id int, shared string")
+    own = spark.createDataFrame([(5, "high", "x" * 400), (6, None, None), (7, "low", "not matched")], "anomaly_id int, severity string, clause_text string")
+    found = {(r["pattern"], r["anomaly_id"]): (r["severity"], r["text"]) for r in S.match_details(matches, own).collect()}
+    assert found == {("p", 5): ("high", "x" * 150 + "..."), ("p", 6): (None, "..."), ("q", 5): ("high", "x" * 150 + "...")}
+
+
+def test_trend_advice(spark):
+    from textloom.operators import reports as R
+
+    def advice(values):
+        weekly = spark.createDataFrame([(k + 1, float(a), float(b)) for k, (a, b) in enumerate(values)], "week int, alerts_per_document double, detections double")
+        return R.trend_direction(weekly).first()
+
+    worse = advice([(1, 5), (1, 5), (3, 5), (3, 5)])
+    assert worse["overall_trend"] == "DEGRADING" and worse["recommendations"].endswith("Alert volume is increasing. Review alert ranking thresholds.")
+    assert advice([(3, 5), (1, 5)])["recommendations"].startswith("Performance is improving.")
+    assert advice([(1, 5)])["overall_trend"] == "INSUFFICIENT_DATA" and advice([(1, 5)])["recommendations"] == "Performance is stable. Continue monitoring."
+
+
+def test_forest_detection_is_the_forest(spark):
+    """The statistical method of stage 1 against the forest's own scores by Python."""
+    from conftest import SF
+    from textloom.operators import features as W
+    from textloom.operators import models
+    from textloom.plans import stage_plans
+    from textloom.session import cut
+
+    own = cut(stage_plans.clauses(spark, SF))
+    found = {r["anomaly_id"]: r for r in stage_plans.forest_outliers(own).collect()}
+    kept = cut(W.with_features(W.clause_features(own.select("anomaly_id", "clause_text"), "clause_text", **stage_plans.WORDING)).drop("clause_text"))
+    forest = models.isolation_forest(kept, list(W.FEATURES), "anomaly_id")
+    plain = models.outlier_scores(kept, forest, list(W.FEATURES), "anomaly_id").collect()
+    assert len(plain) == len(found) > 0 and any(r["is_outlier"] for r in plain)
+    for r in plain:
+        assert abs(found[r["anomaly_id"]]["score"] - r["score"]) < 1e-9
+        assert found[r["anomaly_id"]]["is_outlier"] == r["is_outlier"]
+    # a clause goes on for its outlier alone
+    stage = {r["anomaly_id"]: r for r in stage_plans.h1_forest(spark, SF).collect()}
+    assert all(stage[k]["outlier_flag"] == found[k]["is_outlier"] and (stage[k]["proceed"] or not found[k]["is_outlier"]) for k in stage)

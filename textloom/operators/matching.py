@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.rules import fixed
+
 #: Rule tables are joined by broadcast up to this many rows.
 MAX_RULES = 10_000
 
@@ -90,14 +92,16 @@ def document_types(docs: DataFrame, rules: DataFrame, heads: DataFrame, key: str
     return docs.select(key).join(best, key, "left").select(key, F.coalesce("document_type", F.lit("other")).alias("document_type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("matched", F.lit("")).alias("matched"), F.coalesce("secondary", F.lit("")).alias("secondary"))
 
 
-def required_terms(docs: DataFrame, terms: DataFrame, on: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Required terms (``on``, ``term``; ``_`` stands for a space) found and missing, and the share found; 1 where none is required."""
+def required_terms(docs: DataFrame, terms: DataFrame, on: str, key: str = "doc_id", text: str = "text", advice: str = fixed.MISSING_ADVICE) -> DataFrame:
+    """Required terms (``on``, ``term``; ``_`` stands for a space) found and missing, the share found (1 where none is required), and ``advice`` on each missing one."""
     own = docs.select(key, on, F.lower(text).alias("_t")).join(rule_table(terms), on, "left")
     has = F.contains("_t", F.replace(F.lower("term"), F.lit("_"), F.lit(" ")))
+    advised = F.format_string(advice, F.replace("term", F.lit("_"), F.lit(" ")), F.col(on))
     agg = own.groupBy(key, on).agg(
         F.array_join(F.array_sort(F.collect_list(F.when(has, F.col("term")))), ",").alias("found"),
         F.array_join(F.array_sort(F.collect_list(F.when(~has, F.col("term")))), ",").alias("missing"),
         F.coalesce(F.avg(has.cast("double")), F.lit(1.0)).alias("compliance"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~has, advised))), "; ").alias("recommendations"),
     )
     return agg.withColumn("compliant", F.col("missing") == "")
 

@@ -81,6 +81,14 @@ def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int
     return kept.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
 
 
+def flagged(scored: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """``scored`` (a column ``score``) with ``is_outlier`` below the contamination quantile and ``confidence``."""
+    cut = scored.agg(F.percentile_approx("score", contamination, 10_000).alias("cut"))
+    out = scored.join(F.broadcast(cut)).withColumn("is_outlier", F.col("score") < F.col("cut"))
+    inlier = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 0.1) / 0.4))
+    return out.withColumn("confidence", F.when(F.col("is_outlier"), F.greatest(F.lit(0.5), F.least(F.lit(1.0), (-F.col("score") - 0.1) / 0.4))).otherwise(inlier)).drop("cut")
+
+
 def outlier_scores(rows: DataFrame, forest: DataFrame, features: list[str], key: str, sample: int = 256, contamination: float = 0.1) -> DataFrame:
     """``key``, ``score`` (-1 to 0, lower is odder), ``is_outlier`` below the contamination quantile, ``confidence``."""
     nodes = forest.toPandas().sort_values(["tree", "node"])  # trees x 2 x sample rows at most
@@ -106,10 +114,7 @@ def outlier_scores(rows: DataFrame, forest: DataFrame, features: list[str], key:
         return pd.Series(total / len(sent.value))
 
     scored = rows.select(key, (-F.pow(F.lit(2.0), -path(*features) / scale)).alias("score"))
-    cut = scored.agg(F.percentile_approx("score", contamination, 10_000).alias("cut"))
-    out = scored.join(F.broadcast(cut)).withColumn("is_outlier", F.col("score") < F.col("cut"))
-    inlier = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 0.1) / 0.4))
-    return out.withColumn("confidence", F.when(F.col("is_outlier"), F.greatest(F.lit(0.5), F.least(F.lit(1.0), (-F.col("score") - 0.1) / 0.4))).otherwise(inlier)).drop("cut")
+    return flagged(scored, contamination)
 
 
 def forest_row(forest: DataFrame, features: list[str], sample: int = 256) -> DataFrame:

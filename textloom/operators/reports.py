@@ -80,7 +80,13 @@ def trend_direction(weekly: DataFrame) -> DataFrame:
 
     out = numbered.agg(F.count("*").alias("weeks"), direction("alerts_per_document").alias("alerts_trend"), direction("detections").alias("detections_trend"))
     overall = F.when(F.col("weeks") < 2, "INSUFFICIENT_DATA").when(F.col("alerts_trend") == "INCREASING", "DEGRADING").when((F.col("alerts_trend") == "DECREASING") & (F.col("detections_trend") == "STABLE"), "IMPROVING").otherwise("STABLE")
-    return out.withColumn("overall_trend", overall)
+    out = out.withColumn("overall_trend", overall)
+    # what isn't known well enough is advised as what is stable
+    said = F.array(*map(F.lit, fixed.TREND_ADVICE["STABLE"]))
+    for name, texts in fixed.TREND_ADVICE.items():
+        said = F.when(F.col("overall_trend") == name, F.array(*map(F.lit, texts))).otherwise(said)
+    more = F.when(F.col("alerts_trend") == "INCREASING", F.array(F.lit(fixed.INCREASE_ADVICE))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("recommendations", F.array_join(F.concat(said, more), " "))
 
 
 def route(stage1: DataFrame, stage2: DataFrame, key: str, threshold: float = 0.55) -> DataFrame:

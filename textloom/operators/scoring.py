@@ -34,6 +34,34 @@ def industry_score(base: Column, prevalence: Column, strict: Column, prohibited:
     return F.struct(F.round(score, 2).alias("score"), F.array_join(notes, ",").alias("adjustments"))
 
 
+def industry_reasoning(industry: Column, base: Column, prevalence: Column, category: Column, strict: Column, prohibited: Column) -> Column:
+    """What ``industry_score`` did, in words. ``prohibited``: the terms found, null or empty for none. Prevalence is told in whole percent, halves up.
+
+    Nulls: an unknown prevalence gives no sentence; an unknown ``industry`` is called so.
+    """
+    say, name = fixed.INDUSTRY_REASONS, F.coalesce(industry, F.lit("Unknown industry"))
+    percent = F.floor(prevalence * 100 + 0.5)
+    any_term = F.size(F.coalesce(prohibited, F.array().cast("array<string>"))) > 0
+    raw = base * F.when(prevalence >= 0.70, 0.5).when(prevalence < 0.30, 1.3).otherwise(1.0) * F.when(strict, 1.5).otherwise(1.0) * F.when(any_term, 1.5).otherwise(1.0)
+    parts = F.array(
+        F.format_string(say["industry"], name),
+        F.when(prevalence >= 0.70, F.format_string(say["common"], name, percent)).when(prevalence < 0.30, F.format_string(say["rare"], name, percent)),
+        F.when(strict, F.format_string(say["strict"], category, name)),
+        F.when(any_term, F.format_string(say["prohibited"], name, F.array_join(F.slice(prohibited, 1, 3), ", "))),
+        F.when(raw > 10, F.lit(say["capped"])),
+    )
+    return F.concat(F.array_join(F.array_compact(parts), ". "), F.lit("."))
+
+
+def service_reason(classification: Column, category: Column, service: Column) -> Column:
+    """Why ``service_decision`` kept or dropped an indicator; a null category or service reads ``unknown``."""
+    what, where = F.coalesce(category, F.lit("unknown")), F.coalesce(service, F.lit("unknown"))
+    out = F.format_string(fixed.SERVICE_UNKNOWN, where)
+    for name, text in fixed.SERVICE_REASONS.items():
+        out = F.when(classification == name, F.format_string(text, what, where)).otherwise(out)
+    return out
+
+
 def service_decision(category: Column, expected: Column, alarming: Column, disclosure: Column, clear: Column, known: Column) -> Column:
     """Keep or drop an indicator for its service: alarming, expected with or without disclosure, expected, or neutral."""
     is_alarming, is_expected, needs = (fuzzy_member(category, c) for c in (alarming, expected, disclosure))
@@ -115,6 +143,12 @@ def compounds(found: DataFrame, components: DataFrame, key: str = "document_id")
     return full.withColumn("confidence", confidence).withColumn("combined_score", score).drop("_have", "_need")
 
 
+def match_details(matches: DataFrame, rows: DataFrame, item: str = "anomaly_id", severity: str = "severity", text: str = "clause_text", most: int = 150) -> DataFrame:
+    """``matches`` of ``component_matches`` with the severity and the first ``most`` characters of each item's text (null: empty)."""
+    own = rows.select(item, F.col(severity).alias("severity"), F.concat(F.left(F.coalesce(text, F.lit("")), F.lit(most)), F.lit("...")).alias("text"))
+    return matches.join(own, item)
+
+
 def component_matches(found: DataFrame, matched: DataFrame, components: DataFrame, key: str = "document_id", item: str = "anomaly_id") -> DataFrame:
     """Anomalies that hold a component of a matched pattern, with the indicators they share."""
     return (

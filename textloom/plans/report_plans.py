@@ -10,6 +10,7 @@ from textloom.operators import reports as R
 from textloom.plans.common import Plans, table
 from textloom.plans.scoring_plans import ANOMALIES, anomalies
 from textloom.plans.text_plans import COMMON_WORDS
+from textloom.rules import fixed
 
 
 def docs(s, d):
@@ -257,7 +258,8 @@ SELECT count(*) AS documents, round(max(risk) - min(risk), 6) AS risk_range, max
         h38,
         f"""WITH {_WEEK}, m AS (SELECT count(*) AS weeks, avg(alerts_per_document) FILTER (week <= 3) AS a1, avg(alerts_per_document) FILTER (week > 3) AS a2, avg(detections) FILTER (week <= 3) AS d1, avg(detections) FILTER (week > 3) AS d2 FROM wt),
 t AS (SELECT weeks, {_TREND.format(a='a1', b='a2')} AS alerts_trend, {_TREND.format(a='d1', b='d2')} AS detections_trend FROM m)
-SELECT *, CASE WHEN alerts_trend = 'INCREASING' THEN 'DEGRADING' WHEN alerts_trend = 'DECREASING' AND detections_trend = 'STABLE' THEN 'IMPROVING' ELSE 'STABLE' END AS overall_trend FROM t""",
+SELECT *, CASE WHEN alerts_trend = 'INCREASING' THEN 'DEGRADING' WHEN alerts_trend = 'DECREASING' AND detections_trend = 'STABLE' THEN 'IMPROVING' ELSE 'STABLE' END AS overall_trend,
+CASE WHEN alerts_trend = 'INCREASING' THEN '{" ".join(fixed.TREND_ADVICE["DEGRADING"])} {fixed.INCREASE_ADVICE}' WHEN alerts_trend = 'DECREASING' AND detections_trend = 'STABLE' THEN '{" ".join(fixed.TREND_ADVICE["IMPROVING"])}' ELSE '{fixed.TREND_ADVICE["STABLE"][0]}' END AS recommendations FROM t""",
     ),
     "h39_result_reuse": (
         h39,

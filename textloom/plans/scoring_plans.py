@@ -47,14 +47,17 @@ def h1(s, d):
 def h3(s, d):
     a = anomalies(s, d)
     own = S.industry_score(F.when(F.col("severity") == "high", 8.0).otherwise(5.0), F.col("confidence"), F.col("category") < 2, F.col("indicator") == "i3")
-    return a.select("anomaly_id", own.alias("x")).select("anomaly_id", F.col("x.score").alias("score"), F.col("x.adjustments").alias("adjustments"))
+    terms = F.when(F.col("indicator") == "i3", F.array("indicator", "severity"))
+    said = S.industry_reasoning(F.concat(F.lit("industry "), "category"), F.when(F.col("severity") == "high", 8.0).otherwise(5.0), F.col("confidence"), F.col("indicator"), F.col("category") < 2, terms)
+    return a.select("anomaly_id", own.alias("x"), said.alias("reasoning")).select("anomaly_id", F.col("x.score").alias("score"), F.col("x.adjustments").alias("adjustments"), "reasoning")
 
 
 def h4(s, d):
     a = anomalies(s, d)
     arr = lambda *x: F.array(*map(F.lit, x))
     own = S.service_decision(F.col("indicator"), arr("i1", "i2-x", "i9"), arr("i3", "pre_i4"), arr("i2_x"), F.col("confidence") > 0.5, F.col("document_id") % 10 != 0)
-    return a.select("anomaly_id", own.alias("x")).select("anomaly_id", "x.*")
+    out = a.select("anomaly_id", "indicator", "severity", own.alias("x")).select("anomaly_id", "indicator", "severity", "x.*")
+    return out.withColumn("reason", S.service_reason(F.col("classification"), F.col("indicator"), F.col("severity"))).drop("indicator", "severity")
 
 
 def h5(s, d):
@@ -182,12 +185,17 @@ CASE WHEN hi > 0 THEN 'high' WHEN md > 0 THEN 'medium' WHEN confidence < 0.30 TH
     "h03_industry_modifier": (
         h3,
         f"""WITH {ANOMALIES} SELECT anomaly_id, round(least(CASE severity WHEN 'high' THEN 8.0 ELSE 5.0 END * CASE WHEN confidence >= 0.70 THEN 0.5 WHEN confidence < 0.30 THEN 1.3 ELSE 1.0 END * CASE WHEN category < 2 THEN 1.5 ELSE 1.0 END * CASE WHEN indicator = 'i3' THEN 1.5 ELSE 1.0 END, 10.0)::DOUBLE, 2) AS score,
-concat_ws(',', CASE WHEN confidence >= 0.70 THEN 'common' END, CASE WHEN confidence < 0.30 THEN 'rare' END, CASE WHEN category < 2 THEN 'strict' END, CASE WHEN indicator = 'i3' THEN 'prohibited' END) AS adjustments FROM a""",
+concat_ws(',', CASE WHEN confidence >= 0.70 THEN 'common' END, CASE WHEN confidence < 0.30 THEN 'rare' END, CASE WHEN category < 2 THEN 'strict' END, CASE WHEN indicator = 'i3' THEN 'prohibited' END) AS adjustments,
+concat_ws('. ', printf('{fixed.INDUSTRY_REASONS["industry"]}', 'industry ' || category), CASE WHEN confidence >= 0.70 THEN printf('{fixed.INDUSTRY_REASONS["common"]}', 'industry ' || category, CAST(floor(confidence * 100 + 0.5) AS INT)) END,
+  CASE WHEN confidence < 0.30 THEN printf('{fixed.INDUSTRY_REASONS["rare"]}', 'industry ' || category, CAST(floor(confidence * 100 + 0.5) AS INT)) END, CASE WHEN category < 2 THEN printf('{fixed.INDUSTRY_REASONS["strict"]}', indicator, 'industry ' || category) END,
+  CASE WHEN indicator = 'i3' THEN printf('{fixed.INDUSTRY_REASONS["prohibited"]}', 'industry ' || category, 'i3, ' || severity) END,
+  CASE WHEN CASE severity WHEN 'high' THEN 8.0 ELSE 5.0 END * CASE WHEN confidence >= 0.70 THEN 0.5 WHEN confidence < 0.30 THEN 1.3 ELSE 1.0 END * CASE WHEN category < 2 THEN 1.5 ELSE 1.0 END * CASE WHEN indicator = 'i3' THEN 1.5 ELSE 1.0 END > 10 THEN '{fixed.INDUSTRY_REASONS["capped"]}' END) || '.' AS reasoning FROM a""",
     ),
     "h04_service_context": (
         h4,
-        f"""WITH {ANOMALIES}, c AS (SELECT anomaly_id, CASE WHEN document_id % 10 = 0 THEN 'unknown_service' WHEN indicator IN ('i3', 'i4') THEN 'alarming' WHEN indicator = 'i2' AND confidence > 0.5 THEN 'expected_disclosed' WHEN indicator = 'i2' THEN 'expected_unclear' WHEN indicator IN ('i1', 'i9') THEN 'expected' ELSE 'neutral' END AS classification FROM a)
-SELECT anomaly_id, classification NOT IN ('expected', 'expected_disclosed') AS keep, CASE classification WHEN 'alarming' THEN 0.1 WHEN 'expected' THEN 0.9 WHEN 'expected_disclosed' THEN 0.9 ELSE 0.5 END::DOUBLE AS context_confidence, classification FROM c""",
+        f"""WITH {ANOMALIES}, c AS (SELECT anomaly_id, indicator, severity, CASE WHEN document_id % 10 = 0 THEN 'unknown_service' WHEN indicator IN ('i3', 'i4') THEN 'alarming' WHEN indicator = 'i2' AND confidence > 0.5 THEN 'expected_disclosed' WHEN indicator = 'i2' THEN 'expected_unclear' WHEN indicator IN ('i1', 'i9') THEN 'expected' ELSE 'neutral' END AS classification FROM a)
+SELECT anomaly_id, classification NOT IN ('expected', 'expected_disclosed') AS keep, CASE classification WHEN 'alarming' THEN 0.1 WHEN 'expected' THEN 0.9 WHEN 'expected_disclosed' THEN 0.9 ELSE 0.5 END::DOUBLE AS context_confidence, classification,
+CASE classification {" ".join(f"WHEN '{k}' THEN printf('{v}', indicator, severity)" for k, v in fixed.SERVICE_REASONS.items())} ELSE printf('{fixed.SERVICE_UNKNOWN}', severity) END AS reason FROM c""",
     ),
     "g09_h05_h07_temporal": (
         h5,

@@ -12,6 +12,7 @@ from textloom.plans.scoring_plans import ANOMALIES, anomalies
 from textloom.plans.structure_plans import _CLAUSES, DOTS, HEADS, PARTS, RULE_SCHEMA, RULES, _found_sql
 from textloom.session import shared_dir
 from textloom.sources import corpus as C
+from textloom.sources import versions
 from textloom.streaming import jobs as J
 from textloom.streaming import state
 
@@ -61,6 +62,19 @@ def a8(s, d):
     return C.replace_rows(a, new, "document_id").groupBy("document_id").agg(F.count("*").alias("anomalies"), F.count_if(F.col("severity") == "high").alias("high"))
 
 
+def a7_store(s, d):
+    """Documents with their chunks and anomalies on disk: anomalies of some replaced, some documents deleted from all tables; rows of the last version by document."""
+    store = shared_dir(s, "versions")
+    own = anomalies(s, d).select("anomaly_id", F.col("document_id").alias("doc_id"), "severity")
+    docs = table(s, d, "documents").select("doc_id", "lang")
+    versions.create(s, store, {"documents": docs, "chunks": _vectors(s, d), "anomalies": own}, "doc_id")
+    versions.replace(s, store, {"anomalies": own.filter("doc_id % 4 = 0 AND anomaly_id % 2 = 0").withColumn("severity", F.lit("new"))})
+    versions.delete(s, store, docs.filter("doc_id % 3 = 1").select("doc_id"))
+    parts = [versions.read(s, store, name).groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("table", F.lit(name)) for name in ("documents", "chunks")]
+    last = versions.read(s, store, "anomalies").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "new").alias("replaced"))
+    return last.withColumn("table", F.lit("anomalies")).unionByName(parts[0].unionByName(parts[1]), allowMissingColumns=True)
+
+
 def a15(s, d):
     base = table(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("note"))
     extracted = base.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit("x")).alias("kind"))
@@ -171,6 +185,14 @@ PLANS: Plans = {
     "a06_vector_upsert": (a6, f"WITH {_CHUNK} SELECT chunk_key, doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN 'rewritten' ELSE text END) AS text_md5, namespace FROM v"),
     "a07_g04_delete": (a7, f"WITH {_CHUNK} SELECT chunk_key FROM v WHERE doc_id % 3 <> 1"),
     "a08_replace": (a8, f"WITH {ANOMALIES}, r AS (SELECT document_id, anomaly_id, severity FROM a WHERE document_id NOT IN (SELECT document_id FROM a WHERE document_id % 4 = 0 AND anomaly_id % 2 = 0) UNION ALL SELECT document_id, anomaly_id, 'high' FROM a WHERE document_id % 4 = 0 AND anomaly_id % 2 = 0) SELECT document_id, count(*) AS anomalies, count(*) FILTER (severity = 'high') AS high FROM r GROUP BY document_id"),
+    "a07_a08_versioned_tables": (
+        a7_store,
+        f"""WITH {_CHUNK}, {ANOMALIES}, gone AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 1), e AS (SELECT document_id AS doc_id, anomaly_id, document_id % 4 = 0 AND anomaly_id % 2 = 0 AS new FROM a),
+l AS (SELECT * FROM e WHERE new OR doc_id NOT IN (SELECT doc_id FROM e WHERE new))
+SELECT 'documents' AS "table", doc_id, count(*) AS n, NULL AS replaced FROM documents WHERE doc_id NOT IN (FROM gone) GROUP BY doc_id
+UNION ALL SELECT 'chunks', doc_id, count(*), NULL FROM v WHERE doc_id NOT IN (FROM gone) GROUP BY doc_id
+UNION ALL SELECT 'anomalies', doc_id, count(*), count(*) FILTER (new) FROM l WHERE doc_id NOT IN (FROM gone) GROUP BY doc_id""",
+    ),
     "a15_metadata_merge": (a15, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'x' END ELSE o_orderstatus END AS kind, o_orderpriority AS note FROM orders"),
     "k01_recalibration_stream": (
         k1,

@@ -8,6 +8,7 @@ from textloom.functions.text import risk_level
 from textloom.operators import matching as M
 from textloom.operators import structure as S
 from textloom.plans.common import Plans, rows, table
+from textloom.rules import fixed
 
 #: Lines of the given documents carry no numbers: sections and clauses begin at words that lines do begin with.
 HEADS = ("^(The) (.+)", "^(In|On|De|En|Die|La) ([^\\n]+)", "^([A-Z][a-z]) (.+)")
@@ -232,7 +233,7 @@ SELECT doc_id, coalesce(document_type, 'other') AS document_type, round(coalesce
     "d16_required_terms": (
         d16,
         f"""WITH r AS (SELECT * FROM (VALUES {', '.join(map(str, TERMS))}) t(lang, term)), j AS (SELECT doc_id, d.lang, term, contains(lower(text), replace(term, '_', ' ')) AS has FROM documents d LEFT JOIN r ON d.lang = r.lang)
-SELECT doc_id, lang, coalesce(string_agg(term, ',' ORDER BY term) FILTER (has), '') AS found, coalesce(string_agg(term, ',' ORDER BY term) FILTER (NOT has), '') AS missing, round(coalesce(avg(CAST(has AS DOUBLE)), 1.0), 6) AS compliance, count(*) FILTER (NOT has) = 0 AS compliant FROM j GROUP BY doc_id, lang""",
+SELECT doc_id, lang, coalesce(string_agg(term, ',' ORDER BY term) FILTER (has), '') AS found, coalesce(string_agg(term, ',' ORDER BY term) FILTER (NOT has), '') AS missing, round(coalesce(avg(CAST(has AS DOUBLE)), 1.0), 6) AS compliance, count(*) FILTER (NOT has) = 0 AS compliant, coalesce(string_agg(printf('{fixed.MISSING_ADVICE}', replace(term, '_', ' '), lang), '; ' ORDER BY replace(term, '_', ' ')) FILTER (NOT has), '') AS recommendations FROM j GROUP BY doc_id, lang""",
     ),
     "d17_d18_prohibited_expected": (
         d17,

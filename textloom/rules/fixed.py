@@ -60,6 +60,36 @@ DECAY_TIERS = (
     (61, 90, 1.5, "Recent change, increased scrutiny"),
     (91, None, 1.0, "Standard scrutiny"),
 )
+# --- fixed values: reasons of a score's adjustments by industry, prevalence, category and terms
+INDUSTRY_REASONS = {
+    "industry": "Industry: %s",
+    "common": "Common practice in %s (found in %d%% of baseline) - reduced severity",
+    "rare": "Unusual for %s (found in only %d%% of baseline) - increased severity",
+    "strict": "%s is a high-priority concern for %s",
+    "prohibited": "Contains terms alarming for %s: %s",
+    "capped": "Score capped at maximum (10.0)",
+}
+# --- fixed values: reasons of a service's decisions; the category, then the service
+SERVICE_REASONS = {
+    "alarming": 'Category "%s" is alarming for %s services. This practice is concerning and should be flagged.',
+    "expected_disclosed": 'Category "%s" is expected for %s services and has clear disclosure. This is a standard practice.',
+    "expected_unclear": 'Category "%s" is expected for %s services but lacks clear disclosure. Should be more transparent.',
+    "expected": 'Category "%s" is expected for %s services. This is a standard practice.',
+    "neutral": 'Category "%s" is neither expected nor alarming for %s services. Keeping for manual review.',
+}
+SERVICE_UNKNOWN = 'Unknown service type "%s", keeping anomaly for manual review'
+# --- fixed values: advice by the direction of a trend, and where alerts increase; on required terms that are missing
+TREND_ADVICE = {
+    "DEGRADING": (
+        "Performance is degrading. Review recent changes to detection rules.",
+        "Consider retraining confidence calibrator with recent feedback.",
+        "Check for changes in document types or industries being analyzed.",
+    ),
+    "IMPROVING": ("Performance is improving. Continue current approach.", "Consider documenting successful practices for future reference."),
+    "STABLE": ("Performance is stable. Continue monitoring.",),
+}
+INCREASE_ADVICE = "Alert volume is increasing. Review alert ranking thresholds."
+MISSING_ADVICE = "Consider adding %s clause for %s compliance"
 # --- fixed values: severities
 SEVERITY_BASE = {"high": 8.0, "medium": 5.0, "low": 3.0}
 SEVERITY_WEIGHT = {"low": 1.0, "medium": 2.0, "high": 3.0, "critical": 4.0}
