@@ -95,7 +95,7 @@ def b9(s, d):
 
 
 def b14(s, d):
-    return table(s, d, "documents").select("doc_id", X.file_size(F.length("text") * F.length("text")).alias("size"), X.percentage(F.col("doc_id") % 8 / 8.0).alias("share"))
+    return table(s, d, "documents").select("doc_id", X.file_size(F.length("text").cast("double") * F.length("text")).alias("size"), X.percentage(F.col("doc_id") % 8 / 8.0).alias("share"))
 
 
 def b19(s, d):
