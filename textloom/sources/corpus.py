@@ -9,6 +9,8 @@ from textloom.functions.text import file_name
 
 #: Blocks of a page that hold no text of its own.
 BLOCKS = ("script", "style", "nav", "header", "footer")
+#: Unicode's space separators, as SQL's TRIM takes them.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -31,12 +33,12 @@ def html_text(html: Column | str) -> Column:
     """Lines of a page's text: no blocks, tags or blank parts."""
     out = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
     for tag in BLOCKS:
-        out = F.regexp_replace(out, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
+        out = F.regexp_replace(out, f"(?isu)<{tag}[^>]*>.*?</{tag}>", "")
     out = F.regexp_replace(out, "(?s)<[^>]+>", "")
     for name, value in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(value))
-    parts = F.flatten(F.transform(F.split(out, "\n", -1), lambda line: F.split(F.trim(line), "  ", -1)))
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), "\n")
+    parts = F.flatten(F.transform(F.split(out, "\n", -1), lambda line: F.split(F.trim(line, F.lit(SPACES)), "  ", -1)))
+    return F.array_join(F.filter(F.transform(parts, lambda part: F.trim(part, F.lit(SPACES))), lambda x: x != ""), "\n")
 
 
 def pages_text(pages: DataFrame, least: int = 500) -> DataFrame:
