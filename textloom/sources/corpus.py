@@ -14,11 +14,22 @@ SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+def _place(path: str) -> Column:
+    """A path's URI with one slash after its scheme, as some of Spark's lists have one and others three."""
+    return F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+
+
 def read_corpus(spark: SparkSession, folder: str, categories: list[str] | None = None) -> DataFrame:
-    """``path``, ``file_name``, ``category`` (parent folder), ``text`` of every text file below a folder."""
+    """``path``, ``file_name``, ``category`` (parent folder), ``text`` of every text file below a folder.
+
+    Spark's readers give no row for a file without a byte, so the list of files that they read by is joined.
+    """
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    own = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
-    out = own.withColumn("category", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
+    own = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("_at", _place("path"))
+    listed = spark.createDataFrame([(f,) for f in rows.inputFiles()], "listed string").withColumn("_at", _place("listed"))
+    name = F.url_decode(F.replace(F.regexp_extract("path", "([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    out = listed.join(own, "_at", "left").select(F.coalesce("path", "listed").alias("path"), "text").select("path", name.alias("file_name"), F.coalesce("text", F.lit("")).alias("text"))
+    out = out.withColumn("category", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
     return out.filter(F.col("category").isin(*categories)) if categories else out
 
 
