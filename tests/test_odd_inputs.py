@@ -1,8 +1,10 @@
-"""Queries against their SQL on hand-made tables of odd rows."""
+"""Queries against their SQL on hand-made tables of odd rows, and comparisons against brute force."""
 
 import duckdb
+import numpy as np
 
 from textloom import registry
+from textloom.operators import vectors as V
 from textloom.sources import corpus as C
 
 WORDS = "word " * 120
@@ -41,3 +43,37 @@ def test_names_of_corpus_files(spark, tmp_path):
     for k, name in enumerate(names):
         (tmp_path / "c 0" / name).write_text("x" * (k % 2))
     assert sorted((r["file_name"], r["text"]) for r in C.read_corpus(spark, f"file://{tmp_path}").collect()) == sorted((n, "x" * (k % 2)) for k, n in enumerate(names))
+
+
+def test_one_pass_over_blocks(spark):
+    """The groups of one pass, whatever the blocks, with chains, copies, zeros and ids of any order."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 3)).round(1)
+    x[50:60], x[60:70], x[5] = 0, x[70:80], x[6]
+    keys = rng.permutation(4_000)[:400]
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(keys, x)], "vec_id long, embedding array<double>").repartition(5)
+    starts, expected = [], {}
+    for k in np.argsort(keys):
+        near = [s for s in starts if x[k].any() and round(x[k] @ x[s] / np.sqrt((x[k] @ x[k]) * (x[s] @ x[s])), 9) >= 0.95]
+        expected[int(keys[k])] = int(keys[near[0] if near else k])
+        starts += [] if near or not x[k].any() else [k]
+    assert 3 < len(set(expected.values())) < 390
+    for block in (7, 100, 1_000):
+        assert {r["vec_id"]: r["group_id"] for r in V.greedy_similar(rows, 0.95, block=block).collect()} == expected
+
+
+def test_heads_tell_no_pair_apart():
+    """Pairs found by heads are those of all cosines, for vectors near a few directions, isotropic ones and at the threshold."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((9, 64))
+    for noise in (0.2, 0.5, 5.0):
+        x = centres[rng.integers(0, 9, 3_000)] + noise * rng.standard_normal((3_000, 64))
+        x[100:200] = 3 * x[:100]
+        unit = x / np.sqrt((x**2).sum(axis=1))[:, None]
+        for threshold in (0.95, 0.55):
+            ready = V._ready(x, V._directions(x[::3], threshold))
+            found = np.zeros((3_000, 3_000), bool)
+            for i, j in V._near(ready, ready, threshold):
+                assert not found[i, j].any()
+                found[i, j] = True
+            assert (found == (np.round(unit @ unit.T, 9) >= threshold)).all()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import vectors as V
 from textloom.plans.common import Plans, table
+from textloom.session import cut
 
 
 def emb(s, d):
@@ -105,28 +106,31 @@ def _rounded(own):
 
 
 def _texts(s, d):
-    """Documents as rows to group: hashed vectors, source for section, language for category."""
+    """Documents as rows to group: source for section, language for category."""
     docs = table(s, d, "documents")
     severity = F.element_at(F.array(*map(F.lit, V.SEVERITIES)), (F.col("doc_id") % 3 + 1).cast("int"))
-    own = docs.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("section"), F.coalesce("lang", F.lit("none")).alias("category"), (F.col("doc_id") % 10 / 10.0).alias("confidence"), severity.alias("severity"), "text")
-    return own, V.hashed_vectors(docs).withColumnRenamed("doc_id", "vec_id")
+    return docs.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("section"), F.coalesce("lang", F.lit("none")).alias("category"), (F.col("doc_id") % 10 / 10.0).alias("confidence"), severity.alias("severity"), "text")
+
+
+def _hashed(s, d):
+    """Hashed vectors of documents, made once."""
+    return cut(V.hashed_vectors(table(s, d, "documents")).withColumnRenamed("doc_id", "vec_id"))
 
 
 def e12_documents(s, d):
     """Documents of 0.95 cosine and more in connected groups."""
-    _, v = _texts(s, d)
+    v = _hashed(s, d)
     return V.groups(v, V.similar_links(v, 0.95))
 
 
 def e12_greedy(s, d):
     """Documents in groups as one pass in order of their ids makes them."""
-    _, v = _texts(s, d)
+    v = _hashed(s, d)
     return V.greedy_similar(v, 0.95)
 
 
 def e13_consolidated(s, d):
-    own, v = _texts(s, d)
-    return V.consolidated(e12_greedy(s, d).join(own, "vec_id")).withColumn("confidence", F.round("confidence", 6))
+    return V.consolidated(e12_greedy(s, d).join(_texts(s, d), "vec_id")).withColumn("confidence", F.round("confidence", 6))
 
 
 def e14_clusters(s, d):
@@ -136,13 +140,12 @@ def e14_clusters(s, d):
 
 def e14_core(s, d):
     """Documents in density clusters by core points."""
-    _, v = _texts(s, d)
+    v = _hashed(s, d)
     return V.core_clusters(v, 0.95, 3)
 
 
 def e15_report(s, d):
-    own, _ = _texts(s, d)
-    found = V.cluster_report(e14_clusters(s, d).join(own, "vec_id"))
+    found = V.cluster_report(e14_clusters(s, d).join(_texts(s, d), "vec_id"))
     return found.withColumn("average_confidence", F.round("average_confidence", 6)).withColumn("consolidated_text", F.md5("consolidated_text"))
 
 
