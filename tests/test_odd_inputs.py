@@ -77,3 +77,20 @@ def test_heads_tell_no_pair_apart():
                 assert not found[i, j].any()
                 found[i, j] = True
             assert (found == (np.round(unit @ unit.T, 9) >= threshold)).all()
+
+
+def test_top_k_against_all(spark):
+    """The best of each query by score, then id, with copies, zeros and columns that must agree, whatever the blocks."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3_000, 8))
+    x[1_000:1_200], x[5], x[1_500:2_900] = x[0], 0, x[1_500] + 0.01 * x[1_500:2_900]
+    unit = np.divide(x, np.sqrt((x**2).sum(1, keepdims=True)), out=np.zeros_like(x), where=x.any(1, keepdims=True))
+    base = spark.createDataFrame([(k, k % 3, v.tolist()) for k, v in enumerate(x)], "vec_id long, g long, embedding array<double>").repartition(2)
+    queries = base.filter("vec_id % 20 = 0 OR vec_id = 5").withColumnRenamed("vec_id", "query_id")
+    score = np.round(unit @ unit.T, 9)
+    for equal, block in (((), 2_000), (("g",), 60)):
+        found = {(r["query_id"], r["place"]): (r["vec_id"], r["score"]) for r in V.top_k(queries, base, 4, equal=equal, block=block).collect()}
+        for q in [*range(0, 3_000, 20), 5]:
+            some = [k for k in range(3_000) if not equal or k % 3 == q % 3]
+            best = sorted(some, key=lambda k: (-score[q, k], k))[:4]
+            assert [found[q, p + 1] for p in range(4)] == [(k, score[q, k]) for k in best]
