@@ -717,6 +717,22 @@ def test_trust_on_a_graph_of_some_hundred_hosts(spark):
     assert {r["host"]: r["score"] for r in got if r["score"]} == {h: pytest.approx(v, rel=1e-4, abs=1e-7) for h, v in expected.items()}
 
 
+def test_rounds_take_as_many_tasks_as_their_edges_need(spark):
+    """Every task of every round writes files: 211 tasks for two edges filled the disk."""
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double").coalesce(1)
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, mass double").coalesce(1)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = url_filter.propagate(edges, seeds)
+        assert found.rdd.getNumPartitions() == 1
+        assert {r["host"]: r["score"] for r in found.collect()} == {h: pytest.approx(v, rel=1e-4) for h, v in power_iteration([("a", "b", 1.0), ("b", "a", 1.0)], {"a": 1.0}).items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_edges_between_hosts_and_their_domains(spark):
     rows = [(1, "http://a.b.x.net/1", '<a href="//q.net/">'), (2, "http://b.x.net/", None), (3, "http://x.net/", ""), (4, None, "<a href=//z.net>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

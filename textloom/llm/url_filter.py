@@ -18,6 +18,8 @@ RULES = (
 DAMPING, RATIO = 0.85, 1.0
 #: Share of the seeds' mass that may still be on its way when scores count as settled, rounds until that is an error, and rounds in one job.
 TOLERANCE, MOST_ROUNDS, STEP = 1e-6, 10_000, 8
+#: Edges that a task takes at least, if there are fewer than that for each shuffle partition.
+TASK_EDGES = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links to other hosts in a page.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -76,7 +78,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     every round adds the walks one edge longer. Rounds go on until the walks still to come
     hold less than ``tolerance`` of the mass and no new host was reached; over
     ``most_rounds`` of them are an error. A round is a join and a sum by host over
-    pre-aggregated edges; a checkpoint cuts the plan every few rounds.
+    pre-aggregated edges, in as many tasks as the edges need, since every task of every
+    round writes a file; a checkpoint cuts the plan every few rounds.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(edges.join(total, "src").select("src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
@@ -86,6 +89,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     # an edge from each host to itself carries the sum so far, so that a round reads the state once
     ends = share.select(F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select(F.col("host").alias("src"))).distinct()
     moves = cut(share.withColumn("keep", F.lit(False)).unionByName(ends.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("keep"))))
+    tasks = -(-moves.count() // TASK_EDGES)
+    sized = lambda df: df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    moves = sized(moves)
     state = seeds.groupBy("host").agg(F.sum("mass").alias("walk")).select("host", "walk", F.col("walk").alias("sum"))
     reached = 0
     for _ in range(0, most_rounds, STEP):
@@ -93,7 +99,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             sent = state.join(moves, state["host"] == moves["src"]).filter("keep OR walk > 0")
             walk, kept = F.when(F.col("keep"), 0.0).otherwise(F.col("walk") * F.col("share")), F.when(F.col("keep"), F.col("sum")).otherwise(0.0)
             new = sent.groupBy(F.col("dst").alias("host")).agg(F.sum(walk).alias("walk"), F.sum(kept).alias("before"))
-            state = new.select("host", "walk", (F.col("before") + F.col("walk")).alias("sum"))
+            state = sized(new.select("host", "walk", (F.col("before") + F.col("walk")).alias("sum")))
         state = cut(state)
         hosts, left, whole = state.agg(F.count("*"), F.sum("walk"), F.sum("sum")).first()
         if hosts == reached and left * damping <= tolerance * (1 - damping) * whole:
