@@ -45,6 +45,26 @@ def test_ranges_by_bins(spark):
     assert not scoring.in_ranges(rows, table.limit(0), "v", "low", "high", 1.0).collect()
 
 
+def test_totals_of_ranges_without_their_pairs(spark):
+    rng = random.Random(3)
+    values = [(k, rng.choice([rng.uniform(-50, 50), float(rng.randrange(-9, 9)), -0.0])) for k in range(300)] + [(900, None)]
+    ranges = [(k, low := float(rng.randrange(-60, 60)), rng.choice([low, low + 3, low + 40, low - 1, None])) for k in range(80)] + [(99, None, 3.0), (98, -1e9, 1e9), (97, 70.0, None)]
+    rows = spark.createDataFrame(values, "n long, v double").repartition(3)
+    table = spark.createDataFrame(ranges, "r long, low double, high double").repartition(3)
+    expected = {r: own for r, low, high in ranges if low is not None and (own := [n for n, v in values if v is not None and v >= low and (high is None or v <= high)])}
+    got = scoring.range_totals(rows, table, "v", "low", "high", "r", "n").collect()
+    assert sorted(map(tuple, got)) == sorted((r, len(own), min(own), max(own)) for r, own in expected.items())
+    assert not scoring.range_totals(rows, table.limit(0), "v", "low", "high", "r", "n").collect()
+    assert not scoring.range_totals(rows.limit(0), table, "v", "low", "high", "r", "n").collect()
+
+
+def test_more_open_ranges_than_a_rule_table_holds(spark):
+    rows = spark.range(1000).select(F.col("id").alias("n"), F.col("id").cast("double").alias("v"))
+    table = spark.range(12_000).select(F.col("id").alias("r"), (F.col("id") % 1000).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    got = scoring.range_totals(rows, table, "v", "low", "high", "r", "n")
+    assert got.count() == 12_000 and not got.filter("rows != 1000 - r % 1000 OR first != r % 1000 OR last != 999").count()
+
+
 def test_pages_make_the_whole_list(spark):
     rng = random.Random(2)
     rows = spark.createDataFrame([(k, rng.randrange(6), rng.choice("ab")) for k in range(57)], "n long, score int, kind string").repartition(4)

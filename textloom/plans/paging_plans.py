@@ -31,8 +31,8 @@ def pages(s, d):
 def balances(s, d):
     """Customers whose balance lies within 25 of a supplier's, for each supplier; those below zero have no upper end."""
     own = table(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 25).alias("low"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") + 25).alias("high"))
-    met = S.in_ranges(table(s, d, "customer").select("c_custkey", "c_acctbal"), own, "c_acctbal", "low", "high", 50.0)
-    return met.groupBy("s_suppkey").agg(F.count("*").alias("customers"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
+    found = S.range_totals(table(s, d, "customer"), own, "c_acctbal", "low", "high", "s_suppkey", "c_custkey")
+    return found.withColumnRenamed("rows", "customers")
 
 
 PLANS: Plans = {
