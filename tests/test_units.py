@@ -468,3 +468,25 @@ def test_forest_detection_is_the_forest(spark):
     assert set(found) <= set(stage)  # clauses without features are no outliers
     odd = {k for k, r in found.items() if r["is_outlier"]}
     assert {k for k, r in stage.items() if r["outlier_flag"]} == odd and all(stage[k]["proceed"] for k in odd)
+
+
+def test_words_and_syllables_of_many_texts_at_once(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "e", "The table are Queue rhythm tree, the-e\u00e9a 1bE", "a" * 40] + ["".join(rng.choice("aeiouyEbcT .-\u00e9\U0001f600\n1") for _ in range(rng.randrange(60))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string").coalesce(1)
+    own = X.words("text")
+    expected = {r["n"]: tuple(r)[1:] for r in rows.select("n", F.size(own), F.aggregate(own, F.lit(0), lambda a, w: a + X.syllables(w))).collect()}
+    got = rows.select("n", X.word_measures(F.col("text")).alias("m"))
+    assert {r["n"]: tuple(r["m"]) if r["m"] else None for r in got.collect()} == {n: v if texts[n] is not None else None for n, v in expected.items()}
+    plan = X.readability(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # no list of all words, no regular expression for each
+
+
+def test_outliers_shuffle_nothing(spark):
+    """The greatest standard score of a row was found by nine rows and a shuffle for each."""
+    from textloom.plans import stage_plans
+
+    own = spark.createDataFrame([(k, "Some words of a clause. " * (1 + k % 5 + 90 * (k == 7))) for k in range(60)], "anomaly_id long, clause_text string")
+    found = stage_plans.outliers(own)
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["anomaly_id"] for r in found.filter("is_outlier").collect()] == [7]
