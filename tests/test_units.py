@@ -490,3 +490,16 @@ def test_outliers_shuffle_nothing(spark):
     found = stage_plans.outliers(own)
     assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r["anomaly_id"] for r in found.filter("is_outlier").collect()] == [7]
+
+
+def test_refits_of_one_buffer_pass_through_no_single_task(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(500), k, rng.choice(["helpful", "dismissed"]), rng.random(), rng.random() < 0.6) for k in range(1000)]
+    own = spark.createDataFrame(rows, "day int, n int, user_action string, confidence double, was_correct boolean").repartition(5).withColumn("all", F.lit(0))
+    held = models.numbered(own, ["day", "n"])
+    assert [r["n"] for r in held.orderBy("_place").collect()] == [r[1] for r in sorted(rows)] and {r["_place"] for r in held.collect()} == set(range(1000))
+    found = models.refits(held, ["day", "n"], "all", 30, place="_place")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert sorted(map(str, found.collect())) == sorted(map(str, models.refits(own, ["day", "n"], "all", 30).collect())) and found.count() == 34
+    assert not models.refits(models.numbered(own.limit(0), ["n"]), ["n"], "all", 30, place="_place").collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators.models import labelled_feedback, refits
+from textloom.operators.models import labelled_feedback, numbered, refits
 from textloom.session import shared_dir
 
 
@@ -68,6 +68,7 @@ def recalibrate(feedback: DataFrame, folder: str, needed: int = 100, order: tupl
     A batch joins the rows that the last ones have left (fewer than ``needed``) with its own;
     every full generation of them is fitted (``models.refits``), and the rest is left for the
     next batch: the buffer is cleared with each generation, and no batch is read twice.
+    Places in the order are counted by parts, so no task has a whole batch.
     Results are below ``folder/models``, the rest of each batch below ``folder/buffer``.
     """
 
@@ -76,12 +77,11 @@ def recalibrate(feedback: DataFrame, folder: str, needed: int = 100, order: tupl
         own = labelled_feedback(rows).filter("is_valid").select("user_action", "confidence", "was_correct", *order)
         if batch:
             own = own.unionByName(spark.read.schema(own.schema).parquet(f"{folder}/buffer/batch={batch - 1}"))
-        held = own.withColumn("all", F.lit(0))
+        held = numbered(own.withColumn("all", F.lit(0)), list(order))
         full = held.count() // needed * needed
-        listed = held.orderBy(*order)
-        done = listed.limit(full)
-        refits(done, list(order), "all", needed).drop("all").withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/models/part={batch}")
-        listed.offset(full).drop("all").write.mode("overwrite").parquet(f"{folder}/buffer/batch={batch}")
+        done = held.filter(F.col("_place") < full)
+        refits(done, list(order), "all", needed, place="_place").drop("all").withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/models/part={batch}")
+        held.filter(F.col("_place") >= full).drop("all", "_place").write.mode("overwrite").parquet(f"{folder}/buffer/batch={batch}")
 
     run(feedback, "append", each, "recalibrate")
 
