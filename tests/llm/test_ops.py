@@ -733,6 +733,21 @@ def test_rounds_take_as_many_tasks_as_their_edges_need(spark):
             spark.conf.set(k, v)
 
 
+def test_walks_that_shrink_alike_are_summed_at_once(spark):
+    """Every round costs the driver a plan: 96 of them for each of trust and distrust took more than its memory."""
+    subs = [f"s{k}.x.net" for k in range(20)] + ["t.s0.x.net", "a.y.net", "b.y.net"]
+    rows = [(h, h.split(".", 1)[1], 1.0) for h in subs]
+    rows += [(b, a, w) for a, b, w in rows]
+    chain = [(f"c{k}.net", f"c{k + 1}.net", 1.0) for k in range(4)] + [("c4.net", "c3.net", 3.0), ("c4.net", "end.net", 0.5)]
+    edges = spark.createDataFrame(rows + chain, "src string, dst string, weight double").coalesce(1)
+    good, bad = {"s1.x.net": 3.0, "a.y.net": 1.0, "c0.net": 2.0, "lone.net": 1.0}, {"t.s0.x.net": 5.0, "end.net": 2.0}
+    seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in {**good, **bad}], "host string, good double, bad double").coalesce(1)
+    got = {r["host"]: r for r in url_filter.flows(edges, seeds, most_rounds=48).collect()}
+    for name, own, seed in (("trust", rows + chain, good), ("distrust", [(b, a, w) for a, b, w in rows + chain], bad)):
+        expected = {h: v for h, v in power_iteration(own, seed).items() if v}
+        assert {h: r[name] for h, r in got.items() if r[name]} == {h: pytest.approx(v, rel=1e-4, abs=1e-6) for h, v in expected.items()}
+
+
 def test_edges_between_hosts_and_their_domains(spark):
     rows = [(1, "http://a.b.x.net/1", '<a href="//q.net/">'), (2, "http://b.x.net/", None), (3, "http://x.net/", ""), (4, None, "<a href=//z.net>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -69,45 +69,79 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html", domains:
     return edges.unionByName(both.select("e.src", "e.dst", F.lit(1.0).alias("weight"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Personalised PageRank: ``host``, ``score``, with the total mass of ``seeds`` (``host``, ``mass``).
+def flows(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS, salts: int = 16) -> DataFrame:
+    """Personalised PageRank over edges and against them: ``host``, ``trust``, ``distrust``, with the total ``good`` and ``bad`` of ``seeds`` (``host``, ``good``, ``bad``).
 
     A host passes on ``damping`` of its score over its edges by weight and the rest flows
     from the seeds; what hosts without edges would pass on goes back to the seeds. So the
     scores are in proportion to the sum of all walks from the seeds, damped at each step:
-    every round adds the walks one edge longer. Rounds go on until the walks still to come
-    hold less than ``tolerance`` of the mass and no new host was reached; over
-    ``most_rounds`` of them are an error. A round is a join and a sum by host over
-    pre-aggregated edges, in as many tasks as the edges need, since every task of every
-    round writes a file; a checkpoint cuts the plan every few rounds.
+    every round adds the walks one edge longer, of trust along the edges and of distrust
+    against them. Rounds go on until the walks still to come hold less than ``tolerance``
+    of the mass and no new host was reached; over ``most_rounds`` of them are an error.
+
+    Walks in a linked group of hosts often come to shrink alike at all of them. If each
+    host of a group has at least ``rate`` times its walks of two rounds ago, that part goes
+    on forever and is summed as a geometric series at once; only the rest walks on, and
+    nothing of it is negative. A group's label is the least hash of its seeds, passed on in
+    the same rounds; groups that share one by chance share the smaller rate.
+
+    A round is a join and a sum by host over pre-aggregated edges, in as many tasks as the
+    edges need, since every task of every round writes a file; a checkpoint cuts the plan
+    every few rounds. Every round costs the driver a plan, so few are better.
     """
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = cut(edges.join(total, "src").select("src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
-    mass = seeds.agg(F.sum("mass")).first()[0] or 0.0
-    if mass == 0 or share.isEmpty():
-        return seeds.select("host", F.col("mass").alias("score"))
-    # an edge from each host to itself carries the sum so far, so that a round reads the state once
-    ends = share.select(F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select(F.col("host").alias("src"))).distinct()
-    moves = cut(share.withColumn("keep", F.lit(False)).unionByName(ends.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("keep"))))
+    sides = ("t", "d")
+    seeds = seeds.groupBy("host").agg(F.sum("good").alias("t"), F.sum("bad").alias("d"))
+    mass = {k: v or 0.0 for k, v in seeds.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first().asDict().items()}
+    if not any(mass.values()) or edges.isEmpty():
+        return seeds.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+    out, into = edges.groupBy("src").agg(F.sum("weight").alias("total")), edges.groupBy("dst").agg(F.sum("weight").alias("total"))
+    share = damping * F.col("weight") / F.col("total")
+    along = edges.join(out, "src").select("src", "dst", share.alias("t"), F.lit(0.0).alias("d"))
+    against = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("t"), share.alias("d"))
+    steps = along.unionByName(against).groupBy("src", "dst").agg(F.sum("t").alias("share_t"), F.sum("d").alias("share_d")).withColumn("keep", F.lit(False))
+    # an edge from each host to itself carries what it has so far, so that a round reads the state once
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select(F.col("host").alias("src"))).distinct()
+    moves = cut(steps.unionByName(ends.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share_t"), F.lit(0.0).alias("share_d"), F.lit(True).alias("keep"))))
     tasks = -(-moves.count() // TASK_EDGES)
     sized = lambda df: df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
     moves = sized(moves)
-    state = seeds.groupBy("host").agg(F.sum("mass").alias("walk")).select("host", "walk", F.col("walk").alias("sum"))
-    reached = 0
+    #: of each side: the last walks, those one and two rounds before, and the sum so far
+    blank = [F.lit(0.0).alias(f"{k}{n}") for k in sides for n in (1, 2)]
+    state = seeds.select("host", F.xxhash64("host").alias("label"), *sides, *blank, *(F.col(k).alias(f"{k}_sum") for k in sides))
+    kept = lambda c: F.sum(F.when(F.col("keep"), F.col(c)).otherwise(0.0))
     for _ in range(0, most_rounds, STEP):
         for _ in range(STEP):
-            sent = state.join(moves, state["host"] == moves["src"]).filter("keep OR walk > 0")
-            walk, kept = F.when(F.col("keep"), 0.0).otherwise(F.col("walk") * F.col("share")), F.when(F.col("keep"), F.col("sum")).otherwise(0.0)
-            new = sent.groupBy(F.col("dst").alias("host")).agg(F.sum(walk).alias("walk"), F.sum(kept).alias("before"))
-            state = sized(new.select("host", "walk", (F.col("before") + F.col("walk")).alias("sum")))
+            sent = state.join(moves, state["host"] == moves["src"])
+            walks = [F.sum(F.when(F.col("keep"), 0.0).otherwise(F.col(k) * F.col(f"share_{k}"))).alias(k) for k in sides]
+            before = [kept(c).alias(name) for k in sides for c, name in ((k, f"{k}1"), (f"{k}1", f"{k}2"), (f"{k}_sum", f"{k}_before"))]
+            new = sent.groupBy(F.col("dst").alias("host")).agg(F.min("label").alias("label"), F.max(F.when(F.col("keep"), F.col("label"))).alias("own"), *walks, *before)
+            fresh = ~F.col("label").eqNullSafe(F.col("own")) | ((F.col("t_before") == 0) & (F.col("t") > 0)) | ((F.col("d_before") == 0) & (F.col("d") > 0))
+            sums = [(F.col(f"{k}_before") + F.col(k)).alias(f"{k}_sum") for k in sides]
+            state = sized(new.select("host", "label", *(f"{k}{n}" for k in sides for n in ("", 1, 2)), *sums, fresh.alias("fresh")))
         state = cut(state)
-        hosts, left, whole = state.agg(F.count("*"), F.sum("walk"), F.sum("sum")).first()
-        if hosts == reached and left * damping <= tolerance * (1 - damping) * whole:
-            return state.select("host", (F.col("sum") * F.lit(mass / whole)).alias("score"))
-        reached = hosts
+        # a host that is n edges from the seeds gets its first walk in round n: without one in the last round, none is to come
+        whole = state.agg(F.count_if("fresh").alias("fresh")).first()["fresh"] == 0
+        if whole:
+            rates = state.groupBy("label").agg(*(F.least(F.min(F.when(F.col(f"{k}2") > 0, F.col(k) / F.col(f"{k}2"))), F.lit(damping**2)).alias(f"rate_{k}") for k in sides))
+            spread = rates.filter("rate_t > 0 OR rate_d > 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+            more = {k: F.coalesce(F.col(f"rate_{k}") / (1 - F.col(f"rate_{k}")), F.lit(0.0)) for k in sides}
+            rest = {k: F.greatest((1 + more[k]) * F.col(k) - more[k] * F.col(f"{k}2"), F.lit(0.0)).alias(k) for k in sides}
+            total = {k: (F.col(f"{k}_sum") + more[k] * (F.col(f"{k}1") + F.col(k))).alias(f"{k}_sum") for k in sides}
+            salted = state.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(salts))).join(spread, ["label", "salt"], "left")
+            state = sized(salted.select("host", "label", *rest.values(), *blank, *total.values()))
+            ends = state.agg(*(F.sum(c).alias(c) for k in sides for c in (k, f"{k}_sum"))).first()
+            if all(ends[k] * damping <= tolerance * (1 - damping) * ends[f"{k}_sum"] for k in sides):
+                score = {k: F.col(f"{k}_sum") * F.lit(mass[k] / ends[f"{k}_sum"]) if mass[k] else F.lit(0.0) for k in sides}
+                return state.filter("t_sum > 0 OR d_sum > 0").select("host", score["t"].alias("trust"), score["d"].alias("distrust"))
     raise RuntimeError(f"trust has not settled after {most_rounds} rounds")
 
 
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``flows`` of trust alone: ``host``, ``score``, with the total mass of ``seeds`` (``host``, ``mass``)."""
+    both = flows(edges, seeds.select("host", F.col("mass").alias("good"), F.lit(0.0).alias("bad")), damping, tolerance, most_rounds)
+    return both.select("host", F.col("trust").alias("score"))
+
+
 def host_verdicts(rows: DataFrame, edges: DataFrame, damping: float = DAMPING, ratio: float = RATIO, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """``host``, ``trust``, ``distrust``, ``host_verdict`` for all hosts that either reaches.
 
@@ -116,11 +150,7 @@ def host_verdicts(rows: DataFrame, edges: DataFrame, damping: float = DAMPING, r
     is blocked where distrust is above ``ratio`` times trust.
     """
     seeds = cut(rows.filter("ruling IS NOT NULL").groupBy("host").agg(F.count_if(F.col("ruling") == "allow").cast("double").alias("good"), F.count_if(F.col("ruling") == "block").cast("double").alias("bad")))
-    trust = propagate(edges, seeds.filter("good > 0").select("host", F.col("good").alias("mass")), damping, tolerance, most_rounds)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, seeds.filter("bad > 0").select("host", F.col("bad").alias("mass")), damping, tolerance, most_rounds)
-    parts = trust.select("host", F.col("score").alias("t"), F.lit(0.0).alias("d")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("score").alias("d")))
-    both = parts.groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
+    both = flows(edges, seeds, damping, tolerance, most_rounds)
     return both.withColumn("host_verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
 
 
