@@ -48,3 +48,44 @@ def test_no_rules_no_texts_and_the_limit(spark):
     assert not K.keyword_hits(texts, rules.limit(0)).collect() and not K.keyword_hits(texts.limit(0), rules).collect()
     with pytest.raises(ValueError):
         K.keyword_hits(texts, rules, most=1)
+
+
+def test_phrases_of_common_words_take_one_pass_over_each_text(spark):
+    """Each phrase whose words are far apart was looked for in the whole text by itself: its words are in nearly every text."""
+    from time import process_time
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(200)]
+    phrases = sorted({" ".join(rng.sample(words, 2)) for _ in range(4000)})
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(4000)) for _ in range(10)])
+    matcher = K.Matcher(phrases, 2)
+    start = process_time()
+    row, keyword = matcher.match(texts)
+    new = process_time() - start
+    start = process_time()
+    expected = {(i, k) for i, t in enumerate(texts.to_pylist()) for k, p in enumerate(phrases) if p in t}
+    assert set(zip(row.tolist(), keyword.tolist())) >= expected and len(expected) > 1000
+    assert new < process_time() - start
+
+
+def test_a_table_read_by_one_task_is_matched_by_many(spark):
+    texts = spark.range(400).selectExpr("id AS doc_id", "concat('a b', id) AS text").coalesce(1)
+    hits = K.keyword_hits(texts, spark.createDataFrame([("a",), ("a b",)], "keyword string"))
+    assert hits.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and hits.count() == 800
+
+
+def test_sparse_lookup_has_the_same_hits(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(20)]
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))) for _ in range(60)])
+    keywords = sorted({*words, *(" ".join(rng.sample(words, 2)) for _ in range(40))})
+    pairs = lambda: sorted(zip(*(x.tolist() for x in K.Matcher(keywords, 4).match(texts))))
+    dense = pairs()
+    monkeypatch.setattr(K, "DENSE", 0)
+    assert pairs() == dense and dense
+    monkeypatch.setattr(K, "MAX_TOKENS", 3)
+    assert pairs() == dense

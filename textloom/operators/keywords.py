@@ -2,12 +2,15 @@
 
 A keyword's words lie within tokens, so the automaton runs once for each distinct token and
 not for each text or rule. A phrase is looked at only in texts that hold its rarest word, and
-then all its words: the time follows the text and what it holds, not the number of rules.
+then all its words; those whose words aren't near each other are found in a text by a second
+automaton, once for all. The time follows the text and what it holds, not the number of rules.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +22,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from textloom.operators.matching import cleaned, indicator_rows
 
-#: Distinct keywords that are sent to all executors at most, of some 100 bytes each there.
+#: Distinct keywords that are sent to all executors at most, of some 1,000 bytes each in every Python worker.
 MAX_KEYWORDS = 1_000_000
-#: Distinct tokens whose words a task keeps, and texts that it matches at a time.
-MAX_TOKENS, TEXTS = 500_000, 500
+#: Distinct tokens whose words a task keeps, texts that it matches at a time, and tasks for each core.
+MAX_TOKENS, TEXTS, TASKS = 500_000, 500, 4
+#: Places of texts times words up to which a table says which text holds which word.
+DENSE = 32 << 20
+#: The rule pack that a Python worker has prepared, kept from task to task.
+_PREPARED: dict[str, Matcher] = {}
 SPACE = "[ \t\n\r\f\x0b]+"
 
 
@@ -33,6 +40,19 @@ def _ragged(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts[rows], n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n), own
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and each once; for integers sorting is faster than ``np.unique``, which hashes them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``values`` are among the sorted ``known``."""
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
 class Matcher:
     """Keywords prepared for matching. ``span``: tokens within which a phrase's words may be apart."""
 
@@ -66,20 +86,33 @@ class Matcher:
         self.part_at = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
         self.part = np.concatenate([np.zeros(0, np.int64), *lists])
         often = np.bincount(self.part, minlength=self.words + 1)
+        self.whole = ahocorasick.Automaton()
+        for r, k in enumerate(self.phrases.tolist()):
+            self.whole.add_word(keywords[k], r)
+        if len(self.phrases):
+            self.whole.make_automaton()
         self.bare = np.array([r for r, x in enumerate(lists) if not len(x)], np.int64)
         anchor = np.array([x[np.argmin(often[x])] if len(x) else self.words for x in lists], np.int64)
         self.anchored = np.argsort(anchor, kind="stable")
         self.anchor_at = np.searchsorted(anchor[self.anchored], np.arange(self.words + 2))
         self.tokens: dict[str, np.ndarray] = {}
 
-    def _of(self, token: str) -> np.ndarray:
-        own = self.tokens.get(token)
-        if own is None:
-            if len(self.tokens) >= MAX_TOKENS:
-                self.tokens.clear()
-            own = np.unique(np.fromiter((k for _, k in self.automaton.iter(token)), np.int64)) if self.words else np.zeros(0, np.int64)
-            self.tokens[token] = own
-        return own
+    def _words(self, tokens: list[str]) -> list[np.ndarray]:
+        """The words that each token holds. New tokens go through the automaton as one text, since no word has a space."""
+        new = [t for t in tokens if t not in self.tokens]
+        if len(self.tokens) + len(new) > MAX_TOKENS:
+            self.tokens.clear()
+            new = tokens
+        if new:
+            hits = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(" ".join(new))), np.int64).reshape(-1, 2) if self.words else np.zeros((0, 2), np.int64)
+            ends = np.cumsum([len(t) + 1 for t in new])
+            words = max(1, self.words)
+            pairs = _distinct(np.searchsorted(ends, hits[:, 0], "right") * words + hits[:, 1])
+            at = np.searchsorted(pairs, np.arange(len(new) + 1) * words).tolist()
+            held = pairs % words
+            for k, t in enumerate(new):
+                self.tokens[t] = held[at[k] : at[k + 1]].copy()
+        return [self.tokens[t] for t in tokens]
 
     def match(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of texts and of the keywords that fire in them, each pair once; texts are cleaned and not null."""
@@ -89,7 +122,7 @@ class Matcher:
         tokens = coded.dictionary.to_pylist()
         n_tokens, n = max(1, len(tokens)), len(texts)
         row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-        found = [self._of(t) for t in tokens]
+        found = self._words(tokens)
         starts = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
         held = np.concatenate([np.zeros(0, np.int64), *found])
         empty = np.array([not t for t in tokens], bool)
@@ -97,12 +130,19 @@ class Matcher:
         full = ~empty[codes] if len(codes) else np.zeros(0, bool)
         row, codes = row[full], codes[full]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        key, first = np.unique(row * n_tokens + codes, return_index=True)
-        last = len(row) - 1 - np.unique((row * n_tokens + codes)[::-1], return_index=True)[1]
+        key = row * n_tokens + codes
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        first, last, key = order[new], order[np.append(new, len(key))[1:] - 1], key[new]
         low, high = place[first], place[last]
         at, own = _ragged(starts, key % n_tokens)
         words = max(1, self.words)
-        pairs = np.unique((key // n_tokens)[own] * words + held[at])  # text and word
+        pairs, dense = (key // n_tokens)[own] * words + held[at], None  # text and word
+        if n * words <= DENSE:
+            dense = np.zeros(n * words, bool)
+            dense[pairs] = True
+        pairs = _distinct(pairs) if dense is None else np.flatnonzero(dense)
         text_of, word_of = pairs // words, pairs % words
         single = self.single[word_of]
         out_text, out_key = [text_of[single >= 0]], [single[single >= 0]]
@@ -112,7 +152,8 @@ class Matcher:
         at, own = _ragged(self.anchor_at, word_of)
         text, phrase = np.append(text_of[own], np.repeat(np.arange(n), len(self.bare))), np.append(self.anchored[at], np.tile(self.bare, n))
         at, own = _ragged(self.part_at, phrase)
-        there = np.isin(text[own] * words + self.part[at], pairs, kind="sort") if len(pairs) else np.zeros(len(own), bool)
+        asked = text[own] * words + self.part[at]
+        there = _among(asked, pairs) if dense is None else dense[asked]
         ok = np.bincount(own[~there], minlength=len(phrase)) == 0
         text, phrase = text[ok], phrase[ok]
         # how far apart the tokens lie that equal a word of the phrase
@@ -132,15 +173,17 @@ class Matcher:
         close = self.apart[phrase] & ~self.odd[phrase] & (end >= 0) & (end - begin < self.span)
         rest = np.flatnonzero(~close)
         if len(rest):
+            # the others fire only as part of the text; each text goes through the automaton of phrases once
+            some, wanted = _distinct(text[rest]).tolist(), max(1, len(self.phrases))
             plain = texts.to_pylist()
-            for k in rest.tolist():
+            parts = [np.array([r for _, r in self.whole.iter(plain[t])], np.int64) + t * wanted for t in some]
+            close[rest] = _among(text[rest] * wanted + phrase[rest], _distinct(np.concatenate(parts)))
+            for k in rest[~close[rest] & self.odd[phrase[rest]] & self.apart[phrase[rest]]].tolist():
                 r, own_text = phrase[k], plain[text[k]]
-                hit = self.keywords[self.phrases[r]] in own_text
-                if not hit and self.odd[r] and self.apart[r] and all(w in own_text for w in self.exact[r]):
+                if all(w in own_text for w in self.exact[r]):
                     split = [t for t in re.split(SPACE, own_text) if t]
                     places = [p for p, t in enumerate(split) if t in self.exact[r]]
-                    hit = bool(places) and max(places) - min(places) < self.span
-                close[k] = hit
+                    close[k] = bool(places) and max(places) - min(places) < self.span
         out_text.append(text[close])
         out_key.append(self.phrases[phrase[close]])
         return np.concatenate(out_text), np.concatenate(out_key)
@@ -151,18 +194,22 @@ def keyword_hits(texts: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("d
 
     A keyword fires as part of the cleaned text, a phrase (words with spaces between) also where it holds all
     its words and the tokens equal to any of them lie within ``span``. Keywords are a rule pack, of ``most`` at
-    most (else an error), and sent to all executors; texts stay where they are, whole, and null
-    ones have no hits. An empty keyword fires in every text.
+    most (else an error), and sent to all executors; texts are whole, and dealt out evenly
+    where they come from fewer files than there are cores; null ones have no hits. An empty keyword fires in every text.
     """
     own = rules.select(F.lower("keyword").alias("keyword")).filter("keyword IS NOT NULL").distinct().limit(most + 1).toArrow().column("keyword").to_pylist()
     if len(own) > most:
         raise ValueError(f"more than {most} keywords")
     sent = texts.sparkSession.sparkContext.broadcast(sorted(own))
+    name = uuid.uuid4().hex
     schema = StructType([*(texts.schema[k] for k in keys), StructField("keyword", StringType())])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, span)
+        if name not in _PREPARED:
+            _PREPARED.clear()
+            _PREPARED[name] = Matcher(sent.value, span)
+        matcher = _PREPARED[name]
         known = pa.array(sent.value, pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -171,7 +218,11 @@ def keyword_hits(texts: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("d
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([*(some.column(k).take(row) for k in range(len(keys))), known.take(pa.array(keyword))], names)
 
-    prepared = texts.filter(F.col(text).isNotNull()).select(*keys, cleaned(text).alias("_clean"))
+    prepared = texts.filter(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if len(texts.inputFiles()) < cores:  # a file may be one row group, which one task reads
+        prepared = prepared.repartition(TASKS * cores)
+    prepared = prepared.select(*keys, cleaned("_text").alias("_clean"))
     return prepared.mapInArrow(run, schema)
 
 
