@@ -5,6 +5,7 @@ import numpy as np
 
 from textloom import registry
 from textloom.operators import vectors as V
+from textloom.plans import stage_plans
 from textloom.sources import corpus as C
 
 WORDS = "word " * 120
@@ -94,3 +95,13 @@ def test_top_k_against_all(spark):
             some = [k for k in range(3_000) if not equal or k % 3 == q % 3]
             best = sorted(some, key=lambda k: (-score[q, k], k))[:4]
             assert [found[q, p + 1] for p in range(4)] == [(k, score[q, k]) for k in best]
+
+
+def test_forest_detection_of_whole_texts(spark, tmp_path, monkeypatch):
+    """Each paragraph of a long text without headers is a clause, also the sixtieth; the other queries keep the fifty of their SQL."""
+    monkeypatch.setattr(stage_plans, "forest_outliers", stage_plans.outliers)  # the forest itself takes a minute
+    texts = ["\n\n".join(f"paragraph {k} of document {doc} with {WORDS}" for k in range(60)) for doc in range(3)]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate([*texts, "short text"])], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [r["anomaly_id"] for r in registry.queries()["h01_f03_forest_detection"](spark, str(tmp_path)).select("anomaly_id").collect()]
+    assert sorted(found) == [doc * 10_000_000_000 + k * 100_000 + 1 for doc in range(3) for k in range(1, 61)] + [30_000_100_001]
+    assert registry.queries()["h01_clause_detection"](spark, str(tmp_path)).count() == 151
