@@ -3,6 +3,7 @@
 import functools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -145,6 +146,18 @@ def test_links_under_a_crowded_key(spark, at):
     assert all(root(a) == root(b) for a, b in expected)
 
 
+def test_rows_that_spark_sizes_too_low_are_not_broadcast(spark):
+    """The sixty keyed rows of a node, and the rows of all salts where no text has a copy."""
+    plan = lambda df: df.collect() and df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    rng = np.random.default_rng(3)
+    nodes = spark.createDataFrame([(k, int(fp)) for k, fp in enumerate(rng.integers(-(1 << 63), 1 << 63, 300))] + [(300, 5), (301, 4)], "node long, fp long")
+    assert "Broadcast" not in plan(near_dedup._under_keys(nodes, near_dedup.RADIUS, near_dedup.HOT))
+    rows = spark.createDataFrame([(k, " ".join(map(str, rng.integers(0, 1 << 40, 30)))) for k in range(40)], "doc_id long, text string")
+    found = near_dedup.near_duplicates(rows)
+    assert {r["component_id"] for r in found.collect()} == set(range(40))
+    assert re.search(r"SortMergeJoin[^\n]* \[fp#\d+L, salt#", plan(found))
+
+
 def test_near_duplicates_of_odd_ids(spark):
     a, b = "one two three four five six", "another text of quite other words"
     rows = spark.createDataFrame([(5, a), (5, a), (3, a), (None, a), (None, "lonely words without any id here"), (9, b), (7, None), (8, "")], "doc_id long, text string")

@@ -70,6 +70,19 @@ def _finer(fp: str) -> Column:
     return chosen
 
 
+def _under_keys(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
+    """``_keyed`` rows of the keys that bring nodes of both sides together, with each key's ``hub`` (smallest node) and whether the row is ``near`` it."""
+    keyed = _keyed(nodes)
+    hub = (
+        keyed.groupBy("key")
+        .agg(F.min_by("fp", "node").alias("hub_fp"), F.min("node").alias("hub"), F.max("node").alias("other"), F.min("side").alias("first"), F.max("side").alias("last"), F.count("*").alias("members"))
+        .filter("hub != other AND first = 0 AND last = 1")
+        .select("key", "hub", "hub_fp", (F.col("members") >= hot).alias("hot"))
+    )
+    # merge: Spark sizes the sixty rows of a node as one, and would broadcast them
+    return keyed.hint("merge").join(hub, "key").withColumn("near", _apart("fp", "hub_fp") <= radius)
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Edges (``a``, ``b``) between ``node``s of distinct ``fp`` that connect all within ``radius`` bits (at most 3).
 
@@ -82,14 +95,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("the keys bring together fingerprints within 3 bits at most")
-    keyed = _keyed(nodes)
-    hub = (
-        keyed.groupBy("key")
-        .agg(F.min_by("fp", "node").alias("hub_fp"), F.min("node").alias("hub"), F.max("node").alias("other"), F.min("side").alias("first"), F.max("side").alias("last"), F.count("*").alias("members"))
-        .filter("hub != other AND first = 0 AND last = 1")
-        .select("key", "hub", "hub_fp", (F.col("members") >= hot).alias("hot"))
-    )
-    rows = cut(keyed.join(hub, "key").withColumn("near", _apart("fp", "hub_fp") <= radius))  # few: most keys have one fingerprint
+    rows = cut(_under_keys(nodes, radius, hot))  # few: most keys have one fingerprint
     star = rows.filter(F.col("near") & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     close = (_apart("fa", "fb") <= radius) & (F.col("a") != F.col("b"))
     found = star
@@ -121,7 +127,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # a fingerprint of a third of all documents would be one join key: spread it
     salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["fp", "salt"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # merge: Spark sizes the rows of all salts as those of one
+    return salted.join(spread.hint("merge"), ["fp", "salt"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: str, most_ids: int) -> DataFrame:
