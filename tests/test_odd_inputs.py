@@ -80,6 +80,51 @@ def test_heads_tell_no_pair_apart():
             assert (found == (np.round(unit @ unit.T, 9) >= threshold)).all()
 
 
+def test_parts_tell_no_pair_apart():
+    """Rows held only against the parts that they may be near find the pairs of all cosines, copies and vectors at the threshold included; isotropic vectors have no parts."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 64))
+    for noise, threshold in ((0.05, 0.95), (0.3, 0.95), (0.3, 0.9), (50.0, 0.55)):
+        x = centres[rng.integers(0, 40, 5_000)] + noise * rng.standard_normal((5_000, 64))
+        x[100:400] = 3 * x[:300]
+        ready = V._ready(x, V._directions(x[::5], threshold))
+        block = V._indexed(ready, threshold, V._pivots(x))
+        assert (len(block) == 2) == (noise == 50.0)
+        found = np.zeros((5_000, 5_000), bool)
+        for i, j in V._near(ready, block, threshold):
+            assert not found[i, j].any()
+            found[i, j] = True
+        assert (found == (np.round(ready[0] @ ready[0].T, 9) >= threshold)).all()
+        if noise < 1:
+            assert V._beside(ready[0].astype(np.float32), *block[2:4]).mean() < 0.3  # of the parts
+
+
+def test_one_pass_over_parts():
+    """The starts of one pass where blocks have parts."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((30, 16))[rng.integers(0, 30, 9_000)] + 0.15 * rng.standard_normal((9_000, 16))
+    ready = V._ready(x, V._directions(x[::9], 0.95))
+    starts, expected = [], []
+    for n, v in enumerate(ready[0]):
+        near = np.flatnonzero(np.round(ready[0][starts] @ v, 9) >= 0.95)
+        expected.append(starts[near[0]] if len(near) else n)
+        starts += [] if len(near) else [n]
+    assert (V._in_order(np.arange(9_000) + 7, ready, 0.95, V._pivots(x)) == np.array(expected) + 7).all()
+
+
+def test_vectors_are_dealt_to_many_tasks(spark):
+    """A few vectors, which Spark leaves to one task, are held against all by several; copies share the smallest id, zeros and rows of one id stay."""
+    rows = spark.createDataFrame([(k, [float(k % 90), 1.0, float(k // 300)]) for k in range(600)], "k long, v array<double>").coalesce(1)
+    single, members = V._alike(rows)
+    assert single.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    first = {}
+    expected = sorted((k, first.setdefault((k % 90, k // 300), k)) for k in range(600))
+    assert sorted(map(tuple, members.collect())) == expected and single.count() == 180
+    odd = spark.createDataFrame([(4, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (1, [0.0, 0.0]), (3, None), (9, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    found = V.greedy_similar(odd)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1), (2, 2, 4), (2, 2, 4), (3, 3, 1), (4, 2, 4), (9, 2, 4)] and found.dtypes[0] == ("vec_id", "int")
+
+
 def test_top_k_against_all(spark):
     """The best of each query by score, then id, with copies, zeros and columns that must agree, whatever the blocks."""
     rng = np.random.default_rng(11)
