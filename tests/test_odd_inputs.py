@@ -142,6 +142,27 @@ def test_top_k_against_all(spark):
             assert [found[q, p + 1] for p in range(4)] == [(k, score[q, k]) for k in best]
 
 
+def test_top_k_after_a_first_pass(spark, monkeypatch):
+    """A first pass over a share of the rows moves no neighbour: with copies, zeros, columns that must agree and queries of too few rows."""
+    monkeypatch.setattr(V, "MANY_ROWS", 100)
+    monkeypatch.setattr(V, "PROBE", 5)
+    monkeypatch.setattr(V, "AT_ONCE", 1_000)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.standard_normal((60, 6)), 20, axis=0) + 0.2 * rng.standard_normal((1_200, 6))
+    x[300:340], x[7] = x[0], 0
+    unit = np.divide(x, np.sqrt((x**2).sum(1, keepdims=True)), out=np.zeros_like(x), where=x.any(1, keepdims=True))
+    score = np.round(unit @ unit.T, 9)
+    base = spark.createDataFrame([(k, min(k % 50, 40), v.tolist()) for k, v in enumerate(x)], "vec_id long, g long, embedding array<double>").repartition(3)
+    queries = base.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    for equal, block, many in (((), 2_000, 5), (("g",), 60, 30)):
+        found = {(r["query_id"], r["place"]): (r["vec_id"], r["score"]) for r in V.top_k(queries, base, many, equal=equal, block=block).collect()}
+        expected = {}
+        for q in range(0, 1_200, 7):
+            some = [k for k in range(1_200) if not equal or min(k % 50, 40) == min(q % 50, 40)]
+            expected |= {(q, p + 1): (k, score[q, k]) for p, k in enumerate(sorted(some, key=lambda k: (-score[q, k], k))[:many])}
+        assert found == expected
+
+
 def test_forest_detection_of_whole_texts(spark, tmp_path, monkeypatch):
     """Each paragraph of a long text without headers is a clause, also the sixtieth; the other queries keep the fifty of their SQL."""
     monkeypatch.setattr(stage_plans, "forest_outliers", stage_plans.outliers)  # the forest itself takes a minute
